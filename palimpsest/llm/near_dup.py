@@ -51,8 +51,8 @@ class _Tables:
         if len(self.up) < n:
             size = max(n, 1 << 16)
             inverse = pow(self.BASE, -1, 1 << 64)
-            self.up = np.cumprod(np.concatenate([[1], np.full(size, self.BASE, np.uint64)]).astype(np.uint64), dtype=np.uint64)
-            self.down = np.cumprod(np.concatenate([[1], np.full(size, inverse, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+            self.up = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, self.BASE, np.uint64)]), dtype=np.uint64)
+            self.down = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, inverse, np.uint64)]), dtype=np.uint64)
         return self.up, self.down
 
     def is_word(self, codes: np.ndarray) -> np.ndarray:
