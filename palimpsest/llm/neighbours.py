@@ -1,10 +1,11 @@
 """Problem 7: most similar vectors, by a neighbour graph from NN-descent and greedy search on it.
 
-Vectors are unit-scaled and kept as 16-bit integers. A random-projection tree, fitted on a bounded sample,
-cuts them into leaves; the best neighbours within the leaves of two such trees start the graph. Each round of
-NN-descent joins neighbours of neighbours: every node's list of forward and reverse neighbours is compared
-with itself, and pairs that beat an end's current worst neighbour go into the lists. Vectors travel once per
-block of nodes that needs them, not once per pair.
+Vectors are kept as 16-bit integers, and for the work on the graph as codes of four bits a value. Random-
+projection trees, fitted on a bounded sample, cut them into leaves; the best neighbours within the leaves start
+the graph. Each round of NN-descent joins neighbours of neighbours: every node's list of forward and reverse
+neighbours is compared with itself, and pairs that beat an end's current worst neighbour go into the lists.
+Codes travel once per block of nodes that needs them, not once per pair. The best of what greedy search finds
+is scored again on the 16-bit vectors.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ from ..sources.tables import read
 
 MODEL, DIMENSIONS = "quartz-embed-512", 512
 #: Neighbours kept a node; reverse neighbours that join its list; members of a leaf; most of a group.
-K, REVERSE, LEAF, GROUP = 12, 12, 600, 4096
+K, REVERSE, LEAF, GROUP = 10, 10, 600, 4096
+#: Trees; their leaves cost one shuffle of codes each and spare rounds of the descent.
+TREES = 4
 #: Vectors that a tree is fitted on at most: the bound of the sample.
 SAMPLE = 4096
 #: Rounds of NN-descent at most; a round that renews less than this share of the lists is the last.
-ROUNDS, RENEWED = 4, 0.003
-#: Greedy search: hops, nodes expanded a hop, nodes remembered.
-HOPS, EXPAND, BEAM = 2, 8, 24
+ROUNDS, RENEWED = 3, 0.02
+#: Greedy search: hops, nodes expanded a hop, nodes remembered, nodes scored on the 16-bit vectors.
+HOPS, EXPAND, BEAM, RESCORE = 2, 8, 24, 12
 
 
 def _unit(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,6 +47,34 @@ def _matrix(column: pa.ChunkedArray, scale: pa.ChunkedArray) -> np.ndarray:
     return m * scale.to_numpy()[:, None]
 
 
+def _encode(m: np.ndarray) -> np.ndarray:
+    """Rows as codes: each value in sixteen steps of its row's spread, two values a byte."""
+    spread = 2.7 * np.sqrt((m * m).mean(axis=1, keepdims=True))
+    q = (np.clip(np.rint(m / spread * 7), -7, 7) + 8).astype(np.uint8)
+    if q.shape[1] % 2:
+        q = np.concatenate([q, np.full((len(q), 1), 8, np.uint8)], axis=1)
+    return (q[:, 0::2] << 4) | q[:, 1::2]
+
+
+def _decode(column) -> np.ndarray:
+    """Unit vectors from codes."""
+    if len(column) == 0:
+        return np.empty((0, 2), np.float32)
+    b = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    m = np.empty((b.shape[0], 2 * b.shape[1]), np.float32)
+    m[:, 0::2] = b >> 4
+    m[:, 1::2] = b & 15
+    m -= 8
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of a contiguous array as binary values."""
+    width = rows.strides[0]
+    off = np.arange(len(rows) + 1, dtype=np.int32) * width
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
 def vectors(embeddings: DataFrame, model: str = MODEL, dimensions: int = DIMENSIONS) -> DataFrame:
     """Rows (nid, chunk_id, v, scale): the latest usable vector of each chunk; ties by the vector.
 
@@ -65,8 +96,7 @@ def vectors(embeddings: DataFrame, model: str = MODEL, dimensions: int = DIMENSI
             if not len(ok):
                 continue
             q, scale = _unit(m)
-            off = np.arange(len(ok) + 1, dtype=np.int32) * (2 * dimensions)
-            v = pa.Array.from_buffers(pa.binary(), len(ok), [None, pa.py_buffer(off), pa.py_buffer(q.tobytes())])
+            v = _binary(q)
             take = pa.array(ok)
             yield pa.RecordBatch.from_arrays([b.column("chunk_id").take(take), b.column("at").take(take).cast(out.field("at").type), v, pa.array(scale)], schema=out)
 
@@ -122,18 +152,29 @@ def leaf_of(tree: list, m: np.ndarray) -> np.ndarray:
     return out
 
 
-def _leaves(v: DataFrame, trees: list) -> DataFrame:
-    """Rows (nid, tree, leaf, v, scale), one a node and tree."""
+def codes(v: DataFrame) -> DataFrame:
+    """Rows (nid, code) of (nid, v, scale)."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column("nid"), _binary(_encode(_matrix(b.column("v"), b.column("scale"))))], names=["nid", "code"])
+
+    return v.select("nid", "v", "scale").mapInArrow(run, "nid bigint, code binary")
+
+
+def _leaves(code: DataFrame, trees: list) -> DataFrame:
+    """Rows (nid, tree, leaf, code), one a node and tree."""
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            m = _matrix(b.column("v"), b.column("scale"))
+            m = _decode(b.column("code"))
             for k, t in enumerate(trees):
-                yield pa.RecordBatch.from_arrays([b.column("nid"), pa.array(np.full(len(m), k, np.int32)), pa.array(leaf_of(t, m)), b.column("v"), b.column("scale")], names=["nid", "tree", "leaf", "v", "scale"])
+                yield pa.RecordBatch.from_arrays([b.column("nid"), pa.array(np.full(len(m), k, np.int32)), pa.array(leaf_of(t, m)), b.column("code")], names=["nid", "tree", "leaf", "code"])
 
-    return v.select("nid", "v", "scale").mapInArrow(run, "nid bigint, tree int, leaf int, v binary, scale float")
+    return code.select("nid", "code").mapInArrow(run, "nid bigint, tree int, leaf int, code binary")
 
 
 _EDGE = pa.schema([("u", pa.int64()), ("w", pa.int64()), ("sim", pa.float32())])
@@ -148,7 +189,7 @@ def _within(k: int):
 
     def run(t: pa.Table) -> pa.Table:
         ids = t.column("nid").to_numpy()
-        m = _matrix(t.column("v"), t.column("scale"))
+        m = _decode(t.column("code"))
         n = len(ids)
         kk = min(k, n - 1)
         if kk < 1:
@@ -183,7 +224,7 @@ def _local_join(lists: pa.Table, vecs: pa.Table) -> pa.Table:
     ids = vecs.column("x").to_numpy()
     order = np.argsort(ids)
     ids = ids[order]
-    m = _matrix(vecs.column("v"), vecs.column("scale"))[order] if len(ids) else np.empty((0, 1), np.float32)
+    m = _decode(vecs.column("code"))[order]
     worst = vecs.column("worst").to_numpy()[order]
     v = lists.column("v").to_numpy()
     x = np.searchsorted(ids, lists.column("x").to_numpy())
@@ -220,66 +261,85 @@ def _local_join(lists: pa.Table, vecs: pa.Table) -> pa.Table:
 
 
 class Index:
-    """A neighbour graph: vec (nid, chunk_id, v, scale), blocks (nid, block) and edges (u, w, sim)."""
+    """A neighbour graph: vec (nid, chunk_id, v, scale), code (nid, code), blocks (nid, block) and edges (u, w, sim)."""
 
-    def __init__(self, scratch: Scratch, vec: DataFrame, blocks: DataFrame, edges: DataFrame, rounds: int):
-        self.scratch, self.vec, self.blocks, self.edges, self.rounds = scratch, vec, blocks, edges, rounds
+    def __init__(self, scratch: Scratch, vec: DataFrame, code: DataFrame, blocks: DataFrame, edges: DataFrame, rounds: int):
+        self.scratch, self.vec, self.code, self.blocks, self.edges, self.rounds = scratch, vec, code, blocks, edges, rounds
 
 
 def build_index(spark: SparkSession, embeddings: DataFrame, model: str = MODEL, dimensions: int = DIMENSIONS) -> Index:
     """The graph over all usable vectors. Only the trees see a sample, of at most SAMPLE vectors; every vector is indexed."""
     scratch = Scratch(spark, "neighbours")
     vec = scratch.keep(vectors(embeddings, model, dimensions), "uncompressed")
-    n = vec.count()
-    share = vec.filter(F.pmod(F.xxhash64("nid", F.lit(7)), F.lit(max(n, 1))) < SAMPLE).select("v", "scale").limit(2 * SAMPLE).toArrow()
-    sample = _matrix(share.column("v"), share.column("scale"))
-    leaves = max(1, min(SAMPLE // 8, -(-n // LEAF)))
-    trees = [fit_tree(sample, leaves, seed) for seed in (1, 2)] if n > LEAF else [[[], -1]]
-    placed = _leaves(vec, trees)
+    code = scratch.keep(codes(vec), "uncompressed")
+    scratch.sweep()
+    n = code.count()
+    trees = [[[], -1]]
+    if n > LEAF:
+        sample = _decode(code.filter(F.pmod(F.xxhash64("nid", F.lit(7)), F.lit(n)) < SAMPLE).select("code").limit(2 * SAMPLE).toArrow().column("code"))
+        leaves = max(2, min(SAMPLE // 8, -(-n // LEAF)))
+        trees = [fit_tree(sample, leaves, seed) for seed in range(1, TREES + 1)]
+    placed = _leaves(code, trees)
     # a leaf may be larger than planned, if vectors repeat or the sample falls short: it is cut by salt
     sizes = placed.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    group = F.struct("leaf", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int").alias("part")).alias("grp")
-    placed = placed.join(F.broadcast(sizes), ["tree", "leaf"])  # at most two rows a leaf of a bounded tree
-    start = placed.select("nid", "v", "scale", "tree", group).groupBy("tree", "grp").applyInArrow(_within(K), "u bigint, w bigint, sim float")
+    placed = placed.join(F.broadcast(sizes), ["tree", "leaf"])  # one row a leaf of a bounded tree
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"))
+    start = placed.select("nid", "code", "tree", "leaf", "part").groupBy("tree", "leaf", "part").applyInArrow(_within(K), "u bigint, w bigint, sim float")
     edges = scratch.keep(_best(start.groupBy("u", "w").agg(F.max("sim").alias("sim")), K).withColumn("fresh", F.lit(1)))
-    blocks = scratch.keep(placed.filter("tree = 0").select("nid", F.hash(F.col("leaf"), F.pmod(F.xxhash64("nid"), F.col("parts"))).alias("block")))
+    blocks = scratch.keep(placed.filter("tree = 0").select("nid", F.hash("leaf", "part").alias("block")))
     scratch.sweep()
     rounds = 0
     if n > LEAF:
         for rounds in range(1, ROUNDS + 1):
-            new = scratch.keep(_round(vec, blocks, edges))
+            new = scratch.keep(_round(code, blocks, edges))
             renewed = new.filter("fresh = 1").count()
             scratch.drop(edges)
             edges = new
             if renewed < RENEWED * K * n:
                 break
-    return Index(scratch, vec, blocks, edges, rounds)
+    return Index(scratch, vec, code, blocks, edges, rounds)
 
 
-def _round(vec: DataFrame, blocks: DataFrame, edges: DataFrame) -> DataFrame:
+def _round(code: DataFrame, blocks: DataFrame, edges: DataFrame) -> DataFrame:
     lists = _lists(edges, REVERSE).join(blocks.withColumnRenamed("nid", "v"), "v")
+    # a list without a fresh member has been compared already
+    live = lists.groupBy("v").agg(F.max("fresh").alias("any")).filter("any = 1").select("v")
+    lists = lists.join(live, "v", "left_semi")
     worst = edges.groupBy("u").agg(F.when(F.count("*") >= K, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
-    need = lists.select("block", "x").distinct().join(vec.select(F.col("nid").alias("x"), "v", "scale"), "x").join(worst.withColumnRenamed("u", "x"), "x")
-    need = need.select("block", "x", F.col("v"), "scale", "worst")
+    known = code.join(worst, F.col("nid") == F.col("u"), "left").select(F.col("nid").alias("x"), "code", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst"))
+    need = lists.select("block", "x").distinct().join(known, "x")
     a = lists.select(F.col("block").alias("a"), F.col("v").alias("v"), F.col("x").alias("x"), F.col("fresh").alias("fresh"))
-    b = need.select(F.col("block").alias("b"), F.col("x").alias("x"), F.col("v").alias("v"), F.col("scale").alias("scale"), F.col("worst").alias("worst"))
-    found = a.groupBy("a").cogroup(b.groupBy("b")).applyInArrow(lambda a, b: _local_join(a, b), "u bigint, w bigint, sim float")
+    b = need.select(F.col("block").alias("b"), F.col("x").alias("x"), F.col("code").alias("code"), F.col("worst").alias("worst"))
+    found = a.groupBy("a").cogroup(b.groupBy("b")).applyInArrow(lambda x, y: _local_join(x, y), "u bigint, w bigint, sim float")
     both = edges.select("u", "w", "sim", F.lit(0).alias("fresh")).union(found.select("u", "w", "sim", F.lit(1)))
     return _best(both.groupBy("u", "w").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh")), K)
 
 
-def _score(pairs: pa.Table, vecs: pa.Table) -> pa.Table:
+def _score(decode):
     """Similarities of pairs (u, w), both of whose vectors came."""
-    ids = vecs.column("x").to_numpy()
-    order = np.argsort(ids)
-    ids = ids[order]
-    if not len(ids) or not len(pairs):
-        return _edges([], [], [])
-    m = _matrix(vecs.column("v"), vecs.column("scale"))[order]
-    u, w = pairs.column("u").to_numpy(), pairs.column("w").to_numpy()
-    a, b = np.searchsorted(ids, u), np.searchsorted(ids, w)
-    s = np.concatenate([np.einsum("ij,ij->i", m[a[k : k + 4096]], m[b[k : k + 4096]]) for k in range(0, len(u), 4096)])
-    return _edges(u, w, s)
+
+    def run(pairs: pa.Table, vecs: pa.Table) -> pa.Table:
+        ids = vecs.column("x").to_numpy()
+        if not len(ids) or not len(pairs):
+            return _edges([], [], [])
+        order = np.argsort(ids)
+        ids = ids[order]
+        m = decode(vecs)[order]
+        u, w = pairs.column("u").to_numpy(), pairs.column("w").to_numpy()
+        a, b = np.searchsorted(ids, u), np.searchsorted(ids, w)
+        s = np.concatenate([np.einsum("ij,ij->i", m[a[k : k + 4096]], m[b[k : k + 4096]]) for k in range(0, len(u), 4096)])
+        return _edges(u, w, s)
+
+    return run
+
+
+def _scored(pairs: DataFrame, vecs: DataFrame, columns: list[str], decode) -> DataFrame:
+    """Pairs (block, u, w) with their similarity; a vector comes once to each block that needs it."""
+    need = pairs.select("block", F.col("w").alias("x")).union(pairs.select("block", "u")).distinct().join(vecs.select(F.col("nid").alias("x"), *columns), "x")
+    a = pairs.select(F.col("block").alias("a"), F.col("u").alias("u"), F.col("w").alias("w"))
+    b = need.select(F.col("block").alias("b"), F.col("x").alias("x"), *[F.col(c).alias(c) for c in columns])
+    run = _score(decode)
+    return a.groupBy("a").cogroup(b.groupBy("b")).applyInArrow(lambda x, y: run(x, y), "u bigint, w bigint, sim float")
 
 
 def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
@@ -292,20 +352,20 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     q = queries.select("chunk_id").distinct().join(index.vec.select("chunk_id", "nid"), "chunk_id").select(F.col("nid").alias("u"))
     step = _lists(index.edges.withColumn("fresh", F.lit(0)), REVERSE).select(F.col("v").alias("x"), F.col("x").alias("y"))
     step = s.keep(step)
+    s.sweep()
     state = s.keep(index.edges.select("u", "w", "sim").join(q, "u", "left_semi").withColumn("open", F.lit(True)))
     for _ in range(HOPS):
         w = Window.partitionBy("u").orderBy(F.col("open").desc(), F.col("sim").desc(), "w")
         ranked = state.withColumn("__rn", F.row_number().over(w)).withColumn("go", F.col("open") & (F.col("__rn") <= EXPAND))
         reached = ranked.filter("go").select("u", F.col("w").alias("x")).join(step, "x").select("u", F.col("y").alias("w")).filter("u <> w").distinct()
-        reached = reached.join(state.select("u", "w"), ["u", "w"], "left_anti").join(index.blocks.withColumnRenamed("nid", "u"), "u")
-        need = reached.select("block", F.col("w").alias("x")).union(reached.select("block", "u")).distinct().join(index.vec.select(F.col("nid").alias("x"), "v", "scale"), "x")
-        a = reached.select(F.col("block").alias("a"), F.col("u").alias("u"), F.col("w").alias("w"))
-        b = need.select(F.col("block").alias("b"), F.col("x").alias("x"), F.col("v").alias("v"), F.col("scale").alias("scale"))
-        scored = a.groupBy("a").cogroup(b.groupBy("b")).applyInArrow(lambda a, b: _score(a, b), "u bigint, w bigint, sim float")
+        reached = reached.join(state.select("u", "w"), ["u", "w"], "left_anti").join(index.blocks.withColumnRenamed("nid", "u"), "u").select("block", "u", "w")
+        scored = _scored(reached, index.code, ["code"], lambda t: _decode(t.column("code")))
         merged = ranked.select("u", "w", "sim", (F.col("open") & ~F.col("go")).alias("open")).union(scored.select("u", "w", "sim", F.lit(True)))
         new = s.keep(_best(merged, BEAM))
         s.drop(state)
         state = new
+    best = _best(state.select("u", "w", "sim"), max(RESCORE, 2 * k)).join(index.blocks.withColumnRenamed("nid", "u"), "u").select("block", "u", "w")
+    state = _scored(best, index.vec, ["v", "scale"], lambda t: _matrix(t.column("v"), t.column("scale")))
     names = index.vec.select("nid", "chunk_id")
     out = state.join(names.select(F.col("nid").alias("u"), F.col("chunk_id").alias("query")), "u").join(names.select(F.col("nid").alias("w"), F.col("chunk_id").alias("neighbour")), "w")
     w = Window.partitionBy("query").orderBy(F.col("sim").desc(), "neighbour")
