@@ -53,7 +53,7 @@ def p3_latest_version(spark: SparkSession, d: str) -> DataFrame:
     """One version a request: of those in force the one available last, then the greatest id."""
     v = _answers(spark, d).filter("kind = 'version'")
     v = tm.latest_fact(v, ["request_id", "cutoff"], [F.col("available_at").desc(), F.col("record_id").desc()])
-    return v.select("request_id", F.col("record_id").alias("document_id"), "available_at")
+    return v.select("request_id", F.col("record_id").alias("document_id"), F.unix_micros("available_at").alias("available_us"))
 
 
 _SQL = """
@@ -73,6 +73,6 @@ rel as (select distinct h.request_id, s.id from hit h join source_relationships
 QUERIES = {"p3_found": p3_found, "p3_latest_version": p3_latest_version}
 SQL = {
     "p3_found": _SQL + "select request_id, id as record_id from hit union select request_id, id as record_id from rel",
-    "p3_latest_version": _SQL + """select request_id, id as document_id, available_at from
+    "p3_latest_version": _SQL + """select request_id, id as document_id, epoch_us(available_at) as available_us from
   (select *, row_number() over (partition by request_id, cutoff order by available_at desc, id desc) as rn from hit) where rn = 1""",
 }
