@@ -30,7 +30,7 @@ def ref_p4_as_of(spark, d):
 
 def ref_k10_supersession(spark, d):
     v = temporal.superseded_by(read(spark, d, "documents", "doc_id", *ENTITY, "available_at"), ENTITY, "available_at", "ended_at")
-    return v.select("doc_id", F.unix_micros("ended_at").alias("ended_us"))
+    return v.select("doc_id", F.coalesce(F.unix_micros("ended_at"), F.lit(-1)).alias("ended_us"))
 
 
 def ref_p8_live_chunks(spark, d):
@@ -75,7 +75,7 @@ def ref_q8_catalogue(spark, d):
     r = r.withColumnRenamed("id", "repository_id")
     for x in (docs, files, ready):
         r = r.join(x, "repository_id", "left")
-    return r.select("repository_id", "provider", "owner", "name", "default_branch", "revision", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"), F.unix_micros("indexed").alias("indexed_us"), F.coalesce("ready", F.lit(False)).alias("ready"))
+    return r.select("repository_id", "provider", "owner", "name", "default_branch", "revision", *[F.coalesce(F.unix_micros(c), F.lit(-1)).alias(f"{c}_us") for c in ("first", "last", "indexed")], F.coalesce("ready", F.lit(False)).alias("ready"))
 
 
 def ref_a1_projections(spark, d):
@@ -161,7 +161,7 @@ QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("ref_")}
 _T = f"timestamptz '{CUTOFF}+00'"
 SQL = {
     "ref_p4_as_of": f"select doc_id, id from documents where available_at <= {_T} and (superseded_at is null or superseded_at > {_T})",
-    "ref_k10_supersession": """select d.doc_id, epoch_us(n.nxt) as ended_us from documents d left join
+    "ref_k10_supersession": """select d.doc_id, coalesce(epoch_us(n.nxt), -1) as ended_us from documents d left join
       (select repository_id, source_type, source_entity_id, available_at, lead(available_at) over (partition by repository_id, source_type, source_entity_id order by available_at) as nxt
        from (select distinct repository_id, source_type, source_entity_id, available_at from documents)) n using (repository_id, source_type, source_entity_id, available_at)""",
     "ref_p8_live_chunks": "select repository_id, count(distinct id) as chunks, count(distinct document_id) as documents from document_chunks where repository_id in (select id from repositories where deleted_at is null) group by 1",
@@ -173,8 +173,8 @@ SQL = {
       select repository_id, count(distinct g.document_id) as documents, count(c.chunk_id) as chunks, coalesce(sum(n), 0)::bigint as embeddings from g left join c using (document_id) left join e using (chunk_id) group by 1""",
     "ref_q8_catalogue": f"""select r.id as repository_id, r.provider, r.owner, r.name, r.default_branch,
       (select last_known_commit_sha from repository_files f where f.repository_id = r.id order by last_synced_at desc, last_known_commit_sha desc limit 1) as revision,
-      (select epoch_us(min(available_at)) from documents x where x.repository_id = r.id) as first_us, (select epoch_us(max(available_at)) from documents x where x.repository_id = r.id) as last_us,
-      (select epoch_us(max(indexed_at)) from documents x where x.repository_id = r.id) as indexed_us,
+      coalesce((select epoch_us(min(available_at)) from documents x where x.repository_id = r.id), -1) as first_us, coalesce((select epoch_us(max(available_at)) from documents x where x.repository_id = r.id), -1) as last_us,
+      coalesce((select epoch_us(max(indexed_at)) from documents x where x.repository_id = r.id), -1) as indexed_us,
       exists (select 1 from chunk_embeddings e join document_chunks c on c.id = e.chunk_id and c.repository_id = e.repository_id where e.repository_id = r.id and c.superseded_at is null and e.provider = '{PROVIDER}' and e.model = '{MODEL}' and e.dimensions = {DIMENSIONS}) as ready
       from repositories r where deleted_at is null""",
     "ref_a1_projections": "select distinct provider, model, dimensions from chunk_embeddings",

@@ -57,7 +57,7 @@ def ref_q15_experiment(spark, d):
     p = ex.paired(ex.latest_attempt(_runs(spark, d)), "click", "error", ["passed", "value"])
     m = p.agg(ex.median_difference("value").alias("median"))
     o = ex.outcomes(p).withColumn("one", F.lit(1)).join(m.withColumn("one", F.lit(1)), "one").drop("one")
-    return o.select("both", "only_a", "only_b", "neither", F.round("p_value", 6).alias("p_value"), F.round("median", 6).alias("median_difference"))
+    return o.select(F.col("both").alias("both_passed"), "only_a", "only_b", "neither", F.round("p_value", 6).alias("p_value"), F.round("median", 6).alias("median_difference"))
 
 
 def ref_w18_pair_order(spark, d):
@@ -88,9 +88,9 @@ SQL = {
     "ref_a8_summary": f"with {_METRICS} select k, coalesce(category, 'all') as category, count(*) as cases, round(avg(hit), 6) as hit, round(avg(precision), 6) as precision, round(avg(recall), 6) as recall, round(avg(ndcg), 6) as ndcg, round(avg(mrr), 6) as mrr from pc group by grouping sets ((k, category), (k))",
     "ref_a18_latest_attempts": f"with {_RUNS} select task_id, condition, run_id from l",
     "ref_q15_experiment": f"""with {_RUNS}, p as (select a.passed as pa, b.passed as pb, b.value - a.value as d from l a join l b using (task_id) where a.condition = 'click' and b.condition = 'error'),
-      c as (select count(*) filter (where pa and pb) as both, count(*) filter (where pa and not pb) as only_a, count(*) filter (where not pa and pb) as only_b, count(*) filter (where not pa and not pb) as neither, median(d) as md from p),
+      c as (select count(*) filter (where pa and pb) as both_passed, count(*) filter (where pa and not pb) as only_a, count(*) filter (where not pa and pb) as only_b, count(*) filter (where not pa and not pb) as neither, median(d) as md from p),
       t as (select c.*, (select sum(exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2))) from range(0, least(only_a, only_b) + 1) x(i)) as tail from c)
-      select both, only_a, only_b, neither, round(case when only_a + only_b = 0 then 1.0 else least(1.0, 2 * tail) end, 6) as p_value, round(md, 6) as median_difference from t""",
+      select both_passed, only_a, only_b, neither, round(case when only_a + only_b = 0 then 1.0 else least(1.0, 2 * tail) end, 6) as p_value, round(md, 6) as median_difference from t""",
     "ref_w18_pair_order": """select n_nationkey as task_id, case when ('0x' || left(sha256('seed-1:' || n_nationkey::varchar), 2))::int % 2 = 0 then 'baseline' else 'treatment' end as first,
       row_number() over (order by sha256('seed-1:' || n_nationkey::varchar), n_nationkey)::int as place from nation""",
 }

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import event_time
+from . import catalog, classification, event_time, measures, retrieval
 
-MODULES = [event_time]
+MODULES = [event_time, catalog, classification, retrieval, measures]
 
 
 def queries() -> dict:
@@ -18,4 +18,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return event_time.p3_found(spark, d)
+    """Hybrid search over all live repositories."""
+    return retrieval.ref_q4_hybrid(spark, d)

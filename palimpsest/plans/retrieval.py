@@ -9,6 +9,7 @@ from ..functions import intents as it
 from ..functions import roles as ro
 from ..operators import graph, pack, ranking, search
 from ..operators.upsert import newest
+from ..runtime import Scratch
 from ..sources.tables import read
 from .catalog import CUTOFF, DIMENSIONS, MODEL, cutoff
 
@@ -55,7 +56,10 @@ def ref_q3_structured(spark, d):
 
 
 def _lists(spark, d) -> DataFrame:
-    """The three branches of every question, thinned by path. Dense asks with the vector of the repository's least probe."""
+    """The three branches of every question, thinned by path. Dense asks with the vector of the repository's least probe.
+
+    The lists are slim and every later step reads them, some twice: they are kept as a table, so the scans run once.
+    """
     q, c, e = questions(spark, d), chunks(spark, d), embeddings(spark, d)
     first = probes(spark, d).groupBy("repository_id").agg(F.min_by("vector", "query_id").alias("vector"))
     out = None
@@ -63,7 +67,7 @@ def _lists(spark, d) -> DataFrame:
         r = ranking.diversify(r, ranking.BRANCH_LIMIT, ranking.PER_PATH, ["query_id"])
         r = ranking.rank_by(r, ["query_id"], [F.col("rank")], "place").drop("rank").withColumnRenamed("place", "rank").withColumn("branch", F.lit(name))
         out = r if out is None else out.unionByName(r)
-    return out
+    return Scratch(spark, "lists").keep(out)
 
 
 def ref_w2_diversified(spark, d):
@@ -73,7 +77,7 @@ def ref_w2_diversified(spark, d):
 
 def ref_a4_fused(spark, d):
     f = ranking.fuse(_lists(spark, d), BRANCHES, limit=ranking.POOL)
-    return f.select("query_id", "chunk_id", F.round("rrf_score", 9).alias("rrf_score"), "dense_rank", "lexical_rank", "structured_rank", "rrf_rank")
+    return f.select("query_id", "chunk_id", F.round("rrf_score", 9).alias("rrf_score"), *[F.coalesce(f"{b}_rank", F.lit(-1)).alias(f"{b}_rank") for b in BRANCHES], "rrf_rank")
 
 
 def ref_a5_file_evidence(spark, d):
@@ -100,7 +104,7 @@ def _pool(spark, d, strategy: str = "weak") -> DataFrame:
     f = f.withColumn("role", ro.classify(F.col("source_type"), F.col("path"), F.col("symbol_kind"))["role"])
     f = f.withColumn("compatibility", ro.compatibility(F.col("signals"), F.col("role"), F.col("exact"), F.col("symbol_name")))
     f = ranking.role_prior(f, strategy)
-    return ranking.diversify(f, ranking.POOL, ranking.PER_PATH, ["query_id"], rank="final_rank")
+    return Scratch(spark, "pool").keep(ranking.diversify(f, ranking.POOL, ranking.PER_PATH, ["query_id"], rank="final_rank"))
 
 
 def ref_q4_hybrid(spark, d):
@@ -108,35 +112,37 @@ def ref_q4_hybrid(spark, d):
     return _pool(spark, d).select("query_id", "chunk_id", "role", F.round("compatibility", 4).alias("compatibility"), "role_rank", F.round("score", 9).alias("score"), "final_rank")
 
 
-def _anchors(spark, d) -> DataFrame:
-    p = _pool(spark, d).withColumns({"file_sources": F.lit(0), "file_rank": F.lit(None).cast("int"), "direct": F.lit(True)})
+def _anchors(spark, d, pool: DataFrame) -> DataFrame:
+    p = pool.withColumns({"file_sources": F.lit(0), "file_rank": F.lit(None).cast("int"), "direct": F.lit(True)})
     a = graph.anchors(p.drop("rrf_rank").withColumnRenamed("final_rank", "rrf_rank"))
     return a.join(questions(spark, d).select("query_id", "repository_id", "cutoff"), "query_id")
 
 
-def _related(spark, d) -> DataFrame:
-    return graph.expand(_anchors(spark, d), read(spark, d, "source_relationships", "id", "repository_id", "source_document_id", "target_document_id", "relationship_type", "source_path", "target_path", "target_symbol", "resolution", "available_at", "superseded_at"), chunks(spark, d), questions(spark, d))
+def _related(spark, d, pool: DataFrame) -> DataFrame:
+    return graph.expand(Scratch(spark, "anchors").keep(_anchors(spark, d, pool)), read(spark, d, "source_relationships", "id", "repository_id", "source_document_id", "target_document_id", "relationship_type", "source_path", "target_path", "target_symbol", "resolution", "available_at", "superseded_at"), chunks(spark, d), questions(spark, d))
 
 
 def ref_j4_expansion(spark, d):
-    return _related(spark, d).select("query_id", "chunk_id", "type", "relationship_rank")
+    return _related(spark, d, _pool(spark, d)).select("query_id", "chunk_id", "type", "relationship_rank")
 
 
 def ref_w11_reserved(spark, d):
-    p = _pool(spark, d).withColumn("relationship_rank", F.lit(None).cast("int")).drop("rrf_rank").withColumnRenamed("final_rank", "rrf_rank")
-    r = _related(spark, d).select("query_id", "chunk_id", "path", F.lit(False).alias("exact"), F.lit(None).cast("int").alias("rrf_rank"), "relationship_rank")
+    pool = _pool(spark, d)
+    p = pool.withColumn("relationship_rank", F.lit(None).cast("int")).drop("rrf_rank").withColumnRenamed("final_rank", "rrf_rank")
+    r = _related(spark, d, pool).select("query_id", "chunk_id", "path", F.lit(False).alias("exact"), F.lit(None).cast("int").alias("rrf_rank"), "relationship_rank")
     return graph.reserve(p, r)
 
 
 def ref_q7_packs(spark, d):
     """Evidence packs of 30,000 characters for every question."""
     c = chunks(spark, d)
-    top = ranking.rank_by(_pool(spark, d).select("query_id", "chunk_id", "exact", "final_rank"), ["query_id"], [F.col("final_rank")], "rank", 15).withColumn("origin", F.lit("primary"))
+    pool = _pool(spark, d)
+    top = ranking.rank_by(pool.select("query_id", "chunk_id", "exact", "final_rank"), ["query_id"], [F.col("final_rank")], "rank", 15).withColumn("origin", F.lit("primary"))
     anchors = top.filter(F.col("rank") <= 5).join(c.select("chunk_id", "document_id", "chunk_index", "symbol_id", "symbol_name", "parent_symbol"), "chunk_id")
     near = graph.local_context(anchors, c)
     near = near.select("query_id", "chunk_id", F.lit(False).alias("exact"), F.col("place").alias("rank"), F.lit("local").alias("origin"), "reason", "priority")
     near = ranking.first_of(near, ["query_id", "chunk_id"], [F.col("priority"), F.col("rank")])
-    rel = _related(spark, d).select("query_id", "chunk_id", F.lit(False).alias("exact"), F.col("relationship_rank").alias("rank"), F.lit("relation").alias("origin"), F.col("type").alias("relation"))
+    rel = _related(spark, d, pool).select("query_id", "chunk_id", F.lit(False).alias("exact"), F.col("relationship_rank").alias("rank"), F.lit("relation").alias("origin"), F.col("type").alias("relation"))
     cand = top.drop("final_rank").unionByName(near, allowMissingColumns=True).unionByName(rel, allowMissingColumns=True).join(c, "chunk_id")
     cand = cand.withColumn("role", ro.classify(F.col("source_type"), F.col("path"), F.col("symbol_kind"))["role"])
     wanted = questions(spark, d).select("query_id", F.transform(it.signals(F.col("query")), lambda s: s["intent"]).alias("intents"))
@@ -233,7 +239,7 @@ SQL = {
     "ref_q2_lexical": f"with {_BASE} select query_id, chunk_id, round(score, 4) as score, rank from lex",
     "ref_q3_structured": f"with {_BASE} select query_id, chunk_id, exact, round(score, 4) as score, rank from str",
     "ref_w2_diversified": f"with {_BASE}, {_w2('str', 'w', 20, 2)} select query_id, chunk_id, rank from w",
-    "ref_a4_fused": f"with {_LISTS} select query_id, chunk_id, round(rrf_score, 9) as rrf_score, dense_rank, lexical_rank, structured_rank, rrf_rank from fused where rrf_rank <= 50",
+    "ref_a4_fused": f"with {_LISTS} select query_id, chunk_id, round(rrf_score, 9) as rrf_score, coalesce(dense_rank, -1) as dense_rank, coalesce(lexical_rank, -1) as lexical_rank, coalesce(structured_rank, -1) as structured_rank, rrf_rank from fused where rrf_rank <= 50",
     "ref_a5_file_evidence": _EVIDENCE,
     "ref_f1_raw_top": f"""with {_BASE}, s as (select l.*, length(c.content) as n, sum(length(c.content)) over (partition by l.query_id order by l.rank) as total from lex l join c using (chunk_id)),
       k as (select query_id, chunk_id, rank, case when total <= 8000 then n when total - n < 8000 then 8000 - (total - n) else 0 end::int as kept, n, total from s)
