@@ -71,3 +71,26 @@ def null_safe(pairs: list[tuple[Column, Column]]) -> Column:
 def micros(c: Column) -> Column:
     """A timestamp as microseconds since 1970."""
     return F.unix_micros(c)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers of the session's executors, once an application."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="palimpsest-"), "palimpsest.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    p = os.path.join(folder, f)
+                    z.write(p, os.path.join("palimpsest", os.path.relpath(p, root)))
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)

@@ -8,6 +8,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
+    from palimpsest.runtime import ship
     from palimpsest.session import local
 
-    return local(4, "3g", 4)
+    session = local(4, "3g", 4)
+    ship(session)
+    return session

@@ -27,7 +27,7 @@ def test_structural_terms(spark, query, terms):
 
 @pytest.mark.parametrize(
     "query, intents",
-    [("write tests for the parser", ["tests"]), ("src/auth/session.ts", ["exact_symbol", "authentication"]), ("parseConfig", ["exact_symbol"]), ("API", ["exact_symbol"]), ("étest", ["general"]), ("hello", ["general"]), ("how does the error handler work", ["implementation", "error_handling"]), (None, ["general"]), ("", ["general"])],
+    [("write tests for the parser", ["tests"]), ("src/auth/session.ts", ["exact_symbol", "authentication"]), ("parseConfig", ["exact_symbol"]), ("API", ["exact_symbol"]), ("étest", ["tests"]), ("hello", ["general"]), ("how does the error handler work", ["implementation", "error_handling"]), (None, ["general"]), ("", ["general"])],
 )
 def test_intents(spark, query, intents):
     assert [s.intent for s in _one(spark, query, it.signals)] == intents
