@@ -22,13 +22,13 @@ MODEL, DIMENSIONS = "quartz-embed-512", 512
 #: Neighbours kept a node; reverse neighbours that join its list; members of a leaf; most of a group.
 K, REVERSE, LEAF, GROUP = 10, 10, 600, 4096
 #: Trees; their leaves cost one shuffle of codes each and spare rounds of the descent.
-TREES = 4
+TREES = 5
 #: Vectors that a tree is fitted on at most: the bound of the sample.
 SAMPLE = 4096
 #: Rounds of NN-descent at most; a round that renews less than this share of the lists is the last.
 ROUNDS, RENEWED = 3, 0.02
 #: Greedy search: hops, nodes expanded a hop, nodes remembered, nodes scored on the 16-bit vectors.
-HOPS, EXPAND, BEAM, RESCORE = 2, 8, 24, 12
+HOPS, EXPAND, BEAM, RESCORE = 2, 8, 24, 14
 
 
 def _unit(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,7 +48,7 @@ def _matrix(column: pa.ChunkedArray, scale: pa.ChunkedArray) -> np.ndarray:
 
 
 def _encode(m: np.ndarray) -> np.ndarray:
-    """Rows as codes: each value in sixteen steps of its row's spread, two values a byte."""
+    """Rows as codes: each value in fifteen steps of its row's spread, two values a byte."""
     spread = 2.7 * np.sqrt((m * m).mean(axis=1, keepdims=True))
     q = (np.clip(np.rint(m / spread * 7), -7, 7) + 8).astype(np.uint8)
     if q.shape[1] % 2:
@@ -76,7 +76,7 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def vectors(embeddings: DataFrame, model: str = MODEL, dimensions: int = DIMENSIONS) -> DataFrame:
-    """Rows (nid, chunk_id, v, scale): the latest usable vector of each chunk; ties by the vector.
+    """Rows (nid, chunk_id, at, v, scale): every usable vector, numbered by chunk, time and values.
 
     Usable are vectors of the model with `dimensions` finite values, not all zero. Null ids, vectors and
     values make a row unusable; a null embedded_at is the oldest.
@@ -102,9 +102,13 @@ def vectors(embeddings: DataFrame, model: str = MODEL, dimensions: int = DIMENSI
 
     e = embeddings.filter((F.col("model") == model) & F.col("chunk_id").isNotNull() & F.col("embedding").isNotNull()).select("chunk_id", F.col("embedded_at").alias("at"), "embedding")
     v = e.mapInArrow(run, "chunk_id string, at timestamp, v binary, scale float")
-    w = Window.partitionBy("chunk_id").orderBy(F.col("at").desc_nulls_last(), F.col("v").desc())
-    v = v.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1")
-    return v.select(F.xxhash64("chunk_id").alias("nid"), "chunk_id", "v", "scale")
+    return v.select(F.xxhash64("chunk_id", F.unix_micros("at"), "v").alias("nid"), "chunk_id", "at", "v", "scale")
+
+
+def latest(v: DataFrame) -> DataFrame:
+    """Rows (nid, chunk_id): of each chunk the latest vector, ties by number. Only numbers are shuffled, no vector."""
+    w = Window.partitionBy("chunk_id").orderBy(F.col("at").desc_nulls_last(), F.col("nid").desc())
+    return v.select("nid", "chunk_id", "at").withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").select("nid", "chunk_id")
 
 
 # ---- trees
@@ -152,6 +156,13 @@ def leaf_of(tree: list, m: np.ndarray) -> np.ndarray:
     return out
 
 
+def _leaf_numbers(tree: list) -> list[int]:
+    nodes, root = tree
+    if root < 0:
+        return [-root - 1]
+    return [-k - 1 for _, _, a, b in nodes for k in (a, b) if k < 0]
+
+
 def codes(v: DataFrame) -> DataFrame:
     """Rows (nid, code) of (nid, v, scale)."""
 
@@ -213,10 +224,16 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     return edges.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= k).drop("__rn")
 
 
+def _distinct(edges: DataFrame, by: str, other: str, *aggs) -> DataFrame:
+    """One row a pair. The one exchange is by the first end, which later windows and joins by it need anyway."""
+    return edges.repartition(by).groupBy(by, other).agg(*aggs)
+
+
 def _lists(edges: DataFrame, reverse: int) -> DataFrame:
     """Rows (v, x, fresh): each node's forward neighbours and its most similar reverse ones."""
     back = _best(edges.select(F.col("w").alias("u"), F.col("u").alias("w"), "sim", "fresh"), reverse)
-    return edges.select(F.col("u").alias("v"), F.col("w").alias("x"), "fresh").union(back.select("u", "w", "fresh")).groupBy("v", "x").agg(F.max("fresh").alias("fresh"))
+    both = edges.select(F.col("u").alias("v"), F.col("w").alias("x"), "fresh").union(back.select("u", "w", "fresh"))
+    return _distinct(both, "v", "x", F.max("fresh").alias("fresh"))
 
 
 def _local_join(lists: pa.Table, vecs: pa.Table) -> pa.Table:
@@ -260,18 +277,24 @@ def _local_join(lists: pa.Table, vecs: pa.Table) -> pa.Table:
     return _edges(ids[u[keep]], ids[w[keep]], s[keep])
 
 
+def _join(a: DataFrame, b: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join by shuffle at every size: no side of these joins is bounded, so none is broadcast."""
+    return a.hint("merge").join(b.hint("merge"), on, how)
+
+
 class Index:
-    """A neighbour graph: vec (nid, chunk_id, v, scale), code (nid, code), blocks (nid, block) and edges (u, w, sim)."""
+    """A neighbour graph: vec (nid, v, scale), names (nid, chunk_id), code (nid, code), blocks (nid, block), edges (u, w, sim)."""
 
-    def __init__(self, scratch: Scratch, vec: DataFrame, code: DataFrame, blocks: DataFrame, edges: DataFrame, rounds: int):
-        self.scratch, self.vec, self.code, self.blocks, self.edges, self.rounds = scratch, vec, code, blocks, edges, rounds
+    def __init__(self, scratch: Scratch, vec: DataFrame, names: DataFrame, code: DataFrame, blocks: DataFrame, edges: DataFrame, rounds: int):
+        self.scratch, self.vec, self.names, self.code, self.blocks, self.edges, self.rounds = scratch, vec, names, code, blocks, edges, rounds
 
 
 def build_index(spark: SparkSession, embeddings: DataFrame, model: str = MODEL, dimensions: int = DIMENSIONS) -> Index:
     """The graph over all usable vectors. Only the trees see a sample, of at most SAMPLE vectors; every vector is indexed."""
     scratch = Scratch(spark, "neighbours")
     vec = scratch.keep(vectors(embeddings, model, dimensions), "uncompressed")
-    code = scratch.keep(codes(vec), "uncompressed")
+    names = scratch.keep(latest(vec))
+    code = scratch.keep(_join(codes(vec), names.select("nid"), "nid", "left_semi").dropDuplicates(["nid"]), "uncompressed")
     scratch.sweep()
     n = code.count()
     trees = [[[], -1]]
@@ -285,8 +308,10 @@ def build_index(spark: SparkSession, embeddings: DataFrame, model: str = MODEL,
     placed = placed.join(F.broadcast(sizes), ["tree", "leaf"])  # one row a leaf of a bounded tree
     placed = placed.withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"))
     start = placed.select("nid", "code", "tree", "leaf", "part").groupBy("tree", "leaf", "part").applyInArrow(_within(K), "u bigint, w bigint, sim float")
-    edges = scratch.keep(_best(start.groupBy("u", "w").agg(F.max("sim").alias("sim")), K).withColumn("fresh", F.lit(1)))
-    blocks = scratch.keep(placed.filter("tree = 0").select("nid", F.hash("leaf", "part").alias("block")))
+    edges = scratch.keep(_best(_distinct(start, "u", "w", F.max("sim").alias("sim")), K).withColumn("fresh", F.lit(1)))
+    # leaves are numbered as the tree is walked, so neighbouring numbers are near each other: a block is a run of them
+    run = max(1, GROUP * len(set(_leaf_numbers(trees[0]))) // max(n, 1))
+    blocks = scratch.keep(placed.filter("tree = 0").select("nid", F.hash(F.floor(F.col("leaf") / run), F.col("part")).alias("block")))
     scratch.sweep()
     rounds = 0
     if n > LEAF:
@@ -297,22 +322,21 @@ def build_index(spark: SparkSession, embeddings: DataFrame, model: str = MODEL,
             edges = new
             if renewed < RENEWED * K * n:
                 break
-    return Index(scratch, vec, code, blocks, edges, rounds)
+    return Index(scratch, vec, names, code, blocks, edges, rounds)
 
 
 def _round(code: DataFrame, blocks: DataFrame, edges: DataFrame) -> DataFrame:
-    lists = _lists(edges, REVERSE).join(blocks.withColumnRenamed("nid", "v"), "v")
+    lists = _join(_lists(edges, REVERSE), blocks.withColumnRenamed("nid", "v"), "v")
     # a list without a fresh member has been compared already
-    live = lists.groupBy("v").agg(F.max("fresh").alias("any")).filter("any = 1").select("v")
-    lists = lists.join(live, "v", "left_semi")
+    lists = lists.withColumn("__any", F.max("fresh").over(Window.partitionBy("v"))).filter("__any = 1").drop("__any")
     worst = edges.groupBy("u").agg(F.when(F.count("*") >= K, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
-    known = code.join(worst, F.col("nid") == F.col("u"), "left").select(F.col("nid").alias("x"), "code", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst"))
-    need = lists.select("block", "x").distinct().join(known, "x")
+    known = _join(code, worst, F.col("nid") == F.col("u"), "left").select(F.col("nid").alias("x"), "code", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst"))
+    need = _join(lists.select("block", "x").distinct(), known, "x")
     a = lists.select(F.col("block").alias("a"), F.col("v").alias("v"), F.col("x").alias("x"), F.col("fresh").alias("fresh"))
     b = need.select(F.col("block").alias("b"), F.col("x").alias("x"), F.col("code").alias("code"), F.col("worst").alias("worst"))
     found = a.groupBy("a").cogroup(b.groupBy("b")).applyInArrow(lambda x, y: _local_join(x, y), "u bigint, w bigint, sim float")
     both = edges.select("u", "w", "sim", F.lit(0).alias("fresh")).union(found.select("u", "w", "sim", F.lit(1)))
-    return _best(both.groupBy("u", "w").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh")), K)
+    return _best(_distinct(both, "u", "w", F.max("sim").alias("sim"), F.min("fresh").alias("fresh")), K)
 
 
 def _score(decode):
@@ -335,7 +359,7 @@ def _score(decode):
 
 def _scored(pairs: DataFrame, vecs: DataFrame, columns: list[str], decode) -> DataFrame:
     """Pairs (block, u, w) with their similarity; a vector comes once to each block that needs it."""
-    need = pairs.select("block", F.col("w").alias("x")).union(pairs.select("block", "u")).distinct().join(vecs.select(F.col("nid").alias("x"), *columns), "x")
+    need = _join(pairs.select("block", F.col("w").alias("x")).union(pairs.select("block", "u")).distinct(), vecs.select(F.col("nid").alias("x"), *columns), "x")
     a = pairs.select(F.col("block").alias("a"), F.col("u").alias("u"), F.col("w").alias("w"))
     b = need.select(F.col("block").alias("b"), F.col("x").alias("x"), *[F.col(c).alias(c) for c in columns])
     run = _score(decode)
@@ -349,25 +373,26 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     HOPS times. `queries` has chunk_id; those without a usable vector get nothing, repeated ones count once.
     """
     s = index.scratch
-    q = queries.select("chunk_id").distinct().join(index.vec.select("chunk_id", "nid"), "chunk_id").select(F.col("nid").alias("u"))
+    q = _join(queries.select("chunk_id").distinct(), index.names, "chunk_id").select(F.col("nid").alias("u"))
     step = _lists(index.edges.withColumn("fresh", F.lit(0)), REVERSE).select(F.col("v").alias("x"), F.col("x").alias("y"))
     step = s.keep(step)
     s.sweep()
-    state = s.keep(index.edges.select("u", "w", "sim").join(q, "u", "left_semi").withColumn("open", F.lit(True)))
+    state = s.keep(_join(index.edges.select("u", "w", "sim"), q, "u", "left_semi").withColumn("open", F.lit(True)))
     for _ in range(HOPS):
         w = Window.partitionBy("u").orderBy(F.col("open").desc(), F.col("sim").desc(), "w")
         ranked = state.withColumn("__rn", F.row_number().over(w)).withColumn("go", F.col("open") & (F.col("__rn") <= EXPAND))
-        reached = ranked.filter("go").select("u", F.col("w").alias("x")).join(step, "x").select("u", F.col("y").alias("w")).filter("u <> w").distinct()
-        reached = reached.join(state.select("u", "w"), ["u", "w"], "left_anti").join(index.blocks.withColumnRenamed("nid", "u"), "u").select("block", "u", "w")
+        reached = _join(ranked.filter("go").select("u", F.col("w").alias("x")), step, "x").select("u", F.col("y").alias("w"), F.lit(0).alias("known")).filter("u <> w")
+        reached = _distinct(reached.union(state.select("u", "w", F.lit(1))), "u", "w", F.max("known").alias("known")).filter("known = 0")
+        reached = _join(reached, index.blocks.withColumnRenamed("nid", "u"), "u").select("block", "u", "w")
         scored = _scored(reached, index.code, ["code"], lambda t: _decode(t.column("code")))
         merged = ranked.select("u", "w", "sim", (F.col("open") & ~F.col("go")).alias("open")).union(scored.select("u", "w", "sim", F.lit(True)))
         new = s.keep(_best(merged, BEAM))
         s.drop(state)
         state = new
-    best = _best(state.select("u", "w", "sim"), max(RESCORE, 2 * k)).join(index.blocks.withColumnRenamed("nid", "u"), "u").select("block", "u", "w")
+    best = _join(_best(state.select("u", "w", "sim"), max(RESCORE, 2 * k)), index.blocks.withColumnRenamed("nid", "u"), "u").select("block", "u", "w")
     state = _scored(best, index.vec, ["v", "scale"], lambda t: _matrix(t.column("v"), t.column("scale")))
-    names = index.vec.select("nid", "chunk_id")
-    out = state.join(names.select(F.col("nid").alias("u"), F.col("chunk_id").alias("query")), "u").join(names.select(F.col("nid").alias("w"), F.col("chunk_id").alias("neighbour")), "w")
+    names = index.names
+    out = _join(_join(state, names.select(F.col("nid").alias("u"), F.col("chunk_id").alias("query")), "u"), names.select(F.col("nid").alias("w"), F.col("chunk_id").alias("neighbour")), "w")
     w = Window.partitionBy("query").orderBy(F.col("sim").desc(), "neighbour")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query", "neighbour", F.col("sim").alias("similarity"), "rank")
 
@@ -384,7 +409,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 def p7_graph(spark: SparkSession, d: str) -> DataFrame:
     """The graph itself: for every usable vector its five best neighbours as the descent left them."""
     index = build_index(spark, read(spark, d, "chunk_embeddings", *_COLUMNS))
-    names = index.vec.select("nid", "chunk_id")
+    names = index.names
     e = _best(index.edges, 5)
     return e.join(names.select(F.col("nid").alias("u"), "chunk_id"), "u").join(names.select(F.col("nid").alias("w"), F.col("chunk_id").alias("neighbour")), "w").select("chunk_id", "neighbour", F.col("sim").cast("double").alias("similarity"))
 
