@@ -31,10 +31,14 @@ def current_texts(files: DataFrame, documents: DataFrame, how: str = "inner") ->
     return out.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
 
 
-def load(spark: SparkSession, d: str, how: str = "inner", endings: list[str] | None = None) -> DataFrame:
-    """Files with their texts; with endings only files whose path ends in one of them."""
+def load(spark: SparkSession, d: str, how: str = "inner", endings: list[str] | None = None, name: str | None = None) -> DataFrame:
+    """Files with their texts; with endings only files whose path ends in one of them, with name only files of that name."""
     f = read(spark, d, "repository_files", *FILE_COLUMNS)
     if endings:
         f = f.filter(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(endings))
-    docs = read(spark, d, "documents", "source_type", "source_entity_id", "commit_sha", "text").filter("source_type = 'source_code'").drop("source_type")
-    return current_texts(f, docs, how)
+    if name:
+        f = f.filter((F.col("path") == name) | F.col("path").endswith("/" + name))
+    docs = read(spark, d, "documents", "source_type", "source_entity_id", "commit_sha", "path", "text").filter("source_type = 'source_code'")
+    if name:
+        docs = docs.filter((F.col("path") == name) | F.col("path").endswith("/" + name))
+    return current_texts(f, docs.drop("source_type", "path"), how)
