@@ -123,9 +123,9 @@ def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, vocabular
     plan = spark.createDataFrame([(s, x, m, totals.get(s, 0), budgets[s]) for s, x, m in t] or [("", 0.0, 0, 0, 0)], "source string, target_share double, max_repeats int, source_tokens bigint, budget bigint").filter("source <> ''")
     got = uses.groupBy("source").agg(F.count("*").alias("uses"), F.max(F.col("pass") + 1).alias("most_uses"), F.sum("tokens").alias("tokens"))
     r = plan.join(got, "source", "left").fillna(0, ["uses", "most_uses", "tokens"])
-    all_tokens = got.agg(F.sum("tokens").alias("all"))
-    r = r.crossJoin(F.broadcast(all_tokens))  # one row
-    r = r.withColumn("actual_share", F.coalesce(F.col("tokens") / F.col("all"), F.lit(0.0))).drop("all")
+    # one row a target: a window over all of them is small
+    every = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
+    r = r.withColumn("actual_share", F.coalesce(F.col("tokens") / F.nullif(every, F.lit(0)), F.lit(0.0)))
     return uses, r
 
 
