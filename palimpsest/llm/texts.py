@@ -26,8 +26,8 @@ def current_texts(files: DataFrame, documents: DataFrame, how: str = "inner") ->
     d = d.select(F.col("source_entity_id").alias("__id"), F.col("commit_sha").alias("__sha"), "text")
     f = latest_files(files)
     out = f.join(d, (f.id == d["__id"]) & (f.last_known_commit_sha == d["__sha"]), how).drop("__id", "__sha")
-    # twice-ingested documents repeat the join's row; the window runs over rows that the join has placed by file id
-    w = Window.partitionBy("id").orderBy(F.col("text").desc_nulls_last())
+    # twice-ingested documents repeat the join's row; a file id has one commit here, and by both the join has placed the rows
+    w = Window.partitionBy("id", "last_known_commit_sha").orderBy(F.col("text").desc_nulls_last())
     return out.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
 
 
