@@ -1,8 +1,8 @@
 """Problem 7: most similar vectors, by a neighbour graph from NN-descent and greedy search on it.
 
-Vectors are kept as 16-bit integers, and for the work on the graph as codes of four bits a value. Random-
-projection trees, fitted on a bounded sample, cut them into leaves; the best neighbours within the leaves start
-the graph. Each round of NN-descent joins neighbours of neighbours: every node's list of forward and reverse
+Vectors are kept as 16-bit integers, for search as codes of four bits a value, and for building the graph as
+coarse codes of two. Random-projection trees, fitted on a bounded sample, cut them into leaves; the best
+neighbours within the leaves start the graph. Each round of NN-descent joins neighbours of neighbours: every node's list of forward and reverse
 neighbours is compared with itself, and pairs that beat an end's current worst neighbour go into the lists.
 Codes travel once per block of nodes that needs them, not once per pair. The best of what greedy search finds
 is scored again on the 16-bit vectors.
@@ -22,13 +22,15 @@ MODEL, DIMENSIONS = "quartz-embed-512", 512
 #: Neighbours kept a node; reverse neighbours that join its list; members of a leaf; most of a group.
 K, REVERSE, LEAF, GROUP = 10, 10, 600, 4096
 #: Trees; their leaves cost one shuffle of codes each and spare rounds of the descent.
-TREES = 5
+TREES = 4
 #: Vectors that a tree is fitted on at most: the bound of the sample.
 SAMPLE = 4096
 #: Rounds of NN-descent at most; a round that renews less than this share of the lists is the last.
 ROUNDS, RENEWED = 3, 0.02
 #: Greedy search: hops, nodes expanded a hop, nodes remembered, nodes scored on the 16-bit vectors.
-HOPS, EXPAND, BEAM, RESCORE = 2, 8, 24, 14
+HOPS, EXPAND, BEAM, RESCORE = 2, 8, 24, 12
+#: Vectors of the last scoring whose numbers are broadcast; for more of them the vectors are shuffled.
+BROADCAST = 500_000
 
 
 def _unit(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,6 +70,28 @@ def _decode(column) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
 
 
+def _encode_coarse(m: np.ndarray) -> np.ndarray:
+    """Rows as codes of two bits a value: its sign, and whether it lies beyond its row's spread. Four values a byte."""
+    q = (m > 0).astype(np.uint8) * 2 + (np.abs(m) > np.sqrt((m * m).mean(axis=1, keepdims=True)))
+    if q.shape[1] % 4:
+        q = np.concatenate([q, np.zeros((len(q), 4 - q.shape[1] % 4), np.uint8)], axis=1)
+    return (q[:, 0::4] << 6) | (q[:, 1::4] << 4) | (q[:, 2::4] << 2) | q[:, 3::4]
+
+
+#: What stands for the four coarse codes: the centres of a normal distribution's parts inside and beyond one spread.
+_LEVELS = np.array([-0.46, -1.52, 0.46, 1.52], np.float32)
+_BYTE = np.stack([_LEVELS[(np.arange(256) >> k) & 3] for k in (6, 4, 2, 0)], axis=1)
+
+
+def _decode_coarse(column) -> np.ndarray:
+    """Unit vectors from coarse codes."""
+    if len(column) == 0:
+        return np.empty((0, 4), np.float32)
+    b = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    m = _BYTE[b].reshape(len(b), -1)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
 def _binary(rows: np.ndarray) -> pa.Array:
     """Rows of a contiguous array as binary values."""
     width = rows.strides[0]
@@ -76,7 +100,7 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def vectors(embeddings: DataFrame, model: str = MODEL, dimensions: int = DIMENSIONS) -> DataFrame:
-    """Rows (nid, chunk_id, at, v, scale): every usable vector, numbered by chunk, time and values.
+    """Rows (h, chunk_id, at, v, scale): every usable vector with a hash of chunk, time and values.
 
     Usable are vectors of the model with `dimensions` finite values, not all zero. Null ids, vectors and
     values make a row unusable; a null embedded_at is the oldest.
@@ -102,13 +126,17 @@ def vectors(embeddings: DataFrame, model: str = MODEL, dimensions: int = DIMENSI
 
     e = embeddings.filter((F.col("model") == model) & F.col("chunk_id").isNotNull() & F.col("embedding").isNotNull()).select("chunk_id", F.col("embedded_at").alias("at"), "embedding")
     v = e.mapInArrow(run, "chunk_id string, at timestamp, v binary, scale float")
-    return v.select(F.xxhash64("chunk_id", F.unix_micros("at"), "v").alias("nid"), "chunk_id", "at", "v", "scale")
+    return v.select(F.xxhash64("chunk_id", F.unix_micros("at"), "v").alias("h"), "chunk_id", "at", "v", "scale")
 
 
 def latest(v: DataFrame) -> DataFrame:
-    """Rows (nid, chunk_id): of each chunk the latest vector, ties by number. Only numbers are shuffled, no vector."""
-    w = Window.partitionBy("chunk_id").orderBy(F.col("at").desc_nulls_last(), F.col("nid").desc())
-    return v.select("nid", "chunk_id", "at").withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").select("nid", "chunk_id")
+    """Rows (nid, h, chunk_id): of each chunk the latest vector, ties by hash, with a number. No vector is shuffled.
+
+    The numbers hold once the rows are written. They are small, so lists of them shrink in a shuffle as hashes would not.
+    """
+    w = Window.partitionBy("chunk_id").orderBy(F.col("at").desc_nulls_last(), F.col("h").desc())
+    v = v.select("h", "chunk_id", "at").withColumn("__rn", F.row_number().over(w)).filter("__rn = 1")
+    return v.select(F.monotonically_increasing_id().alias("nid"), "h", "chunk_id")
 
 
 # ---- trees
@@ -164,28 +192,29 @@ def _leaf_numbers(tree: list) -> list[int]:
 
 
 def codes(v: DataFrame) -> DataFrame:
-    """Rows (nid, code) of (nid, v, scale)."""
+    """Rows (h, code, coarse) of (h, v, scale)."""
 
     def run(batches):
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column("nid"), _binary(_encode(_matrix(b.column("v"), b.column("scale"))))], names=["nid", "code"])
+                m = _matrix(b.column("v"), b.column("scale"))
+                yield pa.RecordBatch.from_arrays([b.column("h"), _binary(_encode(m)), _binary(_encode_coarse(m))], names=["h", "code", "coarse"])
 
-    return v.select("nid", "v", "scale").mapInArrow(run, "nid bigint, code binary")
+    return v.select("h", "v", "scale").mapInArrow(run, "h bigint, code binary, coarse binary")
 
 
 def _leaves(code: DataFrame, trees: list) -> DataFrame:
-    """Rows (nid, tree, leaf, code), one a node and tree."""
+    """Rows (nid, tree, leaf, coarse), one a node and tree."""
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            m = _decode(b.column("code"))
+            m = _decode_coarse(b.column("coarse"))
             for k, t in enumerate(trees):
-                yield pa.RecordBatch.from_arrays([b.column("nid"), pa.array(np.full(len(m), k, np.int32)), pa.array(leaf_of(t, m)), b.column("code")], names=["nid", "tree", "leaf", "code"])
+                yield pa.RecordBatch.from_arrays([b.column("nid"), pa.array(np.full(len(m), k, np.int32)), pa.array(leaf_of(t, m)), b.column("coarse")], names=["nid", "tree", "leaf", "coarse"])
 
-    return code.select("nid", "code").mapInArrow(run, "nid bigint, tree int, leaf int, code binary")
+    return code.select("nid", "coarse").mapInArrow(run, "nid bigint, tree int, leaf int, coarse binary")
 
 
 _EDGE = pa.schema([("u", pa.int64()), ("w", pa.int64()), ("sim", pa.float32())])
@@ -200,7 +229,7 @@ def _within(k: int):
 
     def run(t: pa.Table) -> pa.Table:
         ids = t.column("nid").to_numpy()
-        m = _decode(t.column("code"))
+        m = _decode_coarse(t.column("coarse"))
         n = len(ids)
         kk = min(k, n - 1)
         if kk < 1:
@@ -241,7 +270,7 @@ def _local_join(lists: pa.Table, vecs: pa.Table) -> pa.Table:
     ids = vecs.column("x").to_numpy()
     order = np.argsort(ids)
     ids = ids[order]
-    m = _decode(vecs.column("code"))[order]
+    m = _decode_coarse(vecs.column("coarse"))[order]
     worst = vecs.column("worst").to_numpy()[order]
     v = lists.column("v").to_numpy()
     x = np.searchsorted(ids, lists.column("x").to_numpy())
@@ -283,7 +312,7 @@ def _join(a: DataFrame, b: DataFrame, on, how: str = "inner") -> DataFrame:
 
 
 class Index:
-    """A neighbour graph: vec (nid, v, scale), names (nid, chunk_id), code (nid, code), blocks (nid, block), edges (u, w, sim)."""
+    """A neighbour graph: vec (h, v, scale), names (nid, h, chunk_id), code (nid, code, coarse), blocks (nid, block), edges (u, w, sim)."""
 
     def __init__(self, scratch: Scratch, vec: DataFrame, names: DataFrame, code: DataFrame, blocks: DataFrame, edges: DataFrame, rounds: int):
         self.scratch, self.vec, self.names, self.code, self.blocks, self.edges, self.rounds = scratch, vec, names, code, blocks, edges, rounds
@@ -294,12 +323,12 @@ def build_index(spark: SparkSession, embeddings: DataFrame, model: str = MODEL,
     scratch = Scratch(spark, "neighbours")
     vec = scratch.keep(vectors(embeddings, model, dimensions), "uncompressed")
     names = scratch.keep(latest(vec))
-    code = scratch.keep(_join(codes(vec), names.select("nid"), "nid", "left_semi").dropDuplicates(["nid"]), "uncompressed")
+    code = scratch.keep(_join(codes(vec).dropDuplicates(["h"]), names.select("h", "nid"), "h").select("nid", "code", "coarse"), "uncompressed")
     scratch.sweep()
     n = code.count()
     trees = [[[], -1]]
     if n > LEAF:
-        sample = _decode(code.filter(F.pmod(F.xxhash64("nid", F.lit(7)), F.lit(n)) < SAMPLE).select("code").limit(2 * SAMPLE).toArrow().column("code"))
+        sample = _decode_coarse(code.filter(F.pmod(F.xxhash64("nid", F.lit(7)), F.lit(n)) < SAMPLE).select("coarse").limit(2 * SAMPLE).toArrow().column("coarse"))
         leaves = max(2, min(SAMPLE // 8, -(-n // LEAF)))
         trees = [fit_tree(sample, leaves, seed) for seed in range(1, TREES + 1)]
     placed = _leaves(code, trees)
@@ -307,7 +336,7 @@ def build_index(spark: SparkSession, embeddings: DataFrame, model: str = MODEL,
     sizes = placed.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
     placed = placed.join(F.broadcast(sizes), ["tree", "leaf"])  # one row a leaf of a bounded tree
     placed = placed.withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"))
-    start = placed.select("nid", "code", "tree", "leaf", "part").groupBy("tree", "leaf", "part").applyInArrow(_within(K), "u bigint, w bigint, sim float")
+    start = placed.select("nid", "coarse", "tree", "leaf", "part").groupBy("tree", "leaf", "part").applyInArrow(_within(K), "u bigint, w bigint, sim float")
     edges = scratch.keep(_best(_distinct(start, "u", "w", F.max("sim").alias("sim")), K).withColumn("fresh", F.lit(1)))
     # leaves are numbered as the tree is walked, so neighbouring numbers are near each other: a block is a run of them
     run = max(1, GROUP * len(set(_leaf_numbers(trees[0]))) // max(n, 1))
@@ -330,10 +359,10 @@ def _round(code: DataFrame, blocks: DataFrame, edges: DataFrame) -> DataFrame:
     # a list without a fresh member has been compared already
     lists = lists.withColumn("__any", F.max("fresh").over(Window.partitionBy("v"))).filter("__any = 1").drop("__any")
     worst = edges.groupBy("u").agg(F.when(F.count("*") >= K, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
-    known = _join(code, worst, F.col("nid") == F.col("u"), "left").select(F.col("nid").alias("x"), "code", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst"))
+    known = _join(code, worst, F.col("nid") == F.col("u"), "left").select(F.col("nid").alias("x"), "coarse", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst"))
     need = _join(lists.select("block", "x").distinct(), known, "x")
     a = lists.select(F.col("block").alias("a"), F.col("v").alias("v"), F.col("x").alias("x"), F.col("fresh").alias("fresh"))
-    b = need.select(F.col("block").alias("b"), F.col("x").alias("x"), F.col("code").alias("code"), F.col("worst").alias("worst"))
+    b = need.select(F.col("block").alias("b"), F.col("x").alias("x"), F.col("coarse").alias("coarse"), F.col("worst").alias("worst"))
     found = a.groupBy("a").cogroup(b.groupBy("b")).applyInArrow(lambda x, y: _local_join(x, y), "u bigint, w bigint, sim float")
     both = edges.select("u", "w", "sim", F.lit(0).alias("fresh")).union(found.select("u", "w", "sim", F.lit(1)))
     return _best(_distinct(both, "u", "w", F.max("sim").alias("sim"), F.min("fresh").alias("fresh")), K)
@@ -357,11 +386,15 @@ def _score(decode):
     return run
 
 
+def _needed(pairs: DataFrame) -> DataFrame:
+    """Rows (block, x): what each block needs to score its pairs (block, u, w)."""
+    return pairs.select("block", F.col("w").alias("x")).union(pairs.select("block", "u")).distinct()
+
+
 def _scored(pairs: DataFrame, vecs: DataFrame, columns: list[str], decode) -> DataFrame:
-    """Pairs (block, u, w) with their similarity; a vector comes once to each block that needs it."""
-    need = _join(pairs.select("block", F.col("w").alias("x")).union(pairs.select("block", "u")).distinct(), vecs.select(F.col("nid").alias("x"), *columns), "x")
+    """Pairs (block, u, w) with their similarity, vecs having (block, x) and the columns that decode reads."""
     a = pairs.select(F.col("block").alias("a"), F.col("u").alias("u"), F.col("w").alias("w"))
-    b = need.select(F.col("block").alias("b"), F.col("x").alias("x"), *[F.col(c).alias(c) for c in columns])
+    b = vecs.select(F.col("block").alias("b"), F.col("x").alias("x"), *[F.col(c).alias(c) for c in columns])
     run = _score(decode)
     return a.groupBy("a").cogroup(b.groupBy("b")).applyInArrow(lambda x, y: run(x, y), "u bigint, w bigint, sim float")
 
@@ -373,25 +406,38 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     HOPS times. `queries` has chunk_id; those without a usable vector get nothing, repeated ones count once.
     """
     s = index.scratch
-    q = _join(queries.select("chunk_id").distinct(), index.names, "chunk_id").select(F.col("nid").alias("u"))
+    q = _join(queries.select("chunk_id").distinct(), index.names.select("chunk_id", "nid"), "chunk_id").select(F.col("nid").alias("u"))
     step = _lists(index.edges.withColumn("fresh", F.lit(0)), REVERSE).select(F.col("v").alias("x"), F.col("x").alias("y"))
     step = s.keep(step)
     s.sweep()
-    state = s.keep(_join(index.edges.select("u", "w", "sim"), q, "u", "left_semi").withColumn("open", F.lit(True)))
+    placed = index.blocks.withColumnRenamed("nid", "u")
+
+    def score(pairs: DataFrame) -> DataFrame:
+        pairs = _join(pairs, placed, "u").select("block", "u", "w")
+        near = _join(_needed(pairs), index.code.select(F.col("nid").alias("x"), "code"), "x")
+        return _scored(pairs, near, ["code"], lambda t: _decode(t.column("code")))
+
+    # the graph's similarities are those of coarse codes: the start is scored anew
+    first = _join(index.edges.select("u", "w"), q, "u", "left_semi")
+    state = s.keep(score(first).withColumn("open", F.lit(True)))
     for _ in range(HOPS):
         w = Window.partitionBy("u").orderBy(F.col("open").desc(), F.col("sim").desc(), "w")
         ranked = state.withColumn("__rn", F.row_number().over(w)).withColumn("go", F.col("open") & (F.col("__rn") <= EXPAND))
         reached = _join(ranked.filter("go").select("u", F.col("w").alias("x")), step, "x").select("u", F.col("y").alias("w"), F.lit(0).alias("known")).filter("u <> w")
         reached = _distinct(reached.union(state.select("u", "w", F.lit(1))), "u", "w", F.max("known").alias("known")).filter("known = 0")
-        reached = _join(reached, index.blocks.withColumnRenamed("nid", "u"), "u").select("block", "u", "w")
-        scored = _scored(reached, index.code, ["code"], lambda t: _decode(t.column("code")))
+        scored = score(reached)
         merged = ranked.select("u", "w", "sim", (F.col("open") & ~F.col("go")).alias("open")).union(scored.select("u", "w", "sim", F.lit(True)))
         new = s.keep(_best(merged, BEAM))
         s.drop(state)
         state = new
     best = _join(_best(state.select("u", "w", "sim"), max(RESCORE, 2 * k)), index.blocks.withColumnRenamed("nid", "u"), "u").select("block", "u", "w")
-    state = _scored(best, index.vec, ["v", "scale"], lambda t: _matrix(t.column("v"), t.column("scale")))
-    names = index.names
+    best = s.keep(best)
+    last = _join(_needed(best), index.names.select(F.col("nid").alias("x"), "h"), "x").select("block", "x", "h")
+    v = index.vec.select("h", "v", "scale")
+    # two numbers a pair at most: few enough are sent to all tasks that read vectors, else the vectors are shuffled
+    near = v.join(F.broadcast(last), "h") if 2 * best.count() <= BROADCAST else _join(v, last, "h")
+    state = _scored(best, near, ["v", "scale"], lambda t: _matrix(t.column("v"), t.column("scale")))
+    names = index.names.select("nid", "chunk_id")
     out = _join(_join(state, names.select(F.col("nid").alias("u"), F.col("chunk_id").alias("query")), "u"), names.select(F.col("nid").alias("w"), F.col("chunk_id").alias("neighbour")), "w")
     w = Window.partitionBy("query").orderBy(F.col("sim").desc(), "neighbour")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query", "neighbour", F.col("sim").alias("similarity"), "rank")
