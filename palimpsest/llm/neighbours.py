@@ -265,12 +265,12 @@ def _lists(edges: DataFrame, reverse: int) -> DataFrame:
     return _distinct(both, "v", "x", F.max("fresh").alias("fresh"))
 
 
-def _local_join(lists: pa.Table, vecs: pa.Table) -> pa.Table:
+def _local_join(lists: pa.Table, vecs: pa.Table, decode, most: int) -> pa.Table:
     """Pairs within each node's list, at least one of them fresh, that beat the worst neighbour of their first end."""
     ids = vecs.column("x").to_numpy()
     order = np.argsort(ids)
     ids = ids[order]
-    m = _decode_coarse(vecs.column("coarse"))[order]
+    m = decode(vecs)[order]
     worst = vecs.column("worst").to_numpy()[order]
     v = lists.column("v").to_numpy()
     x = np.searchsorted(ids, lists.column("x").to_numpy())
@@ -297,12 +297,12 @@ def _local_join(lists: pa.Table, vecs: pa.Table) -> pa.Table:
     u, w, s = np.concatenate(us), np.concatenate(ws), np.concatenate(ss)
     _, first = np.unique(u.astype(np.int64) * len(ids) + w, return_index=True)
     u, w, s = u[first], w[first], s[first]
-    # of each first end only the best K can enter its list from here
+    # of each first end only the best can enter its list from here
     o = np.lexsort((-s, u))
     u, w, s = u[o], w[o], s[o]
     start = np.concatenate([[0], np.flatnonzero(np.diff(u)) + 1])
     place = np.arange(len(u)) - np.repeat(start, np.diff(np.concatenate([start, [len(u)]])))
-    keep = place < K
+    keep = place < most
     return _edges(ids[u[keep]], ids[w[keep]], s[keep])
 
 
@@ -354,16 +354,21 @@ def build_index(spark: SparkSession, embeddings: DataFrame, model: str = MODEL,
     return Index(scratch, vec, names, code, blocks, edges, rounds)
 
 
+def _compared(lists: DataFrame, known: DataFrame, column: str, decode, most: int) -> DataFrame:
+    """Edges from the lists (block, v, x, fresh), compared in their blocks; known has (x, the codes' column, worst)."""
+    need = _join(lists.select("block", "x").distinct(), known, "x")
+    a = lists.select(F.col("block").alias("a"), F.col("v").alias("v"), F.col("x").alias("x"), F.col("fresh").alias("fresh"))
+    b = need.select(F.col("block").alias("b"), F.col("x").alias("x"), F.col(column).alias(column), F.col("worst").alias("worst"))
+    return a.groupBy("a").cogroup(b.groupBy("b")).applyInArrow(lambda x, y: _local_join(x, y, decode, most), "u bigint, w bigint, sim float")
+
+
 def _round(code: DataFrame, blocks: DataFrame, edges: DataFrame) -> DataFrame:
     lists = _join(_lists(edges, REVERSE), blocks.withColumnRenamed("nid", "v"), "v")
     # a list without a fresh member has been compared already
     lists = lists.withColumn("__any", F.max("fresh").over(Window.partitionBy("v"))).filter("__any = 1").drop("__any")
     worst = edges.groupBy("u").agg(F.when(F.count("*") >= K, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
     known = _join(code, worst, F.col("nid") == F.col("u"), "left").select(F.col("nid").alias("x"), "coarse", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst"))
-    need = _join(lists.select("block", "x").distinct(), known, "x")
-    a = lists.select(F.col("block").alias("a"), F.col("v").alias("v"), F.col("x").alias("x"), F.col("fresh").alias("fresh"))
-    b = need.select(F.col("block").alias("b"), F.col("x").alias("x"), F.col("coarse").alias("coarse"), F.col("worst").alias("worst"))
-    found = a.groupBy("a").cogroup(b.groupBy("b")).applyInArrow(lambda x, y: _local_join(x, y), "u bigint, w bigint, sim float")
+    found = _compared(lists, known, "coarse", lambda t: _decode_coarse(t.column("coarse")), K)
     both = edges.select("u", "w", "sim", F.lit(0).alias("fresh")).union(found.select("u", "w", "sim", F.lit(1)))
     return _best(_distinct(both, "u", "w", F.max("sim").alias("sim"), F.min("fresh").alias("fresh")), K)
 
@@ -432,6 +437,30 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
         state = new
     best = _join(_best(state.select("u", "w", "sim"), max(RESCORE, 2 * k)), index.blocks.withColumnRenamed("nid", "u"), "u").select("block", "u", "w")
     best = s.keep(best)
+    return _finished(index, best, k)
+
+
+def graph(index: Index, k: int) -> DataFrame:
+    """Rows (query, neighbour, similarity, rank): the k most similar chunks of every chunk.
+
+    The descent's lists are those of coarse codes. Each node is put into its own list and all lists are compared once
+    more, on the four-bit codes; the best RESCORE of each node are scored on the 16-bit vectors.
+    """
+    s = index.scratch
+    own = index.blocks.select(F.col("nid").alias("v"), F.col("nid").alias("x"), F.lit(1).alias("fresh"))
+    lists = _lists(index.edges.withColumn("fresh", F.lit(1)), REVERSE).union(own)
+    lists = _join(lists, index.blocks.withColumnRenamed("nid", "v"), "v")
+    known = index.code.select(F.col("nid").alias("x"), "code", F.lit(-2.0).cast("float").alias("worst"))
+    most = max(RESCORE, 2 * k)
+    found = _compared(lists, known, "code", lambda t: _decode(t.column("code")), most)
+    best = _best(_distinct(found, "u", "w", F.max("sim").alias("sim")), most)
+    best = s.keep(_join(best, index.blocks.withColumnRenamed("nid", "u"), "u").select("block", "u", "w"))
+    s.sweep()
+    return _finished(index, best, k)
+
+
+def _finished(index: Index, best: DataFrame, k: int) -> DataFrame:
+    """Rows (query, neighbour, similarity, rank): the k best of the kept pairs (block, u, w) on the 16-bit vectors."""
     last = _join(_needed(best), index.names.select(F.col("nid").alias("x"), "h"), "x").select("block", "x", "h")
     v = index.vec.select("h", "v", "scale")
     # two numbers a pair at most: few enough are sent to all tasks that read vectors, else the vectors are shuffled
@@ -453,11 +482,9 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_graph(spark: SparkSession, d: str) -> DataFrame:
-    """The graph itself: for every usable vector its five best neighbours as the descent left them."""
+    """The graph itself: for every usable vector its five most similar chunks, scored on the 16-bit vectors."""
     index = build_index(spark, read(spark, d, "chunk_embeddings", *_COLUMNS))
-    names = index.names
-    e = _best(index.edges, 5)
-    return e.join(names.select(F.col("nid").alias("u"), "chunk_id"), "u").join(names.select(F.col("nid").alias("w"), F.col("chunk_id").alias("neighbour")), "w").select("chunk_id", "neighbour", F.col("sim").cast("double").alias("similarity"))
+    return graph(index, 5).select(F.col("query").alias("chunk_id"), "neighbour", F.col("similarity").cast("double").alias("similarity"))
 
 
 SQL = {

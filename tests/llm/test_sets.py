@@ -93,6 +93,20 @@ def test_neighbours_of_few_and_equal_vectors(spark):
     assert neighbours.search(empty, few.select("chunk_id"), 5).count() == 0
 
 
+def test_graph_answers_for_every_vector(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    m = (rng.standard_normal((100, 1, 512)) + rng.standard_normal((100, 10, 512))).reshape(-1, 512).astype(np.float32)
+    rows = [(f"c{i}", "quartz-embed-512", [float(x) for x in v], None) for i, v in enumerate(m)]
+    spark.createDataFrame(rows, "chunk_id string, model string, embedding array<float>, embedded_at timestamp").write.parquet(f"{tmp_path}/chunk_embeddings.parquet")
+    got = {(int(r.chunk_id[1:]), int(r.neighbour[1:])): r.similarity for r in neighbours.p7_graph(spark, str(tmp_path)).collect()}
+    u = m / np.linalg.norm(m, axis=1)[:, None]
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(i, int(j)) for i in range(1000) for j in np.argsort(-s[i])[:5]}
+    assert len(got) == 5000 and len(want & set(got)) >= 0.95 * 5000
+    assert all(abs(s[k] - v) < 1e-3 for k, v in got.items())
+
+
 # ---- problem 8
 @pytest.mark.parametrize("seed", range(6))
 def test_patterns_place_every_item(seed):
