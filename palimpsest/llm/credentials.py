@@ -58,6 +58,13 @@ _LOGIN = re.compile(r"(?:[Ll]ogin|[Pp]assword|[Pp]assphrase|[Cc]redentials?|[Aa]
 #: A quoted literal that holds a digit, and the name that binds it: name = "x", "name": "x", name ?? "x", get("NAME", "x").
 _QUOTED = re.compile(r"""(["'`])(?=[^\s"'`\\]{0,255}?\d)([^\s"'`\\]{8,256})\1""")
 _BINDER = re.compile(r"""([A-Za-z_$][\w$.-]*)["'`\]]?\s*(?::=|=>|\?\?|\|\||[:=,])\s*\(?\s*(?:\w+\(\s*)?([rbuf]?)\Z""")
+#: What joins a literal to the one before it, from that one's closing quote, and its content.
+_JOINED = re.compile(r"""["'`][\s\\]*(?:\+|\.{1,2}|&|\|\|)?[\s\\]*[rbuf]?(["'`])([^\s"'`\\]{1,256})(?=\1)""")
+_JOINT = re.compile(r"""(["'`][\s\\]*(?:\+|\.{1,2}|&|\|\|)?[\s\\]*[rbuf]?["'`])""")
+#: A long token that no name binds, in quotes or bare.
+_TOKEN = re.compile(r"(?<![\w+/=.@#%&?:$~\\-])[A-Za-z0-9_+/-]{18,62}={0,2}(?![\w+/=@(:\\-]|\.\w)")
+#: A part of a private key's text, up to a line break or its escape, and what may stand around it.
+_PEM_PART = re.compile(r"""((?:[\s"'`,;()#*|>]|\\(?!n)|\+(?=[\s"'`]))*)([A-Za-z0-9+/=]*)([^\n\\]*)(\n|\\r\\n|\\n|\\|\Z)""")
 #: A bare literal that holds a digit, and its name, as in environment files, YAML and query strings.
 _BARE = re.compile(r"""(?<=\w)(?:=|:[ \t]+)(?=[^\s"'`;&,<>(){}\[\]]{0,255}?\d)([^\s"'`;&,<>(){}\[\]]{8,256})(?=$|[\s;&,"'`)\]}])""", re.M)
 _NAME = re.compile(r"(?:^|(?<=[\s;&?,{(]))([A-Za-z_][\w.-]*)\Z", re.M)
@@ -146,7 +153,7 @@ def is_credential(value: str, level: int, carrier: str = "") -> bool:
     if hexa or len(value) < 20:
         # an unnamed hexadecimal literal is a digest, an unnamed short one a word
         return bool(not hexa and carrier == "env" and len(value) >= 16 and classes(value) >= 3 and is_random(value, 0.85) and re.search(r"\d[A-Za-z]|[a-z][A-Z]{2}", value))
-    return classes(value) >= 3 and len(value) <= 64 and is_random(value, 0.86) and len(re.findall(r"\d", value)) >= 2 and not _PLAIN.match(re.sub(r"\d+", "", value) or "a")
+    return classes(value) >= 3 and len(value) <= 64 and is_random(value, 0.86) and len(re.findall(r"\d", value)) >= 2 and (not _PLAIN.match(re.sub(r"\d+", "", value) or "a") or carrier == "token" and not _worded(value))
 
 
 def find(text: str, path: str | None = None) -> list[tuple[int, int, str]]:
@@ -158,7 +165,7 @@ def find(text: str, path: str | None = None) -> list[tuple[int, int, str]]:
     if "-----BEGIN" in text:
         for m in _PEM.finditer(text):
             e = _PEM_END.search(text, m.end())
-            stop = e.end() if e else min(len(text), m.end() + 4_096)
+            stop = e.end() if e else _pem_stop(text, m.end())
             body = re.sub(r"\\n|[^A-Za-z0-9+/=]", "", text[m.end() : e.start() if e else stop])
             if len(body) >= 40 and len(set(body)) > 12:
                 hits.append((m.start(), stop, "private key"))
@@ -200,12 +207,26 @@ def find(text: str, path: str | None = None) -> list[tuple[int, int, str]]:
                 b = a + len(v.rstrip(".,;:"))
             add(a, b, kind)
     env = bool(path) and (re.search(r"(?:^|/)[^/]*\.env(?:\.[^/]*)?$", path) is not None)
+    upto = 0
     for m in _QUOTED.finditer(text):
+        if m.start() < upto:
+            continue  # joined to the one before
+        v, end = m.group(2), m.end(2)
+        while j := _JOINED.match(text, end):
+            v, end = v + j.group(2), j.end(2)
+        if end > m.end(2):
+            upto = end
+            begun = [h for h in hits if m.start(2) <= h[0] and h[1] <= m.end(2)]
+            if begun:
+                # what is joined to a hit belongs to it
+                hits = [h for h in hits if not (begun[0][0] <= h[0] and h[1] <= end)] + [(begun[0][0], end, begun[0][2])]
+                blocked.append((begun[0][0], end))
+                continue
         before = text[max(0, m.start() - 120) : m.start()]
         n = _BINDER.search(before)
         if n is None:
-            continue
-        v, name = m.group(2), n.group(1)
+            continue  # a token without a name, if it is one
+        name = n.group(1)
         if "{" in v and (n.group(2) or m.group(1) == "`"):
             continue  # an interpolated string
         level, carrier = names_secret(name), ""
@@ -217,7 +238,7 @@ def find(text: str, path: str | None = None) -> list[tuple[int, int, str]]:
         elif level == 0 and re.match(r"(?i)x-[a-z]", name):
             carrier = "header"
         if is_credential(v, level, carrier) and not (level == 0 and not carrier and _in_data(text, m.start(2), m.end(2))):
-            add(m.start(2), m.end(2), "named literal" if level == 2 else "random literal")
+            add(m.start(2), end, "named literal" if level == 2 else "random literal")
     for m in _BARE.finditer(text):
         n = _NAME.search(text, max(0, m.start() - 80), m.start())
         if n is None:
@@ -230,9 +251,50 @@ def find(text: str, path: str | None = None) -> list[tuple[int, int, str]]:
             if not env and re.match(r"[A-Za-z_][\w]*(?:\.[A-Za-z_]\w*)*$", v) and not (classes(v) >= 3 and len(v) >= 12 and is_random(v, 0.85)):
                 continue  # a variable
             add(m.start(1), m.start(1) + len(v), "named literal")
+    for m in _TOKEN.finditer(text):
+        v = m.group()
+        if is_credential(v, 0, "token") and free(m.start(), m.end()) and _unbound(text, m.start(), m.end()):
+            add(m.start(), m.end(), "random token")
     return sorted(hits)
 
 
+def _pem_stop(text: str, at: int) -> int:
+    """Where the body of a private key that has no end line ends."""
+    stop, begun, gap = at, False, False
+    for p in _PEM_PART.finditer(text, at):
+        token, rest = p.group(2), p.group(3)
+        if not token and not rest:
+            gap = gap or p.group(1).count("\n") > 0
+        elif not begun and re.match(r"[A-Za-z-]+: ", token + rest):
+            pass  # a header of the block
+        elif token and (len(token) >= 16 or begun and not gap and not rest.strip("\"'`,;() \r\t+")):
+            stop, begun, gap = p.end(2), True, p.group(1).count("\n") > 1
+            if rest.strip("\"'`,;() \r\t+"):
+                break
+        else:
+            break
+        if p.end() >= len(text):
+            break
+    return stop
+
+
+def _unbound(text: str, a: int, b: int) -> bool:
+    """Whether a token that no name binds may be a credential: it is no digest or id by its name, no path and no line of data."""
+    before, after = text[max(0, a - 120) : a], text[b : b + 100]
+    n = _BINDER.search(before[:-1] if before[-1:] in ("\"", "'", "`") else before)
+    if n is not None and names_secret(n.group(1)) < 0:
+        return False
+    if re.search(r"[A-Za-z0-9+/=]{40,}[\"'`,\\n\s+]*\Z", before) or re.match(r"[\"'`,\\n\s+]*[A-Za-z0-9+/=]{40,}", after):
+        return False
+    return not _worded(text[a:b]) and not _in_data(text, a, b)
+
+
+def _worded(s: str) -> bool:
+    """Whether the letters of a string stand in words, also joined ones, rather than at random."""
+    words = [w for w in _WORDS.findall(s) if w.isalpha()]
+    return bool(words) and sum(map(len, words)) >= 3 * len(words)
+
+
 _CONTEXTS = (
     (("://",), _URL, "url"),
     (("assword=", "ASSWORD=", "wd=", "WD="), _DSN, "connection string"),
@@ -262,7 +324,8 @@ def redact(text: str, found: list[tuple[int, int, str]]) -> str:
             stop = tail.start() if tail else len(piece)
             out.append(piece[: head.end()] + re.sub(r"(?<!\\)[A-Za-z0-9+/=]", "X", piece[head.end() : stop]) + piece[stop:])
         else:
-            out.append(re.sub(r"[A-Za-z0-9]", "X", piece))
+            # what joins the parts of a split literal stays
+            out += [x if k % 2 else re.sub(r"[A-Za-z0-9]", "X", x) for k, x in enumerate(_JOINT.split(piece))]
         pos = b
     out.append(text[pos:])
     return "".join(out)
@@ -280,7 +343,7 @@ def findings(chunks: DataFrame) -> DataFrame:
 
     def one(chunk_id, content, path):
         for a, b, kind in find(content or "", path):
-            yield chunk_id, content.count("\n", 0, a) + 1, a, b, kind, entropy(content[a:b])
+            yield chunk_id, content.count("\n", 0, a) + 1, a, b, kind, entropy("".join(_JOINT.split(content[a:b])[::2]))
 
     return map_rows(chunks.select("id", "content", "path").filter(F.col("content").isNotNull()), _FOUND, one)
 
