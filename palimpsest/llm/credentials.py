@@ -57,6 +57,8 @@ _OPTION = re.compile(r"(?<!\S)--?(?:p|pass|password|passphrase|token|key|secret|
 _LOGIN = re.compile(r"(?:[Ll]ogin|[Pp]assword|[Pp]assphrase|[Cc]redentials?|[Aa]ccount)\b[^\n`\"']{0,40}`[^`\n]+`[^\n`]{0,12}\s`([^`\s]+)`|\blogin\s+\S+\s+/\s+(\S+)")
 #: A quoted literal that holds a digit, and the name that binds it: name = "x", "name": "x", name ?? "x", get("NAME", "x").
 _QUOTED = re.compile(r"""(["'`])(?=[^\s"'`\\]{0,255}?\d)([^\s"'`\\]{8,256})\1""")
+#: Any quoted content, tried from each quote on: what may stand under a credential's name, with blanks and escapes.
+_ANY_QUOTED = re.compile(r"""(?<=[\s=:,(?|>rbuf])(["'`])(?=((?:\\.|(?!\1)[^\\\n]){8,256})\1)""")
 _BINDER = re.compile(r"""([A-Za-z_$][\w$.-]*)["'`\]]?\s*(?::=|=>|\?\?|\|\||[:=,])\s*\(?\s*(?:\w+\(\s*)?([rbuf]?)\Z""")
 #: What joins a literal to the one before it, from that one's closing quote, and its content.
 _JOINED = re.compile(r"""["'`][\s\\]*(?:\+|\.{1,2}|&|\|\|)?[\s\\]*[rbuf]?(["'`])([^\s"'`\\]{1,256})(?=\1)""")
@@ -65,13 +67,15 @@ _JOINT = re.compile(r"""(["'`][\s\\]*(?:\+|\.{1,2}|&|\|\|)?[\s\\]*[rbuf]?["'`])"
 _TOKEN = re.compile(r"(?<![\w+/=.@#%&?:$~\\-])[A-Za-z0-9_+/-]{18,62}={0,2}(?![\w+/=@(:\\-]|\.\w)")
 #: A part of a private key's text, up to a line break or its escape, and what may stand around it.
 _PEM_PART = re.compile(r"""((?:[\s"'`,;()#*|>]|\\(?!n)|\+(?=[\s"'`]))*)([A-Za-z0-9+/=]*)([^\n\\]*)(\n|\\r\\n|\\n|\\|\Z)""")
-#: A bare literal that holds a digit, and its name, as in environment files, YAML and query strings.
-_BARE = re.compile(r"""(?<=\w)(?:=|:[ \t]+)(?=[^\s"'`;&,<>(){}\[\]]{0,255}?\d)([^\s"'`;&,<>(){}\[\]]{8,256})(?=$|[\s;&,"'`)\]}])""", re.M)
+#: A bare literal and its name, as in environment files, YAML and query strings.
+_BARE = re.compile(r"""(?<=\w)(?:=|:[ \t]+)([^\s"'`;&,<>(){}\[\]]{8,256})(?=$|[\s;&,"'`)\]}])""", re.M)
 _NAME = re.compile(r"(?:^|(?<=[\s;&?,{(]))([A-Za-z_][\w.-]*)\Z", re.M)
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\Z")
 _HEX = re.compile(r"(?:0x)?[0-9a-fA-F]+\Z")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _PLAIN = re.compile(r"[A-Za-z]+(?:[-_./:][A-Za-z]+)*\Z")
+# Words of a sentence that no passphrase of drawn words is likely to hold.
+_TALK = frozenset("a an the your you to of for is are be in on or and not with from this that enter please no must".split())
 _MASK_KEEP = re.compile(r"[^A-Za-z0-9]")
 
 
@@ -138,13 +142,15 @@ def is_credential(value: str, level: int, carrier: str = "") -> bool:
     """Whether a literal under a name of this level is one. The threshold falls with the clarity of the context."""
     if is_placeholder(value) or _UUID.match(value) or value.startswith(("sha1-", "sha256:", "sha512:", "sha256-", "sha384-", "sha512-", "md5:", "http://", "https://", "./", "../", "/api", "@")):
         return False
-    if value.isdigit() or _PLAIN.match(value) and not (level == 2 and classes(value) >= 2 and re.search(r"[a-z][A-Z][a-z]*[A-Z]|[A-Z]{2}[a-z]", value) and is_random(value, 0.9)):
+    if value.isdigit() or _PLAIN.match(value) and not (level == 2 and not _worded(value) and classes(value) >= 2 and re.search(r"[a-z][A-Z][a-z]*[A-Z]|[A-Z]{2}[a-z]", value) and is_random(value, 0.9)):
         return False
-    if "://" in value or value.count("(") or value.count(".") > 4:
+    if "://" in value or value.count("(") and (level < 2 or re.search(r"^[\w.]+\(.*\)$|\w\(\)", value)) or value.count(".") > 4:
         return False
+    if level == 2 and re.search(r"\s", value):
+        return _phrase(value, carrier == "phrase")
     digits = any(c.isdigit() for c in value)
     if level == 2:
-        return len(value) >= 8 and (digits or classes(value) >= 3) and is_random(value, 0.72 if len(value) < 20 else 0.8)
+        return len(value) >= 8 and (digits or classes(value) >= 3 or _PLAIN.match(value)) and is_random(value, 0.72 if len(value) < 20 else 0.8)
     if level < 0 or len(value) > 120:
         return False
     hexa = _HEX.match(value)
@@ -156,6 +162,14 @@ def is_credential(value: str, level: int, carrier: str = "") -> bool:
     return classes(value) >= 3 and len(value) <= 64 and is_random(value, 0.86) and len(re.findall(r"\d", value)) >= 2 and (not _PLAIN.match(re.sub(r"\d+", "", value) or "a") or carrier == "token" and not _worded(value))
 
 
+def _phrase(value: str, named: bool) -> bool:
+    """Whether a text with blanks under a credential's name is one: it holds a word that is none, or is a passphrase by its name."""
+    words = value.split()
+    if any(len(w) >= 5 and classes(w) >= 3 and any(c.isdigit() for c in w) and not w.startswith(("$", "{", "%")) and is_random(w, 0.72) for w in words):
+        return True
+    return named and len(words) >= 4 and all(w.isalpha() and w.islower() for w in words) and not _TALK.intersection(words)
+
+
 def find(text: str, path: str | None = None) -> list[tuple[int, int, str]]:
     """The credentials of a text as (start, end, kind), in order and without overlaps."""
     if not text:
@@ -239,6 +253,20 @@ def find(text: str, path: str | None = None) -> list[tuple[int, int, str]]:
             carrier = "header"
         if is_credential(v, level, carrier) and not (level == 0 and not carrier and _in_data(text, m.start(2), m.end(2))):
             add(m.start(2), end, "named literal" if level == 2 else "random literal")
+    for m in _ANY_QUOTED.finditer(text):
+        v = m.group(2)
+        a, b = m.span(2)
+        if not free(a, b):
+            continue
+        before = text[max(0, m.start() - 120) : m.start()]
+        n = _BINDER.search(before)
+        if n is None or names_secret(n.group(1)) != 2 or "{" in v and (n.group(2) or m.group(1) == "`"):
+            continue
+        whole, end = v, b
+        while j := _JOINED.match(text, end):
+            whole, end = whole + j.group(2), j.end(2)
+        if is_credential(whole, 2, "phrase" if "phrase" in n.group(1).lower() else ""):
+            add(a, end, "named literal")
     for m in _BARE.finditer(text):
         n = _NAME.search(text, max(0, m.start() - 80), m.start())
         if n is None:

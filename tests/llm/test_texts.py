@@ -245,6 +245,27 @@ def test_split_and_unbound_credentials_are_masked_whole(text, parts):
     assert "".join(c for c in masked if not c.isalnum()) == "".join(c for c in text if not c.isalnum())
 
 
+@pytest.mark.parametrize(
+    "text, secret",
+    [
+        ('password = "Kmq!vTz_LpWx#Rb"', "Kmq!vTz_LpWx#Rb"),
+        ('CLIENT_SECRET = "yAvkQbrTzhmWjxLpCd"', "yAvkQbrTzhmWjxLpCd"),
+        ('DB_PASSWORD=Kmq!vTz_LpWx#Rb', "Kmq!vTz_LpWx#Rb"),
+        ('db_password: "x7(Qm)Lp2!vTz"', "x7(Qm)Lp2!vTz"),
+        ('const password = "m4 Qz!t8Lw xR";', "m4 Qz!t8Lw xR"),
+        ('password = "q\\"7Rt!2Xv9Lm"', 'q\\"7Rt!2Xv9Lm'),
+        ('passphrase = "correct horse battery staple"', "correct horse battery staple"),
+    ],
+)
+def test_named_credentials_of_any_characters(text, secret):
+    assert [text[a:b] for a, b, _ in cr.find(text, "a/.env" if text.startswith("DB_") else "a/x.py")] == [secret]
+
+
+@pytest.mark.parametrize("text", ['password = "Enter your old password"', 'token = "authTokenFromHeader"', "password = getPassword(user)", 'secret = "readSecret()"', "token: currentUserToken", 'label(password, "Password is not set, see the docs")', "PASSWORD=PasswordFromVault"])
+def test_words_under_a_credentials_name_are_harmless(text):
+    assert cr.find(text, "a/x.py") == []
+
+
 def test_private_key_without_its_end_is_masked_to_the_end_of_its_body():
     rng = random.Random(9)
     body = "\n".join("".join(rng.choices("ABCDEFGHJKMNPQRSTabcdefghkmnpqrst23456789+/", k=64)) for _ in range(90))
