@@ -51,6 +51,8 @@ _THIRD_PARTY = re.compile(
     )""",
     re.X | re.I | re.M,
 )
+#: What a comment after the first line of code has to say: there it may tell of what code does.
+_PLAINLY = re.compile(r"\bdo not (?:edit|modify)\b|@generated\b|<auto-?generated|\bcode generated\b|\b(?:this|the) (?:file|source) (?:is|was|has been) (?:auto(?:matically)?[ -]?)?(?:generated|created)\b", re.I)
 _OWN = re.compile(r"\b(?:maintainers|authors|contributors|owners) of this (?:repository|project)\b|\bthis repository\b", re.I)
 #: Shapes of the output of common schema compilers, without a header: (pattern, least number of matches, least share of the lines).
 _SHAPES = [
@@ -65,15 +67,35 @@ _SEPARATORS = re.compile(r"[\s,\[\](){}+;:]+")
 _BASE64 = re.compile(r"[\"'`][A-Za-z0-9+/=]{40,}[\"'`]")
 
 
-def head(text: str) -> str:
-    """The comment lines with which a file begins, up to its first line of code, at most 30."""
-    out = []
-    for line in text[:8192].split("\n")[:30]:
+# Pairs that open and close a comment of several lines.
+_BLOCKS = (("/*", "*/"), ('"""', '"""'), ("'''", "'''"), ("<!--", "-->"))
+
+
+def head(text: str) -> tuple[str, str]:
+    """The comment lines with which a file begins, whole, and those that follow its first line of code."""
+    parts: tuple[list[str], list[str]] = ([], [])
+    close, code, at = "", False, 0
+    while at <= len(text):
+        end = text.find("\n", at)
+        line = text[at : end if end >= 0 else len(text)]
+        at = end + 1 if end >= 0 else len(text) + 1
         bare = line.strip()
-        if bare and not re.match(_COMMENT, line) and not line.startswith("#!") and not (out and out[0].lstrip().startswith(("/*", '"""', "'''", "<!--")) and "*/" not in "\n".join(out)):
-            break
-        out.append(line)
-    return "\n".join(out)
+        if close:
+            if close == "*/" and not re.match(_COMMENT, line):
+                line = "* " + line  # a line within a comment is one without its own mark too
+            if close in line:
+                close = ""
+        elif bare and not re.match(_COMMENT, line) and not line.startswith("#!"):
+            if code:
+                break
+            code = True
+            continue  # one line of code, such as 'use strict' or a package clause
+        else:
+            for a, b in _BLOCKS:
+                if bare.startswith(a) and b not in bare[len(a) :]:
+                    close = b
+        parts[code].append(line)
+    return "\n".join(parts[0]), "\n".join(parts[1])
 
 
 def evidence(path: str | None, text: str | None) -> str | None:
@@ -86,11 +108,12 @@ def evidence(path: str | None, text: str | None) -> str | None:
     ending = base.rsplit(".", 1)[-1] if "." in base else ""
     if ending not in CODE_ENDINGS or not text:
         return None
-    h = head(text)
-    if h:
+    for late, h in enumerate(head(text)):
         # a mention of generated things elsewhere in a sentence is no declaration: the line must say it of this file
         for m in _GENERATED.finditer(h):
             line = h[h.rfind("\n", 0, m.start()) + 1 : (h.find("\n", m.end()) + 1 or len(h) + 1) - 1]
+            if late and not _PLAINLY.search(line):
+                continue
             if not re.search(r"(?i)\bsee \S+;|\bgenerated (?:reports?|files?|output|code|artifacts?) (?:go|goes|live|lives|are|is) ", line):
                 return "generated"
         for m in _THIRD_PARTY.finditer(h):
@@ -107,10 +130,9 @@ def evidence(path: str | None, text: str | None) -> str | None:
         blob = sum(len(m.group()) for m in _BASE64.finditer(text))
         if blob >= DATA_SHARE * n:
             return "data"
-        if any(c.isdigit() for c in text[:2048]) and text.count("\n") * 600 > n:
-            rest = len(_SEPARATORS.sub("", _LITERAL.sub("", text)))
-            if rest <= (1 - DATA_SHARE) * n * 0.5 and len(_LITERAL.findall(text)) >= 64:
-                return "data"
+        rest = len(_SEPARATORS.sub("", _LITERAL.sub("", text)))
+        if rest <= (1 - DATA_SHARE) * n * 0.5 and len(_LITERAL.findall(text)) >= 64:
+            return "data"
         long = n / lines > MINIFIED_LINE
         if long and sum(map(text.count, " \t\n\r")) < MINIFIED_SPACE * n:
             return "minified"

@@ -147,6 +147,26 @@ def test_evidence(path, text, want):
     assert not_handwritten.evidence(path, text) == want
 
 
+_ROW = "  0x1f2e3d4c, 0x0badcafe, 0x12345678,\n"
+
+
+@pytest.mark.parametrize(
+    "path, text, want",
+    [
+        ("a/x.py", "# words of a licence without any figure in them\n" * 50 + "t = [\n" + _ROW * 1500 + "]\n", "data"),
+        ("a/x.py", 't = [\n' + '  "a string of a table, in words only",\n' * 80 + _ROW * 20 + "]\n", "data"),
+        ("a/x.go", "package a\nvar t = []int{" + "10, 20, 30, " * 300 + "}\n", "data"),
+        ("a/x.ts", "/*\n" + "words of a licence\n" * 500 + "Code generated by tool. DO NOT EDIT.\n*/\nf();", "generated"),
+        ("a/x.ts", "// words of a licence\n" * 500 + "// Code generated by tool v1. DO NOT EDIT.\nf();", "generated"),
+        ("a/x.js", "'use strict';\n// Code generated by tool v1. DO NOT EDIT.\nf();", "generated"),
+        ("a/x.go", "package a\n\n// Read takes lines generated by the lexer.\nfunc Read() {}\n", None),
+        ("a/x.js", "f();\ng();\n// Code generated by tool v1. DO NOT EDIT.\n", None),
+    ],
+)
+def test_evidence_beyond_the_beginning(path, text, want):
+    assert not_handwritten.evidence(path, text) == want
+
+
 def test_attribute_files_decide_by_depth_and_line(spark):
     rows = [
         ("g0", "r", ".gitattributes", "*.ts linguist-generated\nvendor/** linguist-vendored=true\n"),
