@@ -1,8 +1,10 @@
 """Problem 6: credentials embedded in code, configuration and prose.
 
-Quoted strings and long tokens are taken from each text with the name or phrase they stand under; their
-Shannon entropy in the alphabet they use is held against a threshold that falls with their length and with how
-clearly the context names a credential. Digests, ids, public keys, placeholders and references are left out.
+Quoted strings and long tokens of any length are taken from each text with the name or phrase they stand under.
+Two Shannon entropies are held against thresholds that depend on the length and fall with how clearly the context
+names a credential: that of the characters, relative to the alphabet they use, and that of the alphabets along the
+string. Of what reaches them, digests, ids, public keys, names made of words, placeholders and references are left
+out.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from .arrow import map_rows
 
 # Words that make a name the name of a credential when they end it.
 SECRET_WORDS = frozenset("password passwd passphrase passcode pass pwd pw secret secrets token tok apikey credential credentials cred creds login hmac auth authorization bearer pat dsn".split())
+#: ... those of them that people choose the value of,
+PASSWORD_WORDS = frozenset("password passwd passphrase passcode pass pwd pw login".split())
 #: ... and pairs of a word and "key", "seed", "master" or "salt" that do.
 SECRET_PAIRS = frozenset(
     "api_key access_key signing_key secret_key private_key encryption_key auth_key client_key deploy_key master_key account_key shared_key service_key license_key session_key session_seed salt_master master_salt webhook_key ssh_key upstream_auth".split()
@@ -55,20 +59,20 @@ _SQL_PASSWORD = re.compile(r"(?:[Pp]assword|PASSWORD|[Ii]dentified\s+by|IDENTIFI
 _HEADER = re.compile(r"(?:[Aa]uthorization|AUTHORIZATION)[\"'`]?\s*[:=,]\s*[\"'`]?\s*(?:[Bb]earer|[Bb]asic|[Tt]oken)\s+([^\s\"'`,;)}]{8,})")
 _OPTION = re.compile(r"(?<!\S)--?(?:p|pass|password|passphrase|token|key|secret|api-key|apikey|auth|access-token|credential)[ =]([^\s\"'`]+)")
 _LOGIN = re.compile(r"(?:[Ll]ogin|[Pp]assword|[Pp]assphrase|[Cc]redentials?|[Aa]ccount)\b[^\n`\"']{0,40}`[^`\n]+`[^\n`]{0,12}\s`([^`\s]+)`|\blogin\s+\S+\s+/\s+(\S+)")
-#: A quoted literal that holds a digit, and the name that binds it: name = "x", "name": "x", name ?? "x", get("NAME", "x").
-_QUOTED = re.compile(r"""(["'`])(?=[^\s"'`\\]{0,255}?\d)([^\s"'`\\]{8,256})\1""")
+#: A quoted literal without blanks, and the name that binds it: name = "x", "name": "x", name ?? "x", get("NAME", "x").
+_QUOTED = re.compile(r"""(["'`])([^\s"'`\\]{8,})\1""")
 #: Any quoted content, tried from each quote on: what may stand under a credential's name, with blanks and escapes.
-_ANY_QUOTED = re.compile(r"""(?<=[\s=:,(?|>rbuf])(["'`])(?=((?:\\.|(?!\1)[^\\\n]){8,256})\1)""")
+_ANY_QUOTED = re.compile(r"""(?<=[\s=:,(?|>rbuf])(["'`])(?=((?:\\.|(?!\1)[^\\\n]){8,})\1)""")
 _BINDER = re.compile(r"""([A-Za-z_$][\w$.-]*)["'`\]]?\s*(?::=|=>|\?\?|\|\||[:=,])\s*\(?\s*(?:\w+\(\s*)?([rbuf]?)\Z""")
 #: What joins a literal to the one before it, from that one's closing quote, and its content.
-_JOINED = re.compile(r"""["'`][\s\\]*(?:\+|\.{1,2}|&|\|\|)?[\s\\]*[rbuf]?(["'`])([^\s"'`\\]{1,256})(?=\1)""")
-_JOINT = re.compile(r"""(["'`][\s\\]*(?:\+|\.{1,2}|&|\|\|)?[\s\\]*[rbuf]?["'`])""")
+_JOINED = re.compile(r"""["'`][\s\\]*(?:\+|\.{1,2}|&|\|\|)?[\s\\]*(?:(?:\#|//)[^\n]*\n\s*)*[rbuf]?(["'`])([^\s"'`\\]+)(?=\1)""")
+_JOINT = re.compile(r"""(["'`][\s\\]*(?:\+|\.{1,2}|&|\|\|)?[\s\\]*(?:(?:\#|//)[^\n]*\n\s*)*[rbuf]?["'`])""")
 #: A long token that no name binds, in quotes or bare.
-_TOKEN = re.compile(r"(?<![\w+/=.@#%&?:$~\\-])[A-Za-z0-9_+/-]{18,62}={0,2}(?![\w+/=@(:\\-]|\.\w)")
+_TOKEN = re.compile(r"(?<![\w+/=.@#%&?:$~\\-])[A-Za-z0-9_+/-]{18,}={0,2}(?![\w+/=@(:\\-]|\.\w)")
 #: A part of a private key's text, up to a line break or its escape, and what may stand around it.
 _PEM_PART = re.compile(r"""((?:[\s"'`,;()#*|>]|\\(?!n)|\+(?=[\s"'`]))*)([A-Za-z0-9+/=]*)([^\n\\]*)(\n|\\r\\n|\\n|\\|\Z)""")
 #: A bare literal and its name, as in environment files, YAML and query strings.
-_BARE = re.compile(r"""(?<=\w)(?:=|:[ \t]+)([^\s"'`;&,<>(){}\[\]]{8,256})(?=$|[\s;&,"'`)\]}])""", re.M)
+_BARE = re.compile(r"""(?<=\w)(?:=|:[ \t]+)([^\s"'`;&,<>(){}\[\]]{8,})(?=$|[\s;&,"'`)\]}])""", re.M)
 _NAME = re.compile(r"(?:^|(?<=[\s;&?,{(]))([A-Za-z_][\w.-]*)\Z", re.M)
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\Z")
 _HEX = re.compile(r"(?:0x)?[0-9a-fA-F]+\Z")
@@ -76,7 +80,8 @@ _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _PLAIN = re.compile(r"[A-Za-z]+(?:[-_./:][A-Za-z]+)*\Z")
 # Words of a sentence that no passphrase of drawn words is likely to hold.
 _TALK = frozenset("a an the your you to of for is are be in on or and not with from this that enter please no must".split())
-_MASK_KEEP = re.compile(r"[^A-Za-z0-9]")
+#: Characters from which on a literal without a name is data, not a token.
+BLOB = 160
 
 
 def entropy(s: str) -> float:
@@ -98,14 +103,39 @@ def alphabet(s: str) -> int:
     return 94
 
 
-def is_random(s: str, share: float) -> bool:
-    """Whether the entropy reaches a share of what a random string of this length and alphabet would have."""
-    n = len(s)
-    if n < 6:
+def alphabet_entropy(s: str) -> float:
+    """Shannon entropy of each character's alphabet (lower case, upper case, digits, signs) given the one before it, in bits.
+
+    Words and names stay within an alphabet and change it in fixed ways; a random string changes it at random.
+    """
+    kinds = ["a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "-" for c in s]
+    pairs = Counter(zip(kinds, kinds[1:]))
+    first = Counter(kinds[:-1])
+    n = len(kinds) - 1
+    return -sum(c / n * math.log2(c / first[x]) for (x, _), c in pairs.items()) if n > 0 else 0.0
+
+
+# By how clear the context is, the least share of what a random string of the length and alphabet would
+# have in entropy of characters (shorter than LONG, and from there on), and the least entropy of alphabets in bits.
+# 0: no name; 1: a header or exported variable; 2: a credential's name; 3: a password's; 4: a form that tells by itself.
+LONG = 20
+THRESHOLDS = {0: (0.87, 0.86, 0.78), 1: (0.78, 0.78, 0.45), 2: (0.72, 0.8, 0.35), 3: (0.72, 0.74, 0.3), 4: (0.6, 0.6, 0.0)}
+#: The same where there are only letters, and signs between words: names are made of them.
+LETTERS = (0.93, 0.93, 0.6)
+#: Characters that tell the entropy of alphabets; of fewer, less is asked.
+TELLING = 16
+
+
+def is_random(s: str, level: int) -> bool:
+    """Whether the entropies of a string reach the thresholds of its length and of how clearly its context names a credential."""
+    if len(s) < 6:
         return False
-    best = math.log2(min(n, alphabet(s)))
-    # a random draw of n from an alphabet repeats letters: expected entropy stays below the bound
-    return entropy(s) >= share * best
+    at, telling = THRESHOLDS[level], min(1.0, len(s) / TELLING)
+    bare = s if level >= 2 else re.sub(r"[-_]?v?\d{1,3}\Z", "", s)
+    if level < 4 and _PLAIN.match(bare) and not (level == 3 and classes(s) >= 3 and not s[:1].isupper()):
+        s, at, telling = bare, LETTERS, 1.0  # but for a password chosen of words
+    n = len(s)  # a random draw of n from an alphabet holds no more than n different letters
+    return n > 0 and entropy(s) >= at[n >= LONG] * math.log2(min(n, alphabet(s))) and alphabet_entropy(s) >= at[2] * telling
 
 
 def classes(s: str) -> int:
@@ -125,7 +155,7 @@ def is_placeholder(s: str) -> bool:
 
 
 def names_secret(name: str) -> int:
-    """2: the name says credential; 0: it says nothing; -1: it says digest, id or text."""
+    """3: the name says password; 2: it says credential; 0: it says nothing; -1: it says digest, id or text."""
     parts = [w.lower() for w in _WORDS.findall(name)]
     if not parts:
         return 0
@@ -134,38 +164,43 @@ def names_secret(name: str) -> int:
         parts.pop()
         last = parts[-1]
     if last in SECRET_WORDS or "_".join(parts[-2:]) in SECRET_PAIRS:
-        return 2
+        return 3 if last in PASSWORD_WORDS else 2
     return -1 if last in DIGEST_WORDS else 0
 
 
-def is_credential(value: str, level: int, carrier: str = "") -> bool:
-    """Whether a literal under a name of this level is one. The threshold falls with the clarity of the context."""
+def is_excluded(value: str, level: int) -> bool:
+    """Placeholders, references, ids, digests by their prefix, addresses, paths, calls and numbers."""
     if is_placeholder(value) or _UUID.match(value) or value.startswith(("sha1-", "sha256:", "sha512:", "sha256-", "sha384-", "sha512-", "md5:", "http://", "https://", "./", "../", "/api", "@")):
+        return True
+    if value.isdigit() or "://" in value or value.count(".") > 4:
+        return True
+    if value.count("(") and (level < 2 or re.search(r"^[\w.]+\(.*\)$|\w\(\)", value)):
+        return True
+    return False
+
+
+def is_credential(value: str, level: int, carrier: str = "") -> bool:
+    """Whether a literal under a name of this level is one: by its entropies first, then by what is excluded.
+
+    The thresholds fall with the clarity of the context. A long literal that nothing names is a digest if it is
+    hexadecimal, and data saved as code from BLOB characters on.
+    """
+    if level >= 2 and re.search(r"\s", value):
+        return not is_excluded(value, level) and _phrase(value, carrier == "phrase")
+    if level < 0:
         return False
-    if value.isdigit() or _PLAIN.match(value) and not (level == 2 and not _worded(value) and classes(value) >= 2 and re.search(r"[a-z][A-Z][a-z]*[A-Z]|[A-Z]{2}[a-z]", value) and is_random(value, 0.9)):
-        return False
-    if "://" in value or value.count("(") and (level < 2 or re.search(r"^[\w.]+\(.*\)$|\w\(\)", value)) or value.count(".") > 4:
+    clear = level if level >= 2 else 1 if carrier in ("export", "header") else 0
+    if len(value) < (8 if clear >= 2 else 16 if carrier in ("export", "header", "env") else 18) or not is_random(value, clear):
         return False
-    if level == 2 and re.search(r"\s", value):
-        return _phrase(value, carrier == "phrase")
-    digits = any(c.isdigit() for c in value)
-    if level == 2:
-        return len(value) >= 8 and (digits or classes(value) >= 3 or _PLAIN.match(value)) and is_random(value, 0.72 if len(value) < 20 else 0.8)
-    if level < 0 or len(value) > 120:
+    if clear == 0 and (_HEX.match(value) or len(value) >= BLOB):
         return False
-    hexa = _HEX.match(value)
-    if carrier in ("export", "header"):
-        return len(value) >= 16 and digits and is_random(value, 0.78)
-    if hexa or len(value) < 20:
-        # an unnamed hexadecimal literal is a digest, an unnamed short one a word
-        return bool(not hexa and carrier == "env" and len(value) >= 16 and classes(value) >= 3 and is_random(value, 0.85) and re.search(r"\d[A-Za-z]|[a-z][A-Z]{2}", value))
-    return classes(value) >= 3 and len(value) <= 64 and is_random(value, 0.86) and len(re.findall(r"\d", value)) >= 2 and (not _PLAIN.match(re.sub(r"\d+", "", value) or "a") or carrier == "token" and not _worded(value))
+    return not is_excluded(value, level)
 
 
 def _phrase(value: str, named: bool) -> bool:
     """Whether a text with blanks under a credential's name is one: it holds a word that is none, or is a passphrase by its name."""
     words = value.split()
-    if any(len(w) >= 5 and classes(w) >= 3 and any(c.isdigit() for c in w) and not w.startswith(("$", "{", "%")) and is_random(w, 0.72) for w in words):
+    if any(len(w) >= 5 and classes(w) >= 3 and not w.startswith(("$", "{", "%")) and is_random(w, 2) for w in words):
         return True
     return named and len(words) >= 4 and all(w.isalpha() and w.islower() for w in words) and not _TALK.intersection(words)
 
@@ -204,7 +239,7 @@ def find(text: str, path: str | None = None) -> list[tuple[int, int, str]]:
     for pattern in known:
         for m in pattern.finditer(text):
             v = m.group()
-            if not is_placeholder(v) and is_random(v.rsplit("_", 1)[-1] if "_" in v else v, 0.6):
+            if not is_placeholder(v) and is_random(v.rsplit("_", 1)[-1] if "_" in v else v, 4):
                 add(m.start(), m.end(), "known token")
     for sign, pattern, kind in _CONTEXTS:
         if not any(x in text for x in sign):
@@ -212,9 +247,7 @@ def find(text: str, path: str | None = None) -> list[tuple[int, int, str]]:
         for m in pattern.finditer(text):
             k = 1 if m.group(1) is not None else 2
             v = m.group(k)
-            if is_placeholder(v) or len(v) < 6 or v.isdigit() or (_PLAIN.match(v) and classes(v) < 2):
-                continue
-            if kind in ("option", "login") and not (classes(v) >= 3 or is_random(v, 0.8) and any(c.isdigit() for c in v)):
+            if is_placeholder(v) or v.isdigit() or not is_random(v, 2 if kind in ("option", "login") else 3):
                 continue
             a, b = m.span(k)
             if kind in ("login", "option"):
@@ -252,7 +285,7 @@ def find(text: str, path: str | None = None) -> list[tuple[int, int, str]]:
         elif level == 0 and re.match(r"(?i)x-[a-z]", name):
             carrier = "header"
         if is_credential(v, level, carrier) and not (level == 0 and not carrier and _in_data(text, m.start(2), m.end(2))):
-            add(m.start(2), end, "named literal" if level == 2 else "random literal")
+            add(m.start(2), end, "named literal" if level >= 2 else "random literal")
     for m in _ANY_QUOTED.finditer(text):
         v = m.group(2)
         a, b = m.span(2)
@@ -260,12 +293,12 @@ def find(text: str, path: str | None = None) -> list[tuple[int, int, str]]:
             continue
         before = text[max(0, m.start() - 120) : m.start()]
         n = _BINDER.search(before)
-        if n is None or names_secret(n.group(1)) != 2 or "{" in v and (n.group(2) or m.group(1) == "`"):
+        if n is None or names_secret(n.group(1)) < 2 or "{" in v and (n.group(2) or m.group(1) == "`"):
             continue
         whole, end = v, b
         while j := _JOINED.match(text, end):
             whole, end = whole + j.group(2), j.end(2)
-        if is_credential(whole, 2, "phrase" if "phrase" in n.group(1).lower() else ""):
+        if is_credential(whole, names_secret(n.group(1)), "phrase" if "phrase" in n.group(1).lower() else ""):
             add(a, end, "named literal")
     for m in _BARE.finditer(text):
         n = _NAME.search(text, max(0, m.start() - 80), m.start())
@@ -276,7 +309,7 @@ def find(text: str, path: str | None = None) -> list[tuple[int, int, str]]:
         if level == 0 and not env:
             continue
         if is_credential(v, level, "env" if env else ""):
-            if not env and re.match(r"[A-Za-z_][\w]*(?:\.[A-Za-z_]\w*)*$", v) and not (classes(v) >= 3 and len(v) >= 12 and is_random(v, 0.85)):
+            if not env and re.match(r"[A-Za-z_][\w]*(?:\.[A-Za-z_]\w*)*$", v) and not (len(v) >= 12 and is_random(v, 0)):
                 continue  # a variable
             add(m.start(1), m.start(1) + len(v), "named literal")
     for m in _TOKEN.finditer(text):
@@ -314,13 +347,7 @@ def _unbound(text: str, a: int, b: int) -> bool:
         return False
     if re.search(r"[A-Za-z0-9+/=]{40,}[\"'`,\\n\s+]*\Z", before) or re.match(r"[\"'`,\\n\s+]*[A-Za-z0-9+/=]{40,}", after):
         return False
-    return not _worded(text[a:b]) and not _in_data(text, a, b)
-
-
-def _worded(s: str) -> bool:
-    """Whether the letters of a string stand in words, also joined ones, rather than at random."""
-    words = [w for w in _WORDS.findall(s) if w.isalpha()]
-    return bool(words) and sum(map(len, words)) >= 3 * len(words)
+    return not _in_data(text, a, b)
 
 
 _CONTEXTS = (

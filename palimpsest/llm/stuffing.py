@@ -1,29 +1,36 @@
 """Problem 10: keyword-stuffed and link-list pages.
 
-Each page's suffix automaton over its words tells which of its characters lie in repeated maximal substrings;
-together with the share of the page that has no clause structure (sentences with function words) this finds
-pages that are lists or loops. What such a page is made of decides between promotion and a list that serves
-the project.
+Each page's suffix automaton tells which of its characters lie in repeated maximal substrings; its clauses tell
+which lie outside any clause structure (no function words). Characters that are neither are sentences. Of the
+rest, a page about the project names what the project's sentences name: which words those are is counted over
+the clauses of the whole collection, not listed. A page that is mainly repeats and loose words that no sentence
+of the collection speaks of is promotion.
 """
 
 from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import Scratch
 from ..sources.tables import read
-from .arrow import map_rows
 
-#: A substring counts as repeated from so many occurrences and words on.
+#: A substring counts as repeated from so many occurrences and characters on.
 OCCURRENCES = 3
-LENGTH = 2
-#: A page is list-like if the shares that are repeated and that have no clause structure add up to this, and
-#: promotion if so many of its words are words of commerce.
-LISTLIKE = 0.35
-COMMERCE = 0.12
-MIN_COMMERCE = 6
+LENGTH = 5
+#: A clause has structure if one in so many of its words is a function word, and is stuffed if such a share of it is repeated.
+FUNCTION_EVERY, STUFFED = 8, 0.5
+#: A line or sentence is about the project if such a share of its characters are identifiers, paths, references and the like.
+MARKED = 0.3
+#: A page is promotion if such a share of its characters, and so many of them, are repeated or loose and foreign.
+PROMOTION, CHARACTERS = 0.3, 120
+#: A word is one of the project's if so many pages have it in sentences, and no fewer than have it in lists and loops.
+PAGES_AT_LEAST = 2
+#: Words found on more than this share of all listed words' pages are joined by broadcast: there are at most 1 / HOT of them.
+HOT = 0.001
 
 # Function words of English, German, Spanish and French.
 FUNCTION_WORDS = frozenset(
@@ -38,52 +45,39 @@ FUNCTION_WORDS = frozenset(
     le les des du et ou mais ne pas est sont dans qui pour avec sur plus ce cette il elle nous vous se au aux après avant
     depuis quand on pourrait faut""".split()
 )
-# Words of commerce and of the goods that spam commonly advertises, in the same languages.
-COMMERCE_WORDS = frozenset(
-    """buy order shop store sale sales cheap cheapest discount discounts discounted bonus free premium wholesale genuine
-    luxury exclusive instant official original trusted best top deal deals offer offers promo coupon coupons bargain
-    lowest price prices pricing affordable guaranteed guarantee limited winner win earn cash money profit rich
-    casino poker slots slot bet betting jackpot lottery roulette gambling
-    watches sneakers handbags sunglasses jerseys perfume jewelry shoes mattress sofa furniture
-    wallet crypto bitcoin forex loan loans mortgage credit insurance payday debt
-    tickets flights hotels vacation travel visa movers moving plumber locksmith roofing roofer tires attorney lawyer
-    hosting followers likes subscribers backlinks seo traffic essays essay homework recovery
-    viagra pills tablets vitamins pharmacy supplements weight dating escort phones download stream hire book compare claim
-    save get click subscribe visit online near
-    kaufen billig günstig günstige rabatt angebot angebote preis preise kostenlos gratis gutschein bestellen kredit uhren
-    schnäppchen geschenk gewinn sofort
-    comprar barato barata baratos oferta ofertas descuento descuentos precio precios envío préstamo préstamos relojes
-    tienda regalo
-    acheter cher chers prix remise soldes gratuit gratuits gratuite promotion offre offres crédit montres livraison boutique""".split()
-)
-#: Everyday words of the list that prose about a project uses as well; they count only on pages with others.
-_WEAK = frozenset("order store best top free original get save book near online compare claim download stream limited visit travel credit offer price click store instant official bonus recovery wallet phones tablets moving hosting".split())
 
-_WORD = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"[^\W_]+")
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
-_HOST = re.compile(r"\b(?:https?|ftp)://[^\s/<>\"')\]]+")
-_CLAUSE = re.compile(r"(?<=[.!?])\s+|\n+")
-_STICKY = re.compile("|".join(sorted((w for w in COMMERCE_WORDS if len(w) >= 4), key=lambda w: (-len(w), w))))
+_CUT = re.compile(r"(?<=[.!?])\s+|\n+")
+#: What a project is written about with: code, identifiers, references, digests, versions, times, paths, blobs, check boxes.
+_MARK = re.compile(
+    r"""`[^`\n]+`|\b[a-z]+(?:[A-Z][a-z0-9]*)+\b|\b[A-Z][a-z]+(?:[A-Z][a-z0-9]*)+\b|\b\w+\(\)|(?<!\w)\#\d+\b|\b(?=[a-f]*\d)[0-9a-f]{7,40}\b
+    |\bv?\d+\.\d+\.\d+\b|\d{4}-\d\d-\d\dT[\d:]+Z?|(?<![/\w.:])(?:[\w.-]+/)+[\w-]+\.[a-z]{1,4}\b(?::\d+)*|[A-Za-z0-9+/=]{40,}
+    |https?://[^\s<>"')\]]+/(?:issues|pull|commit|compare|blob|tree)/[^\s<>"')\]]*|\[[ xX]\]""",
+    re.X | re.M,
+)
+_URL = re.compile(r"https?://[^\s<>\"')\]]+")
 
 
-def coverage(text: str, occurrences: int = OCCURRENCES, length: int = LENGTH) -> float:
-    """The share of a text's word characters that lie in substrings of at least `length` words that occur at least `occurrences` times.
+def repeated(text: str, occurrences: int = OCCURRENCES, length: int = LENGTH) -> tuple[list[tuple[int, int]], list[bool]]:
+    """The spans of a text's words, and whether each lies in a substring of at least `length` characters that occurs at least `occurrences` times.
 
     A suffix automaton with the words as alphabet: each state's occurrences follow from its links, and at each
     position the longest suffix that repeats often enough is covered.
     """
     words: dict[str, int] = {}
-    sizes: list[int] = []
+    spans: list[tuple[int, int]] = []
     seq: list[int] = []
-    for m in _TOKEN.finditer(text.lower()):
-        w = m.group()
-        sizes.append(len(w))
-        seq.append(words.setdefault(w, len(words)))
+    low = text.lower()
+    if len(low) != len(text):
+        low = text  # a letter whose lower case is longer; positions count
+    for m in _TOKEN.finditer(low):
+        spans.append(m.span())
+        seq.append(words.setdefault(m.group(), len(words)))
     n = len(seq)
     if n < occurrences:
-        return 0.0
+        return spans, [False] * n
     link, longest, nxt, count = [-1], [0], [{}], [0]
     last = 0
     ends = []
@@ -119,65 +113,150 @@ def coverage(text: str, occurrences: int = OCCURRENCES, length: int = LENGTH) ->
     best = [0] * len(link)  # the longest suffix of the state that repeats often enough
     for s in order:
         best[s] = longest[s] if count[s] >= occurrences else best[link[s]]
-    covered, total, reach = 0, 0, n
+    covered, reach = [False] * n, n
     for i in range(n - 1, -1, -1):
         k = best[ends[i]]
-        if k >= length:
+        if k and spans[i][1] - spans[i - k + 1][0] >= length:
             reach = min(reach, i - k + 1)
-        total += sizes[i]
-        if reach <= i:
-            covered += sizes[i]
-    return covered / total if total else 0.0
-
-
-def page_features(text: str) -> tuple[int, float, float, int, float]:
-    """(words, coverage, share of words without clause structure, words of commerce, their share)."""
-    repeated = coverage(text)
-    body = _HOST.sub(" ", _TAG.sub("\n", _FENCE.sub(" ", text)))
-    words = commerce = weak = loose = 0
-    for clause in _CLAUSE.split(body):
-        w = _WORD.findall(clause.lower())
-        if not w:
-            continue
-        words += len(w)
-        hits = function = 0
-        for x in w:
-            if x in FUNCTION_WORDS:
-                function += 1
-            elif x in COMMERCE_WORDS:
-                hits += 1
-                weak += x in _WEAK
-        if "#" in clause:
-            # tags run words together: what a tag holds inside counts as well
-            for tag in re.findall(r"#([^\W\d_]{6,})", clause.lower()):
-                if tag not in COMMERCE_WORDS and _STICKY.search(tag):
-                    hits += 1
-        commerce += hits
-        # a clause needs function words: one in eight words at the least
-        if function * 8 < len(w):
-            loose += len(w)
-    if not words:
-        return 0, repeated, 0.0, 0, 0.0
-    strong = commerce - weak
-    counted = commerce if strong * 4 >= weak or strong >= 5 else strong
-    return words, repeated, loose / words, counted, counted / words
-
-
-def is_promotion(words: int, repeated: float, loose: float, commerce: int, share: float) -> bool:
-    return commerce >= MIN_COMMERCE and share >= COMMERCE and repeated + loose >= LISTLIKE
-
-
-def score_pages(documents: DataFrame) -> DataFrame:
-    """Rows (doc_id, words, coverage, clauseless, commerce, commerce_share, promotional), one a row of (doc_id, text).
-
-    Null and empty texts, and texts without letters, are not promotional; a null doc_id is kept.
+        covered[i] = reach <= i
+    return spans, covered
+
+
+def coverage(text: str, occurrences: int = OCCURRENCES, length: int = LENGTH) -> float:
+    """The share of a text's word characters that lie in repeated substrings."""
+    spans, covered = repeated(text, occurrences, length)
+    total = sum(b - a for a, b in spans)
+    return sum(b - a for (a, b), c in zip(spans, covered) if c) / total if total else 0.0
+
+
+def _blank(m: re.Match) -> str:
+    return " " * len(m.group())
+
+
+class Page:
+    """What a page is made of, in characters of words: all, repeated, loose, marked; and the words that may be promotion."""
+
+    __slots__ = ("characters", "covered", "loose", "suspects", "spoken", "listed")
+
+    def __init__(self, text: str, by_coverage: bool = True, by_clauses: bool = True):
+        text = _TAG.sub(_blank, _FENCE.sub(_blank, text))
+        spans, cov = repeated(text)
+        if not by_coverage:
+            cov = [False] * len(cov)
+        marks = bytearray(len(text) + 1)
+        for m in _MARK.finditer(text):
+            marks[m.start() : m.end()] = b"\1" * (m.end() - m.start())
+        links = bytearray(len(text) + 1)
+        for m in _URL.finditer(text):
+            links[m.start() : m.end()] = b"\1" * (m.end() - m.start())
+        self.characters = self.covered = self.loose = 0
+        #: Characters by word of what is repeated or loose, and no function word and not marked.
+        self.suspects: dict[str, int] = {}
+        #: Words of sentences, and of lists and loops.
+        self.spoken: set[str] = set()
+        self.listed: set[str] = set()
+        i = 0
+        for end in [m.end() for m in _CUT.finditer(text)] + [len(text)]:
+            first = i
+            while i < len(spans) and spans[i][0] < end:
+                i += 1
+            if i > first:
+                self._clause(text, spans[first:i], cov[first:i], marks, links, by_clauses)
+
+    def _clause(self, text, spans, cov, marks, links, by_clauses) -> None:
+        words = [text[a:b].lower() for a, b in spans]
+        size = sum(b - a for a, b in spans)
+        covered = sum(b - a for (a, b), c in zip(spans, cov) if c)
+        marked = sum(b - a for a, b in spans if marks[a])
+        alpha = [w for w in words if w.isalpha()]
+        loose = by_clauses and sum(w in FUNCTION_WORDS for w in alpha) * FUNCTION_EVERY < max(1, len(alpha))
+        stuffed = covered >= STUFFED * size
+        self.characters += size
+        self.covered += covered
+        self.loose += size if loose else 0
+        into = self.listed if loose or stuffed else self.spoken
+        carried = 0
+        for k, ((a, b), w, c) in enumerate(zip(spans, words, cov)):
+            if marks[a] or w in FUNCTION_WORDS:
+                carried = 0
+                continue
+            if len(w) >= 3 and w.isalpha():
+                into.add(w)
+            if marked >= MARKED * size or not (loose or c):
+                carried = 0
+                continue
+            if text[b : b + 1] == "/" and k + 1 < len(spans) and spans[k + 1][0] == b + 1 and not links[a]:
+                carried += b - a  # a label such as area/cache is about what it ends in
+                continue
+            self.suspects[w] = self.suspects.get(w, 0) + b - a + carried
+            carried = 0
+
+
+def is_promotion(foreign: int, characters: int) -> bool:
+    """Whether so many of a page's characters are repeated or loose words that the project's sentences do not have."""
+    return foreign >= CHARACTERS and foreign >= PROMOTION * characters
+
+
+_PASS = "row string, doc_id bigint, characters int, covered int, loose int, word string, n bigint, spoken bigint, listed bigint"
+
+
+def _pages(documents: DataFrame, by_coverage: bool, by_clauses: bool) -> DataFrame:
+    """One pass over the texts: a row a page (word null), a row a suspect word of a page that could be promotion, and
+    pre-aggregated rows of the vocabulary (row null)."""
+    names = [c.split()[0] for c in _PASS.split(", ")]
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, at = TaskContext.get().partitionId(), 0
+        types = {"row": pa.string(), "word": pa.string(), "doc_id": pa.int64(), "characters": pa.int32(), "covered": pa.int32(), "loose": pa.int32()}
+        for b in batches:
+            out, spoken, listed = [], {}, {}
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                p = Page(text or "", by_coverage, by_clauses)
+                row = f"{part}-{at}"
+                at += 1
+                out.append((row, doc_id, p.characters, p.covered, p.loose, None, None, None, None))
+                # the vocabulary can only take words away: who does not reach the threshold with all of them is done
+                if is_promotion(sum(p.suspects.values()), p.characters):
+                    out += [(row, doc_id, p.characters, None, None, w, n, None, None) for w, n in p.suspects.items()]
+                for w in p.spoken:
+                    spoken[w] = spoken.get(w, 0) + 1
+                for w in p.listed:
+                    listed[w] = listed.get(w, 0) + 1
+            out += [(None, None, None, None, None, w, None, spoken.get(w, 0), listed.get(w, 0)) for w in spoken.keys() | listed.keys()]
+            cols = list(zip(*out)) if out else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, types.get(k, pa.int64())) for k, c in zip(names, cols)], names=names)
+
+    return documents.select("doc_id", "text").mapInArrow(run, _PASS)
+
+
+def score_pages(documents: DataFrame, by_coverage: bool = True, by_clauses: bool = True) -> DataFrame:
+    """Rows (doc_id, characters, coverage, clauseless, foreign_share, promotional), one a row of (doc_id, text).
+
+    characters are those of words; coverage and clauseless the shares of them that are repeated and that stand
+    outside clauses; foreign_share that of repeated or clauseless words which the sentences of `documents` do not
+    speak of. Null and empty texts, and texts without words, are not promotional; a null doc_id is kept, repeated
+    rows are scored each. by_coverage and by_clauses switch a part of the evidence off, to see what it decides.
     """
+    scratch = Scratch(documents.sparkSession, "pages")
+    t = scratch.keep(_pages(documents, by_coverage, by_clauses))
+    pages = t.filter("row is not null and word is null")
+    suspects = t.filter("row is not null and word is not null").select("row", "word", "n")
+    words = scratch.keep(t.filter("row is null").groupBy("word").agg(F.sum("spoken").alias("spoken"), F.sum("listed").alias("listed")))
+    own = words.filter((F.col("spoken") >= PAGES_AT_LEAST) & (F.col("spoken") >= F.col("listed"))).select("word", "listed")
+    # a word of a third of all pages is a hot key of the join: such words are few by their share, and sent to all tasks
+    total = words.agg(F.sum("listed")).first()[0] or 0
+    frequent = own.filter(F.col("listed") > HOT * total).select("word", F.lit(True).alias("own"))
+    left = suspects.join(F.broadcast(frequent), "word", "left").filter("own is null").drop("own")
+    left = left.join(own.filter(F.col("listed") <= HOT * total).select("word"), "word", "left_anti")
+    foreign = left.groupBy("row").agg(F.sum("n").alias("foreign"))
+    out = pages.join(foreign, "row", "left").withColumn("foreign", F.coalesce("foreign", F.lit(0)))
 
-    def one(doc_id, text):
-        f = page_features(text or "")
-        yield (doc_id, *f, is_promotion(*f))
+    def share(c: str):
+        return F.coalesce(F.col(c) / F.nullif(F.col("characters"), F.lit(0)), F.lit(0.0))
 
-    return map_rows(documents.select("doc_id", "text"), "doc_id bigint, words int, coverage double, clauseless double, commerce int, commerce_share double, promotional boolean", one)
+    return out.select("doc_id", "characters", share("covered").alias("coverage"), share("loose").alias("clauseless"), share("foreign").alias("foreign_share"), ((F.col("foreign") >= CHARACTERS) & (F.col("foreign") >= PROMOTION * F.col("characters"))).alias("promotional"))
 
 
 #: Endings of pages; other files of a repository are no pages.

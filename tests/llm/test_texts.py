@@ -298,15 +298,31 @@ def test_private_key_without_its_end_is_masked_to_the_end_of_its_body():
         assert not any(line in masked for line in body.split("\n")) and masked.endswith('const x = 1;')
 
 
+def test_entropy_decides():
+    """Without the entropy test names made of words, and low-entropy literals, would pass."""
+    texts = ['token = "session-token-name"', 'authToken = "getSessionTokenById"', 'password = "abababab1212"', 'x("createUserWithEmailAndPassword")', 'y = "segment_checksum_filter_worker"']
+    assert not any(cr.find(t, "a/x.py") for t in texts)
+    kept = cr.is_random
+    try:
+        cr.is_random = lambda s, level: True
+        assert all(cr.find(t, "a/x.py") for t in texts)
+    finally:
+        cr.is_random = kept
+    token = "q8Zr2Lx9vT4mK7pW1nB6cD3eF5gH0jYs"
+    for t in (f'foo("{token}")', f'x = [1, "{token}", 2]', 'password = "correct-Horse-battery-Staple"', f'secret = "{token * 9}"', f'S = ("{token[:18]}"\n    # a note\n    "{token[18:]}")'):
+        assert len(cr.find(t, "a/x.py")) == 1
+
+
 # ---- problem 10
 def _naive(text: str, occurrences: int, length: int) -> float:
-    words = [m.group() for m in stuffing._TOKEN.finditer(text.lower())]
+    at = [m.span() for m in stuffing._TOKEN.finditer(text.lower())]
+    words = [text[a:b].lower() for a, b in at]
     n = len(words)
-    seen = Counter(tuple(words[i:j]) for i in range(n) for j in range(i + length, n + 1))
+    seen = Counter(tuple(words[i:j]) for i in range(n) for j in range(i + 1, n + 1))
     covered = set()
     for i in range(n):
-        for j in range(i + length, n + 1):
-            if seen[tuple(words[i:j])] >= occurrences:
+        for j in range(i + 1, n + 1):
+            if at[j - 1][1] - at[i][0] >= length and seen[tuple(words[i:j])] >= occurrences:
                 covered.update(range(i, j))
     total = sum(map(len, words))
     return sum(len(words[i]) for i in covered) / total if total else 0.0
@@ -317,18 +333,37 @@ def test_coverage_against_brute_force():
     for _ in range(60):
         text = " ".join(rng.choices("aa b ccc dd e".split(), k=rng.randint(0, 30)))
         for occ in (2, 3):
-            assert stuffing.coverage(text, occ, 2) == pytest.approx(_naive(text, occ, 2))
+            for length in (1, 4, 6):
+                assert stuffing.coverage(text, occ, length) == pytest.approx(_naive(text, occ, length))
 
 
-def test_pages(spark):
+def _pages(spark):
     spam = "cheap Nara watches buy cheap Nara watches discount cheap Nara watches free cheap Nara watches " * 4
     links = "\n".join(f"https://x{i}.example/casino/buy-cheap-bonus-{i}" for i in range(20))
-    labels = "labels: " + ", ".join(f"area/part{i % 7}, kind/bug" for i in range(30))
-    prose = "The cache is not cleared when the worker has been restarted, so the free list grows. " * 10
+    labels = "labels: " + ", ".join(f"area/{w}, kind/bug" for w in "cache queue worker list area part".split() * 5)
+    prose = "The cache is not cleared when the worker has been restarted, so the free list grows. I think that this is a bug of the queue. " * 3
     related = "Related:\n" + "\n".join(f"- https://x.example/issues/{i} (slow queue)" for i in range(20))
-    rows = [(1, spam, "issue", None), (2, links, "issue", None), (3, labels, "issue", None), (4, prose, "issue", None), (5, related, "review", None), (6, None, "issue", None), (7, "", "issue", None), (8, spam, "source_code", "a/b.ts"), (9, spam, "source_code", "docs/a.md"), (None, spam, None, None), (1, spam, "issue", None)]
-    d = spark.createDataFrame(rows, "doc_id bigint, text string, source_type string, path string")
-    got = Counter(r.doc_id for r in stuffing.score_pages(stuffing.posts_and_pages(d)).filter("promotional").collect())
-    assert got == Counter({1: 2, 2: 1, 9: 1, None: 1})
+    loops = "\n".join(f"Shop cheapest locks at the Nake locks store and the Nake best locks in {t}!!" for t in "ab cd ef gh ij kl".split())
+    tags = " ".join(f"#{a}{b}" for a in ("cheap", "best", "free", "top") for b in ("watches", "loans", "hotels", "tickets", "pills"))
+    rows = [(1, spam, "issue", None), (2, links, "issue", None), (3, labels, "issue", None), (4, prose, "issue", None), (14, prose + "It is slow.", "issue", None), (5, related, "review", None), (6, None, "issue", None), (7, "", "issue", None), (8, spam, "source_code", "a/b.ts"), (9, spam, "source_code", "docs/a.md"), (None, spam, None, None), (1, spam, "issue", None), (10, loops, "issue", None), (11, tags, "issue", None)]
+    rows += [(20 + i, f"The kind of bug that a part has in its area is a label. The queue of {i} is not cleared when the cache of the worker has been restarted, so the free list grows.", "issue", None) for i in range(7)]
+    rows += [(30, "I think that this is a slow bug.", "issue", None)] * 3
+    return spark.createDataFrame(rows, "doc_id bigint, text string, source_type string, path string")
+
+
+def test_pages(spark):
+    d = _pages(spark)
+    pages = stuffing.posts_and_pages(d)
+    got = Counter(r.doc_id for r in stuffing.score_pages(pages).filter("promotional").collect())
+    assert got == Counter({1: 2, 2: 1, 9: 1, 10: 1, 11: 1, None: 1})
+    assert stuffing.score_pages(pages).count() == pages.count()
     assert stuffing.score_pages(d.limit(0)).count() == 0
-    assert stuffing.page_features("x" * 200_000)[0] == 1
+    assert stuffing.Page("x" * 200_000).characters == 200_000
+
+
+def test_coverage_and_clauses_decide(spark):
+    pages = stuffing.posts_and_pages(_pages(spark))
+    without = {r.doc_id for r in stuffing.score_pages(pages, by_coverage=False).filter("promotional").collect()}
+    assert 10 not in without and 11 in without  # sentences in a loop have clauses; only their repeats tell
+    without = {r.doc_id for r in stuffing.score_pages(pages, by_clauses=False).filter("promotional").collect()}
+    assert 11 not in without and 10 in without  # tags do not repeat; only their missing clauses tell
