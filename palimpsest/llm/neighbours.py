@@ -2,10 +2,10 @@
 
 Vectors are kept as 16-bit integers, for search as codes of four bits a value, and for building the graph as
 coarse codes of two. Random-projection trees, fitted on a bounded sample, cut them into leaves; the best
-neighbours within the leaves start the graph. Each round of NN-descent joins neighbours of neighbours: every node's list of forward and reverse
-neighbours is compared with itself, and pairs that beat an end's current worst neighbour go into the lists.
-Codes travel once per block of nodes that needs them, not once per pair. The best of what greedy search finds
-is scored again on the 16-bit vectors.
+neighbours within the leaves start the graph. Each round of NN-descent joins neighbours of neighbours: every
+node's list of forward and reverse neighbours is compared with itself, and pairs that beat an end's current worst
+neighbour go into the lists. Codes travel once per block of nodes that needs them, not once per pair. The best of
+what greedy search finds is scored again on the 16-bit vectors. The plan is the same for few and for many vectors.
 """
 
 from __future__ import annotations
@@ -19,18 +19,28 @@ from ..runtime import Scratch
 from ..sources.tables import read
 
 MODEL, DIMENSIONS = "quartz-embed-512", 512
-#: Neighbours kept a node; reverse neighbours that join its list; members of a leaf; most of a group.
+#: Neighbours kept a node; reverse neighbours that join its list; members of a leaf; most of a group that is compared as a whole.
 K, REVERSE, LEAF, GROUP = 10, 10, 600, 4096
+#: Signs on random hyperplanes by which leaves larger than a group are cut further, as trees end where their sample does.
+BITS = 12
+#: Groups above their size, for repeated vectors, are cut by salt: the size is raised so that there are no more of them in a tree.
+HEAVY = 100_000
 #: Trees; their leaves cost one shuffle of codes each and spare rounds of the descent.
 TREES = 4
 #: Vectors that a tree is fitted on at most: the bound of the sample.
 SAMPLE = 4096
 #: Rounds of NN-descent at most; a round that renews less than this share of the lists is the last.
-ROUNDS, RENEWED = 3, 0.02
+ROUNDS, RENEWED = 6, 0.02
 #: Greedy search: hops, nodes expanded a hop, nodes remembered, nodes scored on the 16-bit vectors.
 HOPS, EXPAND, BEAM, RESCORE = 2, 8, 24, 12
-#: Vectors of the last scoring whose numbers are broadcast; for more of them the vectors are shuffled.
-BROADCAST = 500_000
+#: Nodes of a block: as the square root of all, so that neither the blocks nor what each of them holds grow fast.
+BLOCK_LEAST, BLOCK_MOST, BLOCK_ROOT = 512, 16_384, 22
+#: Rows decoded at a time.
+DECODED = 8192
+
+
+def block_size(n: int) -> int:
+    return int(min(BLOCK_MOST, max(BLOCK_LEAST, BLOCK_ROOT * n**0.5)))
 
 
 def _unit(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,13 +50,11 @@ def _unit(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return q, (1 / np.linalg.norm(q.astype(np.float64), axis=1)).astype(np.float32)
 
 
-def _matrix(column: pa.ChunkedArray, scale: pa.ChunkedArray) -> np.ndarray:
-    """Unit vectors from their binary form."""
+def _bytes(column, dtype=np.uint8) -> np.ndarray:
+    """The binary values of a column as rows of a matrix."""
     if len(column) == 0:
-        return np.empty((0, 1), np.float32)
-    raw = b"".join(column.to_pylist())
-    m = np.frombuffer(raw, np.int16).reshape(len(column), -1).astype(np.float32)
-    return m * scale.to_numpy()[:, None]
+        return np.empty((0, 4), dtype)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
 
 
 def _encode(m: np.ndarray) -> np.ndarray:
@@ -58,11 +66,8 @@ def _encode(m: np.ndarray) -> np.ndarray:
     return (q[:, 0::2] << 4) | q[:, 1::2]
 
 
-def _decode(column) -> np.ndarray:
+def _decode(b: np.ndarray) -> np.ndarray:
     """Unit vectors from codes."""
-    if len(column) == 0:
-        return np.empty((0, 2), np.float32)
-    b = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
     m = np.empty((b.shape[0], 2 * b.shape[1]), np.float32)
     m[:, 0::2] = b >> 4
     m[:, 1::2] = b & 15
@@ -83,15 +88,28 @@ _LEVELS = np.array([-0.46, -1.52, 0.46, 1.52], np.float32)
 _BYTE = np.stack([_LEVELS[(np.arange(256) >> k) & 3] for k in (6, 4, 2, 0)], axis=1)
 
 
-def _decode_coarse(column) -> np.ndarray:
+def _decode_coarse(b: np.ndarray) -> np.ndarray:
     """Unit vectors from coarse codes."""
-    if len(column) == 0:
-        return np.empty((0, 4), np.float32)
-    b = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
     m = _BYTE[b].reshape(len(b), -1)
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
+def _of_coarse(t: pa.Table):
+    """Reads rows of a table's coarse codes as unit vectors; so do the two below, of codes and of vectors."""
+    b = _bytes(t.column("coarse"))
+    return lambda rows: _decode_coarse(b[rows])
+
+
+def _of_code(t: pa.Table):
+    b = _bytes(t.column("code"))
+    return lambda rows: _decode(b[rows])
+
+
+def _of_vector(t: pa.Table):
+    b, scale = _bytes(t.column("v"), np.int16), t.column("scale").to_numpy()
+    return lambda rows: b[rows].astype(np.float32) * scale[rows, None]
+
+
 def _binary(rows: np.ndarray) -> pa.Array:
     """Rows of a contiguous array as binary values."""
     width = rows.strides[0]
@@ -197,24 +215,26 @@ def codes(v: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             if b.num_rows:
-                m = _matrix(b.column("v"), b.column("scale"))
+                m = _of_vector(b)(np.arange(b.num_rows))
                 yield pa.RecordBatch.from_arrays([b.column("h"), _binary(_encode(m)), _binary(_encode_coarse(m))], names=["h", "code", "coarse"])
 
     return v.select("h", "v", "scale").mapInArrow(run, "h bigint, code binary, coarse binary")
 
 
-def _leaves(code: DataFrame, trees: list) -> DataFrame:
-    """Rows (nid, tree, leaf, coarse), one a node and tree."""
+def _leaves(code: DataFrame, trees: list, *carry: str) -> DataFrame:
+    """Rows (nid, tree, leaf, bits, carried columns), one a node and tree; bits are its sides of BITS random hyperplanes."""
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            m = _decode_coarse(b.column("coarse"))
+            m = _of_coarse(b)(np.arange(b.num_rows))
             for k, t in enumerate(trees):
-                yield pa.RecordBatch.from_arrays([b.column("nid"), pa.array(np.full(len(m), k, np.int32)), pa.array(leaf_of(t, m)), b.column("coarse")], names=["nid", "tree", "leaf", "coarse"])
+                planes = np.random.default_rng(1000 + k).standard_normal((m.shape[1], BITS)).astype(np.float32)
+                bits = ((m @ planes > 0) @ (1 << np.arange(BITS))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column("nid"), pa.array(np.full(len(m), k, np.int32)), pa.array(leaf_of(t, m)), pa.array(bits), *[b.column(c) for c in carry]], names=["nid", "tree", "leaf", "bits", *carry])
 
-    return code.select("nid", "coarse").mapInArrow(run, "nid bigint, tree int, leaf int, coarse binary")
+    return code.select("nid", "coarse").mapInArrow(run, "nid bigint, tree int, leaf int, bits int" + "".join(f", {c} binary" for c in carry))
 
 
 _EDGE = pa.schema([("u", pa.int64()), ("w", pa.int64()), ("sim", pa.float32())])
@@ -229,8 +249,8 @@ def _within(k: int):
 
     def run(t: pa.Table) -> pa.Table:
         ids = t.column("nid").to_numpy()
-        m = _decode_coarse(t.column("coarse"))
         n = len(ids)
+        m = _of_coarse(t)(np.arange(n))
         kk = min(k, n - 1)
         if kk < 1:
             return _edges([], [], [])
@@ -265,33 +285,40 @@ def _lists(edges: DataFrame, reverse: int) -> DataFrame:
     return _distinct(both, "v", "x", F.max("fresh").alias("fresh"))
 
 
-def _local_join(lists: pa.Table, vecs: pa.Table, decode, most: int) -> pa.Table:
+def _local_join(lists: pa.Table, vecs: pa.Table, reader, most: int) -> pa.Table:
     """Pairs within each node's list, at least one of them fresh, that beat the worst neighbour of their first end."""
     ids = vecs.column("x").to_numpy()
     order = np.argsort(ids)
     ids = ids[order]
-    m = decode(vecs)[order]
+    rows = reader(vecs)
     worst = vecs.column("worst").to_numpy()[order]
     v = lists.column("v").to_numpy()
     x = np.searchsorted(ids, lists.column("x").to_numpy())
     fresh = lists.column("fresh").to_numpy() > 0
     by = np.argsort(v, kind="stable")
     v, x, fresh = v[by], x[by], fresh[by]
-    cuts = np.flatnonzero(np.diff(v)) + 1
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(v)) + 1, [len(v)]])
     us, ws, ss = [], [], []
-    for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(v)]])):
-        if b - a < 2 or not fresh[a:b].any():
-            continue
-        i, f = x[a:b], fresh[a:b]
-        r = m[i]
-        s = r @ r.T
-        hit = (s > worst[i][:, None]) & (f[:, None] | f[None, :])
-        np.fill_diagonal(hit, False)
-        p, q = np.nonzero(hit)
-        if len(p):
-            us.append(i[p])
-            ws.append(i[q])
-            ss.append(s[p, q])
+    at = 0
+    while at < len(cuts) - 1:
+        to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + DECODED, side="right")) - 1)
+        lo = cuts[at]
+        uniq, inside = np.unique(x[lo : cuts[to]], return_inverse=True)
+        m = rows(order[uniq])
+        for a, b in zip(cuts[at:to], cuts[at + 1 : to + 1]):
+            if b - a < 2 or not fresh[a:b].any():
+                continue
+            i, f = x[a:b], fresh[a:b]
+            r = m[inside[a - lo : b - lo]]
+            s = r @ r.T
+            hit = (s > worst[i][:, None]) & (f[:, None] | f[None, :])
+            np.fill_diagonal(hit, False)
+            p, q = np.nonzero(hit)
+            if len(p):
+                us.append(i[p])
+                ws.append(i[q])
+                ss.append(s[p, q])
+        at = to
     if not us:
         return _edges([], [], [])
     u, w, s = np.concatenate(us), np.concatenate(ws), np.concatenate(ss)
@@ -326,40 +353,46 @@ def build_index(spark: SparkSession, embeddings: DataFrame, model: str = MODEL,
     code = scratch.keep(_join(codes(vec).dropDuplicates(["h"]), names.select("h", "nid"), "h").select("nid", "code", "coarse"), "uncompressed")
     scratch.sweep()
     n = code.count()
-    trees = [[[], -1]]
-    if n > LEAF:
-        sample = _decode_coarse(code.filter(F.pmod(F.xxhash64("nid", F.lit(7)), F.lit(n)) < SAMPLE).select("coarse").limit(2 * SAMPLE).toArrow().column("coarse"))
-        leaves = max(2, min(SAMPLE // 8, -(-n // LEAF)))
-        trees = [fit_tree(sample, leaves, seed) for seed in range(1, TREES + 1)]
-    placed = _leaves(code, trees)
-    # a leaf may be larger than planned, if vectors repeat or the sample falls short: it is cut by salt
-    sizes = placed.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    placed = placed.join(F.broadcast(sizes), ["tree", "leaf"])  # one row a leaf of a bounded tree
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"))
-    start = placed.select("nid", "coarse", "tree", "leaf", "part").groupBy("tree", "leaf", "part").applyInArrow(_within(K), "u bigint, w bigint, sim float")
+    sample = _decode_coarse(_bytes(code.filter(F.pmod(F.xxhash64("nid", F.lit(7)), F.lit(max(n, 1))) < SAMPLE).select("coarse").limit(2 * SAMPLE).toArrow().column("coarse")))
+    leaves = max(2, min(SAMPLE // 8, -(-n // LEAF)))
+    trees = [fit_tree(sample, leaves, seed) for seed in range(1, TREES + 1)]
+    where = scratch.keep(_leaves(code, trees))
+    # one row a leaf of a bounded tree: into how many cells its members are cut
+    cells = F.broadcast(where.groupBy("tree", "leaf").agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / GROUP))).cast("int").alias("deep")))
+    most = max(GROUP, n // HEAVY)
+
+    def celled(df: DataFrame) -> DataFrame:
+        return df.join(cells, ["tree", "leaf"]).withColumn("cell", F.expr(f"bits & (shiftleft(1, least(deep, {BITS})) - 1)")).drop("bits", "deep")
+
+    # repeated vectors stay together in any cell: such cells are cut by salt, and there are HEAVY a tree at most
+    heavy = F.broadcast(celled(where).groupBy("tree", "leaf", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("tree", "leaf", "cell", F.ceil(F.col("n") / most).cast("int").alias("parts")))
+
+    def parted(df: DataFrame) -> DataFrame:
+        return celled(df).join(heavy, ["tree", "leaf", "cell"], "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("nid"), F.col("parts"))).cast("int")).drop("parts")
+
+    start = parted(_leaves(code, trees, "coarse")).groupBy("tree", "leaf", "cell", "part").applyInArrow(_within(K), "u bigint, w bigint, sim float")
     edges = scratch.keep(_best(_distinct(start, "u", "w", F.max("sim").alias("sim")), K).withColumn("fresh", F.lit(1)))
     # leaves are numbered as the tree is walked, so neighbouring numbers are near each other: a block is a run of them
-    run = max(1, GROUP * len(set(_leaf_numbers(trees[0]))) // max(n, 1))
-    blocks = scratch.keep(placed.filter("tree = 0").select("nid", F.hash(F.floor(F.col("leaf") / run), F.col("part")).alias("block")))
-    scratch.sweep()
+    run = max(1, block_size(n) * len(set(_leaf_numbers(trees[0]))) // max(n, 1))
+    blocks = scratch.keep(parted(where.filter("tree = 0")).select("nid", F.hash(F.floor(F.col("leaf") / run), F.col("cell"), F.col("part")).alias("block")))
+    scratch.drop(where)
     rounds = 0
-    if n > LEAF:
-        for rounds in range(1, ROUNDS + 1):
-            new = scratch.keep(_round(code, blocks, edges))
-            renewed = new.filter("fresh = 1").count()
-            scratch.drop(edges)
-            edges = new
-            if renewed < RENEWED * K * n:
-                break
+    for rounds in range(1, ROUNDS + 1):
+        new = scratch.keep(_round(code, blocks, edges))
+        renewed = new.filter("fresh = 1").count()
+        scratch.drop(edges)
+        edges = new
+        if renewed <= RENEWED * K * n:
+            break
     return Index(scratch, vec, names, code, blocks, edges, rounds)
 
 
-def _compared(lists: DataFrame, known: DataFrame, column: str, decode, most: int) -> DataFrame:
+def _compared(lists: DataFrame, known: DataFrame, column: str, reader, most: int) -> DataFrame:
     """Edges from the lists (block, v, x, fresh), compared in their blocks; known has (x, the codes' column, worst)."""
     need = _join(lists.select("block", "x").distinct(), known, "x")
     a = lists.select(F.col("block").alias("a"), F.col("v").alias("v"), F.col("x").alias("x"), F.col("fresh").alias("fresh"))
     b = need.select(F.col("block").alias("b"), F.col("x").alias("x"), F.col(column).alias(column), F.col("worst").alias("worst"))
-    return a.groupBy("a").cogroup(b.groupBy("b")).applyInArrow(lambda x, y: _local_join(x, y, decode, most), "u bigint, w bigint, sim float")
+    return a.groupBy("a").cogroup(b.groupBy("b")).applyInArrow(lambda x, y: _local_join(x, y, reader, most), "u bigint, w bigint, sim float")
 
 
 def _round(code: DataFrame, blocks: DataFrame, edges: DataFrame) -> DataFrame:
@@ -368,12 +401,12 @@ def _round(code: DataFrame, blocks: DataFrame, edges: DataFrame) -> DataFrame:
     lists = lists.withColumn("__any", F.max("fresh").over(Window.partitionBy("v"))).filter("__any = 1").drop("__any")
     worst = edges.groupBy("u").agg(F.when(F.count("*") >= K, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
     known = _join(code, worst, F.col("nid") == F.col("u"), "left").select(F.col("nid").alias("x"), "coarse", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst"))
-    found = _compared(lists, known, "coarse", lambda t: _decode_coarse(t.column("coarse")), K)
+    found = _compared(lists, known, "coarse", _of_coarse, K)
     both = edges.select("u", "w", "sim", F.lit(0).alias("fresh")).union(found.select("u", "w", "sim", F.lit(1)))
     return _best(_distinct(both, "u", "w", F.max("sim").alias("sim"), F.min("fresh").alias("fresh")), K)
 
 
-def _score(decode):
+def _score(reader):
     """Similarities of pairs (u, w), both of whose vectors came."""
 
     def run(pairs: pa.Table, vecs: pa.Table) -> pa.Table:
@@ -382,10 +415,10 @@ def _score(decode):
             return _edges([], [], [])
         order = np.argsort(ids)
         ids = ids[order]
-        m = decode(vecs)[order]
+        rows = reader(vecs)
         u, w = pairs.column("u").to_numpy(), pairs.column("w").to_numpy()
-        a, b = np.searchsorted(ids, u), np.searchsorted(ids, w)
-        s = np.concatenate([np.einsum("ij,ij->i", m[a[k : k + 4096]], m[b[k : k + 4096]]) for k in range(0, len(u), 4096)])
+        a, b = order[np.searchsorted(ids, u)], order[np.searchsorted(ids, w)]
+        s = np.concatenate([np.einsum("ij,ij->i", rows(a[k : k + 4096]), rows(b[k : k + 4096])) for k in range(0, len(u), 4096)])
         return _edges(u, w, s)
 
     return run
@@ -396,11 +429,11 @@ def _needed(pairs: DataFrame) -> DataFrame:
     return pairs.select("block", F.col("w").alias("x")).union(pairs.select("block", "u")).distinct()
 
 
-def _scored(pairs: DataFrame, vecs: DataFrame, columns: list[str], decode) -> DataFrame:
-    """Pairs (block, u, w) with their similarity, vecs having (block, x) and the columns that decode reads."""
+def _scored(pairs: DataFrame, vecs: DataFrame, columns: list[str], reader) -> DataFrame:
+    """Pairs (block, u, w) with their similarity, vecs having (block, x) and the columns that the reader takes."""
     a = pairs.select(F.col("block").alias("a"), F.col("u").alias("u"), F.col("w").alias("w"))
     b = vecs.select(F.col("block").alias("b"), F.col("x").alias("x"), *[F.col(c).alias(c) for c in columns])
-    run = _score(decode)
+    run = _score(reader)
     return a.groupBy("a").cogroup(b.groupBy("b")).applyInArrow(lambda x, y: run(x, y), "u bigint, w bigint, sim float")
 
 
@@ -420,7 +453,7 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     def score(pairs: DataFrame) -> DataFrame:
         pairs = _join(pairs, placed, "u").select("block", "u", "w")
         near = _join(_needed(pairs), index.code.select(F.col("nid").alias("x"), "code"), "x")
-        return _scored(pairs, near, ["code"], lambda t: _decode(t.column("code")))
+        return _scored(pairs, near, ["code"], _of_code)
 
     # the graph's similarities are those of coarse codes: the start is scored anew
     first = _join(index.edges.select("u", "w"), q, "u", "left_semi")
@@ -452,7 +485,7 @@ def graph(index: Index, k: int) -> DataFrame:
     lists = _join(lists, index.blocks.withColumnRenamed("nid", "v"), "v")
     known = index.code.select(F.col("nid").alias("x"), "code", F.lit(-2.0).cast("float").alias("worst"))
     most = max(RESCORE, 2 * k)
-    found = _compared(lists, known, "code", lambda t: _decode(t.column("code")), most)
+    found = _compared(lists, known, "code", _of_code, most)
     best = _best(_distinct(found, "u", "w", F.max("sim").alias("sim")), most)
     best = s.keep(_join(best, index.blocks.withColumnRenamed("nid", "u"), "u").select("block", "u", "w"))
     s.sweep()
@@ -462,10 +495,8 @@ def graph(index: Index, k: int) -> DataFrame:
 def _finished(index: Index, best: DataFrame, k: int) -> DataFrame:
     """Rows (query, neighbour, similarity, rank): the k best of the kept pairs (block, u, w) on the 16-bit vectors."""
     last = _join(_needed(best), index.names.select(F.col("nid").alias("x"), "h"), "x").select("block", "x", "h")
-    v = index.vec.select("h", "v", "scale")
-    # two numbers a pair at most: few enough are sent to all tasks that read vectors, else the vectors are shuffled
-    near = v.join(F.broadcast(last), "h") if 2 * best.count() <= BROADCAST else _join(v, last, "h")
-    state = _scored(best, near, ["v", "scale"], lambda t: _matrix(t.column("v"), t.column("scale")))
+    near = _join(index.vec.select("h", "v", "scale").dropDuplicates(["h"]), last, "h")
+    state = _scored(best, near, ["v", "scale"], _of_vector)
     names = index.names.select("nid", "chunk_id")
     out = _join(_join(state, names.select(F.col("nid").alias("u"), F.col("chunk_id").alias("query")), "u"), names.select(F.col("nid").alias("w"), F.col("chunk_id").alias("neighbour")), "w")
     w = Window.partitionBy("query").orderBy(F.col("sim").desc(), "neighbour")
