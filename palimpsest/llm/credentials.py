@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,6 +127,7 @@ LETTERS = (0.93, 0.93, 0.6)
 TELLING = 16
 
 
+@lru_cache(maxsize=1 << 16)
 def is_random(s: str, level: int) -> bool:
     """Whether the entropies of a string reach the thresholds of its length and of how clearly its context names a credential."""
     if len(s) < 6:
@@ -269,11 +271,12 @@ def find(text: str, path: str | None = None) -> list[tuple[int, int, str]]:
                 hits = [h for h in hits if not (begun[0][0] <= h[0] and h[1] <= end)] + [(begun[0][0], end, begun[0][2])]
                 blocked.append((begun[0][0], end))
                 continue
-        before = text[max(0, m.start() - 120) : m.start()]
-        n = _BINDER.search(before)
+        if not is_random(v, 3):
+            continue  # not even as a password
+        n = _bound(text, m.start())
         if n is None:
             continue  # a token without a name, if it is one
-        name = n.group(1)
+        name, before = n.group(1), n.string
         if "{" in v and (n.group(2) or m.group(1) == "`"):
             continue  # an interpolated string
         level, carrier = names_secret(name), ""
@@ -291,8 +294,9 @@ def find(text: str, path: str | None = None) -> list[tuple[int, int, str]]:
         a, b = m.span(2)
         if not free(a, b):
             continue
-        before = text[max(0, m.start() - 120) : m.start()]
-        n = _BINDER.search(before)
+        if not (_phrase(v, True) if re.search(r"\s", v) else is_random(v, 3) or _JOINED.match(text, b)):
+            continue
+        n = _bound(text, m.start())
         if n is None or names_secret(n.group(1)) < 2 or "{" in v and (n.group(2) or m.group(1) == "`"):
             continue
         whole, end = v, b
@@ -301,6 +305,8 @@ def find(text: str, path: str | None = None) -> list[tuple[int, int, str]]:
         if is_credential(whole, names_secret(n.group(1)), "phrase" if "phrase" in n.group(1).lower() else ""):
             add(a, end, "named literal")
     for m in _BARE.finditer(text):
+        if not is_random(m.group(1).rstrip(".,:"), 3):
+            continue
         n = _NAME.search(text, max(0, m.start() - 80), m.start())
         if n is None:
             continue
@@ -319,6 +325,15 @@ def find(text: str, path: str | None = None) -> list[tuple[int, int, str]]:
     return sorted(hits)
 
 
+def _bound(text: str, at: int) -> re.Match | None:
+    """The name that binds a literal that begins at this place: an operator or a bracket stands before it, and the name before that."""
+    before = text[max(0, at - 120) : at]
+    end = before.rstrip()
+    if end[-1:] in "rbuf" and end:
+        end = end[:-1].rstrip()
+    return _BINDER.search(before) if end and end[-1] in "=:,>?|(" else None
+
+
 def _pem_stop(text: str, at: int) -> int:
     """Where the body of a private key that has no end line ends."""
     stop, begun, gap = at, False, False

@@ -90,7 +90,7 @@ _BYTE = np.stack([_LEVELS[(np.arange(256) >> k) & 3] for k in (6, 4, 2, 0)], axi
 
 def _decode_coarse(b: np.ndarray) -> np.ndarray:
     """Unit vectors from coarse codes."""
-    m = _BYTE[b].reshape(len(b), -1)
+    m = _BYTE[b].reshape(len(b), 4 * b.shape[1])
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 

@@ -20,11 +20,13 @@ _ALL = [
     neighbours.p7_graph,
     packing.p8_containers,
     packing.p8_utilisation,
+    packing.p8_checks,
     mixing.p9_mix,
     mixing.p9_shares,
+    mixing.p9_checks,
     mixing.p9_temperature,
     stuffing.p10_found,
     stuffing.p10_scores,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
-SQL = chunk_split.SQL | near_dup.SQL | neighbours.SQL
+SQL = chunk_split.SQL | near_dup.SQL | neighbours.SQL | packing.SQL | mixing.SQL

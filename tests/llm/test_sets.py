@@ -109,18 +109,42 @@ def test_graph_answers_for_every_vector(spark, tmp_path):
 
 # ---- problem 8
 @pytest.mark.parametrize("seed", range(6))
-def test_patterns_place_every_item(seed):
+def test_windows_place_every_item(seed):
     rng = random.Random(seed)
-    counts = Counter(min(100, max(1, int(rng.lognormvariate(2.5, 1)))) for _ in range(3000))
-    patterns = packing.pack_counts(dict(counts), 100)
+    counts = Counter(min(128, max(1, int(rng.lognormvariate(2.5, 1)))) for _ in range(3000))
+    patterns = packing.pack_windows(dict(counts), 128)
     placed = Counter()
-    for times, p in patterns:
-        assert times > 0 and sum(k * n for k, n in p) <= 100
+    for size, times, p in patterns:
+        assert times > 0 and sum(k * n for k, n in p) <= size and max(k for k, _ in p) <= size
         for k, n in p:
             placed[k] += times * n
     assert placed == counts
-    used = sum(t for t, _ in patterns)
-    assert used <= math.ceil(sum(k * n for k, n in counts.items()) / 100) * 1.02 + 1
+    plan = packing.Plan(patterns, 128)
+    assert plan.containers <= math.ceil(sum(k * n for k, n in counts.items()) / 128) * 1.02 + 1
+    got = [(plan.place(k, i), k) for k, n in counts.items() for i in range(n)]
+    assert {p[0] for p, _ in got} == set(range(plan.containers)) and len({p[:3] for p, _ in got}) == len(got)
+    windows, boxes = defaultdict(list), defaultdict(int)
+    for (container, start, _, size, _), k in got:
+        windows[container, start, size].append(k)
+        boxes[container] += k
+    assert all(sum(v) <= size for (_, _, size), v in windows.items()) and max(boxes.values()) <= 128
+    spans = defaultdict(list)
+    for c, start, size in windows:
+        spans[c].append((start, start + size))
+    assert all(b <= x for s in spans.values() for (_, b), (x, _) in zip(sorted(s), sorted(s)[1:]))
+    work = defaultdict(int)
+    for (_, _, _, _, group), k in got:
+        work[group] += k * k
+    assert max(work.values()) <= 1.25 * min(work.values())
+
+
+def test_tiers_decide():
+    """Each tier is packed on its own, and long windows take what is left of the shorter tiers."""
+    counts = {100: 40, 28: 60, 60: 20, 4: 50, 16: 64, 8: 30}
+    tiered, flat = packing.pack_windows(dict(counts), 128), packing.pack_windows(dict(counts), 128, (1,))
+    assert {s for s, _, _ in flat} == {128} and {128, 64} <= {s for s, _, _ in tiered}
+    assert any(s == 128 and p[0][0] > 64 and p[-1][0] <= 32 for s, _, p in tiered)
+    assert sorted(tiered) != sorted(flat)
 
 
 def test_packing_keeps_everything(spark):
@@ -134,7 +158,7 @@ def test_packing_keeps_everything(spark):
         tokens[r.doc_id] += r.length
         if r.container is not None:
             boxes[r.container].append(r)
-    assert all(sum(r.length for r in b) <= 2048 and len({r.position for r in b}) == len(b) for b in boxes.values())
+    assert all(sum(r.length for r in b) <= 2048 and len({(r.window_start, r.position) for r in b}) == len(b) for b in boxes.values())
     assert {r.doc_id for r in got} == {r[0] for r in rows} and tokens[900] == tokens[901] == 0 and sum(r.doc_id == 902 for r in got) == 2
     for d in {r.doc_id for r in got if r.piece > 0}:
         parts = sorted((r.token_start, r.length) for r in got if r.doc_id == d)
@@ -142,6 +166,14 @@ def test_packing_keeps_everything(spark):
     u = packing.utilisation(packing.pack(spark, df)).first()
     assert u.filled > 0.95 and u.tokens == sum(tokens.values()) and set(boxes) == set(range(u.containers))
     assert packing.pack(spark, df.limit(0)).count() == 0
+    # parts of a length change nothing but who is where
+    part, packing.PART = packing.PART, 20
+    try:
+        again = packing.pack(spark, df).collect()
+    finally:
+        packing.PART = part
+    key = ("container", "window_start", "position")
+    assert Counter((r.length, *(r[k] for k in key)) for r in again) == Counter((r.length, *(r[k] for k in key)) for r in got)
 
 
 # ---- problem 9
@@ -152,6 +184,12 @@ def test_temperature():
     x, w = mixing.temperature_weights(t, max_repeats={"a": 1, "b": 2, "c": 3}, budget=900)
     assert all(w[k] * 900 <= {"a": 1, "b": 2, "c": 3}[k] * t[k] * (1 + 1e-9) for k in w)
     assert mixing.temperature_weights({}) == (1.0, {})
+    aim, caps = {"a": 0.2, "b": 0.3, "c": 0.5}, {"a": 1, "b": 2, "c": 3}
+    most = mixing.largest_budget(t, aim, caps)
+    assert most == 300 and mixing.temperature_weights(t, max_repeats=caps, budget=most, targets=aim) == (0.0, pytest.approx(aim))
+    x, w = mixing.temperature_weights(t, max_repeats=caps, budget=600, targets=aim)
+    assert 0 < x < 1 and w["c"] * 600 == pytest.approx(150) and all(w[k] * 600 <= caps[k] * t[k] * (1 + 1e-9) for k in w)
+    assert mixing.largest_budget(t, aim | {"none": 0.1}, caps | {"none": 2}) == 0
 
 
 def test_mix_reaches_targets_within_caps(spark):
@@ -168,6 +206,18 @@ def test_mix_reaches_targets_within_caps(spark):
     by_doc = Counter(d for d, _ in n)
     src = {i: mixing_clean(s) for i, _, s, _ in rows}
     assert all(c <= {"a": 1, "b": 3, "c": 4}[src[d]] for d, c in by_doc.items())
+    # in the one order of the mix every stretch has the shares
+    ordered = sorted(uses.collect(), key=lambda r: r.place)
+    assert all(0 <= r.place < 1.1 for r in ordered)  # the cut is by tokens, the place by documents
+    half = ordered[: len(ordered) // 2]
+    for s, r in rep.items():
+        assert sum(u.tokens for u in half if u.source == s) / sum(u.tokens for u in half) == pytest.approx(r.target_share, abs=0.03)
+    # a larger budget makes the exponent leave the targets, and the caps still hold
+    more, report = mixing.mix(spark, docs, targets, budget=int(1.2 * sum(r.budget for r in rep.values())))
+    big = {r.source: r for r in report.collect()}
+    assert 0 < big["a"].exponent < 1 and all(r.most_uses <= r.max_repeats for r in big.values())
+    assert sum(r.tokens for r in big.values()) > 1.15 * sum(r.tokens for r in rep.values())
+    assert any(abs(r.actual_share - r.target_share) > 0.01 for r in big.values())
     assert mixing.mix(spark, docs.limit(0), targets)[0].count() == 0
     assert mixing.mix(spark, docs, targets.limit(0))[1].count() == 0
 
