@@ -2,8 +2,8 @@
 
 Temperature mixing exponentiates the sources' token shares. With one exponent it cannot give each source a share of
 its own, so what is exponentiated is each source's token share over its target share: weights are the targets times
-(token share / target share) to the exponent, scaled to one. The exponent 0 gives the targets, 1 the sources as they
-are; bisection finds the least one whose weights keep every source within its cap at the budget, or the one of a
+(token share / target share) to the exponent, scaled to one, tokens counting as often as they may be repeated. The
+exponent 0 gives the targets, 1 the sources as they are; bisection finds the least one whose weights keep every source within its cap at the budget, or the one of a
 target entropy. Without a budget the largest is sought, by bisection too, at which the exponent is still 0. Weights
 become documents by block permutations: each pass over a source is a fresh permutation in nested blocks, whole passes
 use every document once, and the last pass is cut where the source's budget ends.
@@ -48,7 +48,8 @@ def temperature_weights(tokens: dict[str, float], entropy: float | None = None,
     With `entropy` (in nats) the exponent that gives it; with `budget` and `max_repeats` the least exponent whose
     weights keep every source within its cap. The nearest end where none does.
     """
-    live = {k: v for k, v in tokens.items() if v > 0 and (targets is None or targets.get(k, 0) > 0)}
+    live = {k: v * (max_repeats or {}).get(k, 1) for k, v in tokens.items() if v > 0 and (targets is None or targets.get(k, 0) > 0)}
+    live = {k: v for k, v in live.items() if v > 0}
     total = sum(live.values())
     if not live:
         return 1.0, {}
@@ -63,7 +64,7 @@ def temperature_weights(tokens: dict[str, float], entropy: float | None = None,
             # from the targets to the tokens the entropy falls or rises; which of them, its ends tell
             return entropy_of(x) <= entropy if entropy_of(0.0) >= entropy_of(1.0) else entropy_of(x) >= entropy
         w = tempered(live, aim, x)
-        return all(w[k] * (total if budget is None else budget) <= (max_repeats or {}).get(k, math.inf) * live[k] * (1 + 1e-12) for k in live)
+        return all(w[k] * (total if budget is None else budget) <= v * (1 + 1e-12) for k, v in live.items())
 
     lo, hi = 0.0, 1.0
     if enough(lo) or not enough(hi):
@@ -175,11 +176,11 @@ def p9_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_temperature(spark: SparkSession, d: str) -> DataFrame:
-    """The mix of half as many tokens again as the targets allow: the bisected exponent and what it makes of the shares, one row a target."""
+    """The mix of a budget half-way between what the targets and what the caps allow: the bisected exponent and the shares it gives, one row a target."""
     docs, targets = read(spark, d, "documents", "doc_id", "text", "source"), read(spark, d, "mix_targets")
     report = mix(spark, docs, targets)[1]
-    more = int(1.5 * (report.agg(F.sum("budget")).first()[0] or 0))
-    return mix(spark, docs, targets, budget=more)[1]
+    most = report.agg(F.sum(F.col("budget") + F.col("max_repeats") * F.col("source_tokens"))).first()[0] or 0
+    return mix(spark, docs, targets, budget=most // 2)[1]
 
 
 SQL = {

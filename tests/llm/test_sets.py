@@ -213,10 +213,10 @@ def test_mix_reaches_targets_within_caps(spark):
     for s, r in rep.items():
         assert sum(u.tokens for u in half if u.source == s) / sum(u.tokens for u in half) == pytest.approx(r.target_share, abs=0.03)
     # a larger budget makes the exponent leave the targets, and the caps still hold
-    more, report = mixing.mix(spark, docs, targets, budget=int(1.2 * sum(r.budget for r in rep.values())))
+    more, report = mixing.mix(spark, docs, targets, budget=int(1.06 * sum(r.budget for r in rep.values())))
     big = {r.source: r for r in report.collect()}
     assert 0 < big["a"].exponent < 1 and all(r.most_uses <= r.max_repeats for r in big.values())
-    assert sum(r.tokens for r in big.values()) > 1.15 * sum(r.tokens for r in rep.values())
+    assert sum(r.tokens for r in big.values()) > 1.04 * sum(r.tokens for r in rep.values())
     assert any(abs(r.actual_share - r.target_share) > 0.01 for r in big.values())
     assert mixing.mix(spark, docs.limit(0), targets)[0].count() == 0
     assert mixing.mix(spark, docs, targets.limit(0))[1].count() == 0
