@@ -1,14 +1,16 @@
 """Problem 1: splitting oversized chunks at natural boundaries.
 
 A chunk over its limit is parsed into a tree: Markdown headings, blocks, list items, lines, sentences and
-words for prose; indentation blocks for code. Sibling subtrees are merged, left to right, while they fit the
-open piece, and only a node that fits no piece is descended into. Pieces are spans of the text: nothing is
-trimmed or rewritten, so the pieces without their overlaps join up to the text again.
+words for prose; indentation blocks for code. From the bottom up, sibling subtrees are merged while they fit a piece;
+only a node that fits none is descended into, and what it comes to stays apart from its siblings, unless one of them is
+too small to stand alone. Pieces are spans of the text: nothing is trimmed or rewritten, so the pieces without their
+overlaps join up to the text again.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +23,8 @@ PROSE_CHARS = 1_800
 CODE_CHARS = 12_000
 CODE_LINES = 120
 CODE_OVERLAP_LINES = 20
+#: A sibling below this share of the limit joins a neighbour's part rather than stand alone.
+SMALL = 1 / 8
 
 
 def oversized(source_type: Column, content: Column) -> Column:
@@ -130,21 +134,41 @@ def prose_tree(text: str) -> Node:
     return _sections(blocks, 1) if blocks else Node(0, len(text))
 
 
-def _items(text: str, lines: list[Node], level: int = 0) -> list[Node]:
-    """Lines of a block, those of a list nested by indentation under their item, 40 levels deep at most."""
-    if level == 40:
-        return lines
-    marks = [_LIST.match(text, n.start, n.end) for n in lines]
-    if not any(marks):
-        return lines
-    depth = min(len(m.group(1)) for m in marks if m)
-    out: list[list[Node]] = []
-    for n, m in zip(lines, marks):
-        if (m and len(m.group(1)) <= depth) or not out:
-            out.append([n])
+def _items(text: str, lines: list[Node]) -> list[Node]:
+    """Lines of a block, those of a list nested by indentation under their item."""
+    root: list = []
+    open_items: list[tuple[int, list]] = []  # items around the line, with their indentation
+    for n in lines:
+        m = _LIST.match(text, n.start, n.end)
+        if m:
+            indent = len(m.group(1))
+            while open_items and open_items[-1][0] >= indent:
+                open_items.pop()
+            item = [n]
+            (open_items[-1][1] if open_items else root).append(item)
+            open_items.append((indent, item))
+        else:
+            (open_items[-1][1] if open_items else root).append(n)
+    return [_build(x) for x in root]
+
+
+def _build(x) -> Node:
+    """Nested lists to nodes, without recursion."""
+    done: list[Node] = []
+    work = [(x, False, 0)]
+    while work:
+        item, ready, mark = work.pop()
+        if isinstance(item, Node):
+            done.append(item)
+        elif ready:
+            kids = done[mark:]
+            del done[mark:]
+            if kids:
+                done.append(_group(kids))
         else:
-            out[-1].append(n)
-    return [_group(x if len(x) == 1 else [x[0], *_items(text, x[1:], level + 1)]) for x in out]
+            work.append((item, True, len(done)))
+            work.extend((k, False, 0) for k in reversed(item))
+    return done[0]
 
 
 def _sections(blocks: list[tuple[int, Node]], level: int) -> Node:
@@ -177,7 +201,7 @@ def code_tree(text: str) -> Node:
         s = text[a:b].expandtabs(4)
         depth.append(len(s) - len(s.lstrip()) if s.strip() else -1)
     # a blank line belongs to what stands before it
-    nodes = [Node(a, b, [Node(x, y) for x, y in _cut(text, a, b, _CODE_CUT)] if b - a > 400 else None) for a, b in lines]
+    nodes = [Node(a, b, [Node(x, y) for x, y in _cut(text, a, b, _CODE_CUT)] if b - a > CODE_CHARS else None) for a, b in lines]
     return _blocks(text, nodes, depth, 0, len(nodes))
 
 
@@ -221,103 +245,92 @@ def _blocks(text: str, nodes: list[Node], depth: list[int], lo: int, hi: int) ->
                 out.append([nodes[x], inner])
                 stack.append((x + 1, y, inner))
 
-    def build(x) -> Node:
-        """Nested lists to nodes, without recursion."""
-        done: list[Node] = []
-        work = [(x, False, 0)]
-        while work:
-            item, ready, mark = work.pop()
-            if isinstance(item, Node):
-                done.append(item)
-            elif ready:
-                kids = done[mark:]
-                del done[mark:]
-                if kids:
-                    done.append(_group(kids))
-            else:
-                work.append((item, True, len(done)))
-                work.extend((k, False, 0) for k in reversed(item))
-        return done[0]
+    return _build(root)
 
-    # marks are taken when an item is first seen, but children of earlier siblings are finished by then
-    return build(root)
 
+class Packer:
+    """Pieces of one text. A piece that starts at a place has a fixed overlap before it, so whether a span fits depends on the span alone."""
 
-def pack(text: str, code: bool) -> list[tuple[int, int, int]]:
-    """The pieces of an oversized text as (start of the overlap, start, end)."""
-    limit = CODE_CHARS if code else PROSE_CHARS
-    tree = code_tree(text) if code else prose_tree(text)
-    pieces: list[tuple[int, int, int]] = []
-    start = 0  # of the open piece
-    end = 0
-    over = 0  # where its overlap starts
-
-    def overlap(at: int) -> int:
-        """Where the last lines before `at` start: up to 20, as many as leave half of the limit to new text."""
-        if not code or at == 0 or text[at - 1] != "\n":
+    def __init__(self, text: str, code: bool):
+        self.text, self.code = text, code
+        self.limit = CODE_CHARS if code else PROSE_CHARS
+        self.feeds = [m.start() for m in re.finditer("\n", text)]
+
+    def over(self, at: int) -> int:
+        """Where the overlap of a piece that starts here starts: 20 lines before, fewer where these and the next line exceed the limit."""
+        if not self.code or at == 0 or self.text[at - 1] != "\n":
             return at
-        pos = at
-        for _ in range(CODE_OVERLAP_LINES):
-            p = text.rfind("\n", 0, pos - 1) + 1
-            if at - p > limit // 2:
-                break
-            pos = p
-            if pos == 0:
-                break
-        return pos
-
-    def fits(to: int) -> bool:
-        if to - over > limit:
-            return False
-        return not code or text.count("\n", over, to) + 1 <= CODE_LINES
+        i = bisect_left(self.feeds, at)  # of the line that starts here
+        end = self.feeds[i] + 1 if i < len(self.feeds) else len(self.text)
+        for k in range(max(0, i - CODE_OVERLAP_LINES), i):
+            start = self.feeds[k - 1] + 1 if k else 0
+            if end - start <= self.limit:
+                return start
+        return at
+
+    def fits(self, a: int, b: int) -> bool:
+        o = self.over(a)
+        return b - o <= self.limit and (not self.code or bisect_left(self.feeds, b) - bisect_left(self.feeds, o) + 1 <= CODE_LINES)
+
+    def cut(self, a: int, b: int) -> list[tuple[int, int]]:
+        """A span without structure, cut where the limit ends it; a carriage return stays with its line feed."""
+        out = []
+        while not self.fits(a, b):
+            end = a + self.limit
+            if self.code:
+                # as many line feeds as a piece may hold, the last of them ending it
+                k = bisect_left(self.feeds, a) + CODE_LINES - 1
+                end = min(end, self.feeds[k - 1] + 1 if k - 1 < len(self.feeds) else end)
+            if self.text[end - 1 : end + 1] == "\r\n" and end - 1 > a:
+                end -= 1
+            out.append((a, end))
+            a = end
+        return [*out, (a, b)]
+
+    def join(self, out: list, piece: tuple[int, int, bool]) -> None:
+        """Add a piece (start, end, whether it is made of whole siblings) to those before, merged with the last if it may be."""
+        if out:
+            a, m, left = out[-1]
+            _, b, right = piece
+            small = SMALL * self.limit
+            if self.fits(a, b) and (left == right or (m - a if left else b - m) < small):
+                out[-1] = (a, b, left and right)
+                return
+        out.append(piece)
+
+    def pieces(self, tree: Node) -> list[tuple[int, int]]:
+        """Bottom-up over the tree, through an explicit stack."""
+        result: list = []
+        stack = [(tree, None, [])]  # node, its children still to come, pieces of those done
+        while stack:
+            node, kids, out = stack.pop()
+            if kids is None:
+                if self.fits(node.start, node.end):
+                    done = [(node.start, node.end, True)]
+                elif not node.kids:
+                    done = [(a, b, False) for a, b in self.cut(node.start, node.end)]
+                else:
+                    stack.append((node, iter(node.kids), out))
+                    continue
+            else:
+                kid = next(kids, None)
+                if kid is not None:
+                    stack += [(node, kids, out), (kid, None, [])]
+                    continue
+                # to its siblings all that a node too large for a piece comes to is a part
+                done = [(a, b, False) for a, b, _ in out]
+            into = stack[-1][2] if stack else result
+            for k, piece in enumerate(done):
+                # parts of one node have been merged with each other already
+                into.append(piece) if k else self.join(into, piece)
+        return [(a, b) for a, b, _ in result]
 
-    def close() -> None:
-        nonlocal start, over
-        if end > start:
-            pieces.append((over, start, end))
-            start = end
-            over = overlap(start)
 
-    stack = [tree]
-    while stack:
-        n = stack.pop()
-        if n.end <= end:
-            continue
-        if fits(n.end):
-            end = n.end
-            continue
-        if end > start:
-            # does it fit a piece of its own?
-            size = n.end - n.start
-            o = overlap(n.start)
-            alone = n.end - o <= limit and (not code or text.count("\n", o, n.end) + 1 <= CODE_LINES)
-            if alone:
-                close()
-                end = n.end
-                continue
-            # too large for any piece: a quarter-full piece is not worth closing before descending
-            if n.kids and (end - over) * 4 >= min(limit, size):
-                close()
-        if n.kids:
-            stack.extend(reversed(n.kids))
-            continue
-        # characters only: cut at the limit
-        close()
-        pos = n.start
-        while not fits(n.end):
-            end = min(n.end, over + limit)
-            if code:
-                while text.count("\n", over, end) + 1 > CODE_LINES:
-                    end = text.rfind("\n", over, end - 1) + 1
-            if text[end - 1 : end + 1] == "\r\n":
-                end -= 1
-            if end <= pos:
-                end = pos + 1
-            close()
-            pos = end
-        end = n.end
-    close()
-    return pieces
+def pack(text: str, code: bool) -> list[tuple[int, int, int]]:
+    """The pieces of an oversized text as (start of the overlap, start, end)."""
+    p = Packer(text, code)
+    spans = p.pieces(code_tree(text) if code else prose_tree(text))
+    return [(p.over(a), a, b) for a, b in spans]
 
 
 _SCHEMA = "chunk_id string, piece int, pieces int, content string, start_line int, end_line int, char_start int, char_end int, overlap_chars int"
@@ -338,9 +351,9 @@ def split_oversized(chunks: DataFrame) -> DataFrame:
     `chunks` has id, source_type, content and start_line. Columns: chunk_id, piece (from 0), pieces, content,
     start_line and end_line (1-based lines of the document; of the chunk where its start_line is null),
     char_start and char_end (code points of the chunk's content, the overlap included) and overlap_chars.
-    Chunks within the limit and null contents give no rows; repeated chunks give repeated rows. A piece may
-    share fewer than 20 lines with the piece before where those lines alone fill half of the limit, and none
-    where a single line had to be cut.
+    Chunks within the limit and null contents give no rows; repeated chunks give repeated rows. A piece shares
+    fewer than 20 lines with the piece before only where these and the next line exceed 12,000 characters, and none
+    where it starts within a line that had to be cut.
     """
     c = chunks.select("id", "source_type", "content", "start_line").filter(oversized(F.col("source_type"), F.col("content")))
     return map_rows(c, _SCHEMA, _split)

@@ -39,6 +39,7 @@ RESERVED = frozenset(
 _CONTEXTUAL = frozenset("static yield await implements interface package private protected public let".split())
 _HARD = RESERVED - _CONTEXTUAL
 _BEFORE_REGEX = frozenset("return typeof case in of instanceof new delete void throw do else yield await default extends".split())
+_HEADS = frozenset("if while for with".split())
 _BINARY = frozenset("+ - * / % ** == != === !== < > <= >= << >> >>> & | ^ && || ?? in instanceof".split())
 _ASSIGN = frozenset("= += -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??=".split())
 _PREFIX = frozenset("+ - ! ~ typeof void delete ++ -- await".split())
@@ -64,6 +65,7 @@ def tokens(src: str):
     skip, tok = _SKIP.match, _TOKEN.match
     kadd, vadd, nadd, madd = kinds.append, vals.append, nls.append, match.append
     nl = True
+    closed = 0  # where the bracket closed last was opened
     while True:
         m = skip(src, pos)
         if m:
@@ -103,6 +105,7 @@ def tokens(src: str):
                         continue
                     raise SyntaxFault(f"{v} at {pos} closes {vals[o]}")
                 match[o] = len(kinds)
+                closed = o
             kadd("p")
         elif k == 1:
             kadd("n")
@@ -113,7 +116,9 @@ def tokens(src: str):
         elif k == 5:
             pk = kinds[-1] if kinds else "p"
             pv = vals[-1] if kinds else ";"
-            if (pk == "p" and pv not in (")", "]", "}", "++", "--")) or (pk == "n" and pv in _BEFORE_REGEX and not (len(vals) > 1 and vals[-2] == ".")) or pk in "hm":
+            # after the head of an if, while, for or with no value has been read: a slash begins a regular expression
+            head = pk == "p" and pv == ")" and closed > 0 and kinds[closed - 1] == "n" and vals[closed - 1] in _HEADS and not (closed > 1 and vals[closed - 2] == ".")
+            if head or (pk == "p" and pv not in (")", "]", "}", "++", "--")) or (pk == "n" and pv in _BEFORE_REGEX and not (len(vals) > 1 and vals[-2] == ".")) or pk in "hm":
                 m = _REGEX.match(src, pos)
                 if m is None:
                     raise SyntaxFault(f"regular expression at {pos}")

@@ -36,6 +36,10 @@ _VERBS = frozenset(
 _COMPARE = frozenset("= <> != < > <= >= <=> || + - * / % ^ & | ~ !~ ~* !~* -> ->> #> #>> @> <@ && := # @".split())
 
 
+# What no administrative statement ends in.
+_UNFINISHED = frozenset("add column constraint rename set to by on as table references using with , = .".split())
+
+
 def tokens(src: str):
     kinds: list[str] = []
     vals: list[str] = []
@@ -859,6 +863,8 @@ def recognise(src: str) -> None:
                 fail()
             else:
                 i += 1
+        if V[i - 1].lower() in _UNFINISHED and K[i - 1] in "np":
+            fail("unfinished statement before")
 
     def alter() -> None:
         nonlocal i

@@ -1,8 +1,8 @@
 """Problem 4: source files that do not parse.
 
-Every file is put to the recogniser of the language that its path names. A file that fails is put to all
-other supported grammars, in the order of a ranking by its tokens: the first that takes it is what the file
-really is (a wrong extension); if none does, the file is corrupt (truncated, in conflict, damaged).
+Every file is put to all supported grammars, in the order of a ranking by its tokens. What fails the grammar of the
+language that its path names is no valid file: the first other grammar that takes it is what it really is (a wrong
+extension); if none does, it is corrupt (truncated, in conflict, damaged).
 """
 
 from __future__ import annotations
@@ -14,31 +14,36 @@ from . import grammars as G
 from .arrow import map_rows
 from .texts import load
 
-_SCHEMA = "file_id string, repository_id string, path string, language string, is_valid boolean, verdict string, parsed_as string, fault string"
+_SCHEMA = "file_id string, repository_id string, path string, language string, is_valid boolean, verdict string, parsed_as string, fault string, parses_as array<string>"
 
 
 def _judge(file_id, repository_id, path, text):
     language = G.LANGUAGE_OF[path.rsplit(".", 1)[-1].lower()]
-    fault = G.fault(text, language)
-    verdict, parsed_as = "valid", language
-    if fault is not None:
+    said = {k: G.parse(text, k) for k in G.rank(text)}
+    takes = [k for k, (fault, _) in said.items() if fault is None]
+    fault, deep = said[language]
+    if fault is None:
+        verdict, parsed_as = "too_deep" if deep else "valid", language
+    elif "<<<<<<<" in text and ">>>>>>>" in text and "=======" in text:
+        verdict, parsed_as = "merge_conflict", None
+    elif takes and text.strip():
+        verdict, parsed_as = "wrong_extension", takes[0]
+    else:
+        # a text that any grammar of the kind takes tells nothing: an empty SQL script
         verdict, parsed_as = "corrupt", None
-        for other in G.rank(text):
-            # a text that every grammar of the kind takes tells nothing: an empty SQL script, a bare word as JavaScript
-            if other != language and text.strip() and G.fault(text, other) is None:
-                verdict, parsed_as = "wrong_extension", other
-                break
-        if "<<<<<<<" in text and ">>>>>>>" in text and "=======" in text:
-            verdict, parsed_as = "merge_conflict", None
-    yield file_id, repository_id, path, language, fault is None, verdict, parsed_as, fault
+    yield file_id, repository_id, path, language, fault is None, verdict, parsed_as, fault, takes
 
 
 def judge_files(texts: DataFrame) -> DataFrame:
-    """Rows (file_id, repository_id, path, language, is_valid, verdict, parsed_as, fault), one a file.
+    """Rows (file_id, repository_id, path, language, is_valid, verdict, parsed_as, fault, parses_as), one a file.
+
+    parses_as names all grammars that take the text, in the order of the ranking; parsed_as is the path's language,
+    or what a file with a wrong extension is.
 
     `texts` has id, repository_id, path and text. Files with null path or text, or with an ending of no
-    supported language, are no cases. An empty text is valid in every language but JSON and Go. Texts that
-    nest deeper than the recognisers follow count as valid.
+    supported language, are no cases. An empty text is valid in every language but JSON and Go. Of texts
+    that nest deeper than the recognisers follow only tokens and brackets are checked (verdict too_deep), but JSON
+    is read at any depth.
     """
     t = texts.select("id", "repository_id", "path", "text").filter(F.col("text").isNotNull() & F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(list(G.LANGUAGE_OF)))
     return map_rows(t, _SCHEMA, _judge)

@@ -1,9 +1,9 @@
 """Problem 5: generated, minified, vendored and data files among the source files.
 
 Attribute files (`.gitattributes`) are parsed and their globs resolved with the precedence of the format: the
-deepest directory, then the last line, wins for each attribute. What they declare, and what files show by
-their own content, teaches which path patterns stand for such files; patterns that hold across repositories
-are applied where nothing is declared.
+deepest directory, then the last line, wins for each attribute. What they declare teaches which path patterns stand
+for such files; so does what files of repositories without them declare of themselves. Patterns that hold across
+repositories are applied where nothing is declared, and only then does a file's own content decide.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ CODE_ENDINGS = "ts tsx mts cts js jsx mjs cjs py pyi go sql java kt scala c h cc
 # Names of lock files.
 LOCK_FILES = "package-lock.json npm-shrinkwrap.json yarn.lock pnpm-lock.yaml bun.lockb bun.lock composer.lock gemfile.lock cargo.lock poetry.lock pdm.lock uv.lock pipfile.lock go.sum go.work.sum flake.lock mix.lock pubspec.lock podfile.lock packages.lock.json gradle.lockfile deno.lock".split()
 #: A pattern is mined if at least so many files show it, in so many repositories, and such a share of them is no hand-written source.
-MIN_FILES, MIN_REPOSITORIES, MIN_SHARE = 12, 4, 0.97
+MIN_FILES, MIN_REPOSITORIES, MIN_SHARE = 8, 3, 0.6
 #: Lines longer than this on average, with less white space than the share, are minified.
 MINIFIED_LINE, MINIFIED_SPACE = 300, 0.14
 #: Literals that make up such a share of a file of at least DATA_CHARS characters make it data saved as code.
@@ -54,14 +54,9 @@ _THIRD_PARTY = re.compile(
 #: What a comment after the first line of code has to say: there it may tell of what code does.
 _PLAINLY = re.compile(r"\bdo not (?:edit|modify)\b|@generated\b|<auto-?generated|\bcode generated\b|\b(?:this|the) (?:file|source) (?:is|was|has been) (?:auto(?:matically)?[ -]?)?(?:generated|created)\b", re.I)
 _OWN = re.compile(r"\b(?:maintainers|authors|contributors|owners) of this (?:repository|project)\b|\bthis repository\b", re.I)
-#: Shapes of the output of common schema compilers, without a header: (pattern, least number of matches, least share of the lines).
-_SHAPES = [
-    (re.compile(r"^\s*if \(\w+\.\w+ !== undefined\) \{ writer\.uint32\(\d+\)", re.M), 3, 0.4),
-    (re.compile(r"^\s*[A-Z][A-Z0-9_]*_FIELD_NUMBER = \d+$", re.M), 3, 0.4),
-    (re.compile(r"^func \(x \*\w+\) Get\w+\(\) ", re.M), 2, 0.1),
-    (re.compile(r"^\s*__slots__ = \(.*\)$", re.M), 3, 0.5),
-    (re.compile(r"^insert into \w+ values \(", re.M | re.I), 12, 0.8),
-]
+#: A file is written by a template if lines of so many names, alike but for these, make up such a share of its characters, so many at least.
+TEMPLATE_NAMES, TEMPLATE_SHARE, TEMPLATE_TIMES = 7, 0.4, 3
+_NAMES = re.compile(r"[A-Za-z_$][\w$]*|\d+(?:\.\d+)?|\"[^\"\n]*\"|'[^'\n]*'")
 _LITERAL = re.compile(r"0x[0-9a-fA-F]+|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|[\"'][^\"'\n]{24,}[\"']|[\"'][A-Za-z0-9+/=]*[\"']|(?<=[\"'])[A-Za-z0-9+/=]{40,}(?=[\"'])")
 _SEPARATORS = re.compile(r"[\s,\[\](){}+;:]+")
 _BASE64 = re.compile(r"[\"'`][A-Za-z0-9+/=]{40,}[\"'`]")
@@ -98,6 +93,22 @@ def head(text: str) -> tuple[str, str]:
     return "\n".join(parts[0]), "\n".join(parts[1])
 
 
+def templated(text: str) -> float:
+    """The share of a text's characters in lines that are alike but for names, numbers and literals."""
+    shapes: dict[str, list[int]] = {}
+    total = 0
+    for line in text.split("\n"):
+        bare = line.strip()
+        total += len(bare)
+        shape, names = _NAMES.subn("a", bare)
+        if names >= TEMPLATE_NAMES:
+            seen = shapes.setdefault(shape, [0, 0])
+            seen[0] += 1
+            seen[1] += len(bare)
+    most = max((size for times, size in shapes.values() if times >= TEMPLATE_TIMES), default=0)
+    return most / total if total else 0.0
+
+
 def evidence(path: str | None, text: str | None) -> str | None:
     """What a file shows itself to be: lock, generated, vendored, minified or data; None if hand-written or not code."""
     if not path:
@@ -121,10 +132,8 @@ def evidence(path: str | None, text: str | None) -> str | None:
             if not _OWN.search(line):
                 return "vendored"
     lines = text.count("\n") + 1
-    for pattern, least, share in _SHAPES:
-        n = sum(1 for _ in pattern.finditer(text))
-        if n >= least and n >= share * lines:
-            return "generated"
+    if templated(text) >= TEMPLATE_SHARE:
+        return "generated"
     n = len(text)
     if n >= DATA_CHARS:
         blob = sum(len(m.group()) for m in _BASE64.finditer(text))
@@ -145,24 +154,45 @@ def evidence(path: str | None, text: str | None) -> str | None:
 
 # ---- attribute files
 # The attributes that mark files, and what they mark them as.
-ATTRIBUTES = {"linguist-generated": "generated", "linguist-vendored": "vendored", "gitlab-generated": "generated", "-diff": None}
+ATTRIBUTES = {"linguist-generated": "generated", "linguist-vendored": "vendored", "gitlab-generated": "generated"}
+# Fixed value: the attribute that is unset for files that are not to be compared, which tools write.
+NOT_COMPARED = "diff"
+
+
+def macros_of(text: str | None) -> dict[str, list[str]]:
+    """The macros that a repository's topmost attribute file defines, and the one that Git has built in."""
+    out = {"binary": ["-diff", "-merge", "-text"]}
+    for line in (text or "").split("\n"):
+        m = re.match(r"\s*\[attr\](\S+)\s+(.*)", line)
+        if m:
+            out[m.group(1)] = m.group(2).split()
+    return out
 
 
-def parse_attributes(text: str) -> list[tuple[int, str, str, bool]]:
-    """Rows (line, glob, class, set) of an attribute file; unset marks (-attr, attr=false) take a class back."""
+def parse_attributes(text: str, macros: dict[str, list[str]] | None = None) -> list[tuple[int, str, str, bool]]:
+    """Rows (line, glob, class, set) of an attribute file; unset marks (-attr, !attr, attr=false) take a class back."""
+    macros = macros_of(text) if macros is None else macros
     out = []
     for i, line in enumerate((text or "").split("\n")):
         line = line.strip()
-        if not line or line.startswith("#"):
+        if not line or line.startswith(("#", "[attr]")):
             continue
         m = re.match(r'"((?:[^"\\]|\\.)*)"|(\S+)', line)
         glob = m.group(1) if m.group(1) is not None else m.group(2)
-        for a in line[m.end() :].split():
+        todo, seen = line[m.end() :].split(), set()
+        while todo:
+            a = todo.pop(0)
             name, _, value = a.partition("=")
             off = name.startswith(("-", "!"))
-            cls = ATTRIBUTES.get(name.lstrip("-!"))
-            if cls:
-                out.append((i, glob, cls, not off and value.lower() not in ("false", "0", "no")))
+            bare = name.lstrip("-!")
+            if bare in macros and bare not in seen:
+                # a macro sets what it stands for; taking it back takes back its own name only
+                seen.add(bare)
+                todo += [] if off else macros[bare]
+            elif bare in ATTRIBUTES:
+                out.append((i, glob, ATTRIBUTES[bare], not off and value.lower() not in ("false", "0", "no")))
+            elif bare == NOT_COMPARED and name.startswith("-"):
+                out.append((i, glob, "generated", True))
     return out
 
 
@@ -196,6 +226,11 @@ def glob_regex(glob: str) -> re.Pattern:
     return re.compile(("" if anchored else "(?:.*/)?") + "".join(out) + r"\Z")
 
 
+@lru_cache(maxsize=256)
+def parsed(text: str, top: str | None) -> tuple:
+    return tuple(parse_attributes(text, macros_of(top)))
+
+
 def declared(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Rows (id, declared): what attribute files say of each file; 'none' where a mark is taken back.
 
@@ -203,42 +238,55 @@ def declared(files: DataFrame, rules: DataFrame) -> DataFrame:
     is joined with the attribute files of its own ancestor directories only.
     """
     rules = rules.filter((F.col("path") == ".gitattributes") | F.col("path").endswith("/.gitattributes")).filter(F.col("text").isNotNull())
-    rules = rules.select("repository_id", F.regexp_replace("path", r"\.gitattributes$", "").alias("dir"), F.col("text").alias("rules"))
+    root = rules.filter(F.col("path") == ".gitattributes").groupBy("repository_id").agg(F.max("text").alias("root"))
+    rules = rules.join(root, "repository_id", "left").select("repository_id", F.regexp_replace("path", r"\.gitattributes$", "").alias("dir"), F.col("text").alias("rules"), "root")
     parts = F.split("path", "/")
     dirs = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.when(k == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/"))))
     files = files.filter(F.col("path").isNotNull()).select("id", "repository_id", "path", F.explode(dirs).alias("dir"))
 
-    def one(file_id, path, directory, text):
+    def one(file_id, path, directory, text, top):
         rel = path[len(directory) :]
         last = {}
-        for line, glob, cls, on in parse_attributes(text):
+        for line, glob, cls, on in parsed(text, top):
             if glob_regex(glob).match(rel):
                 last[cls] = (line, on)
         for cls, (line, on) in last.items():
             yield file_id, cls, len(directory), line, on
 
-    hit = map_rows(files.join(rules, ["repository_id", "dir"]).select("id", "path", "dir", "rules"), "id string, cls string, depth int, line int, marked boolean", one)
+    hit = map_rows(files.join(rules, ["repository_id", "dir"]).select("id", "path", "dir", "rules", "root"), "id string, cls string, depth int, line int, marked boolean", one)
     w = Window.partitionBy("id", "cls").orderBy(F.col("depth").desc(), F.col("line").desc(), F.col("marked").desc())
     best = hit.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1")
-    return best.groupBy("id").agg(F.coalesce(F.min(F.when(F.col("marked"), F.col("cls"))), F.lit("none")).alias("declared"))
+    return best.groupBy("id").agg(F.coalesce(F.max(F.when(F.col("marked"), F.col("cls"))), F.lit("none")).alias("declared"))
 
 
 def patterns(files: DataFrame) -> DataFrame:
-    """Rows (pattern, file key columns): the path patterns a file shows: each directory name and its compound ending."""
+    """Rows (pattern, the files' columns): the globs that a path fits: one of each of its directories' names, and those of its compound ending."""
     parts = F.split(F.lower("path"), "/")
-    dirs = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: F.concat(F.lit("dir:"), p))
+    dirs = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: F.concat(F.lit("**/"), p, F.lit("/**")))
     base = F.element_at(parts, -1)
-    tail = F.regexp_extract(base, r"((?:\.[a-z]+|_pb2?)\.[a-z0-9]+)$", 1)
-    return files.withColumn("pattern", F.explode(F.array_distinct(F.concat(dirs, F.when(tail != "", F.array(F.concat(F.lit("end:"), tail))).otherwise(F.array().cast("array<string>"))))))
+    mark = F.regexp_extract(base, r"((?:\.[a-z_]+|_pb2?))\.[a-z0-9]+$", 1)
+    ends = F.when(mark != "", F.array(F.concat(F.lit("*"), mark, F.lit(".*")))).otherwise(F.array().cast("array<string>"))
+    return files.withColumn("pattern", F.explode(F.array_distinct(F.concat(dirs, ends))))
+
+
+def mined(files: DataFrame) -> DataFrame:
+    """Rows (pattern, cls): the globs that stand for files not written by hand, as files (repository_id, path, known) teach.
+
+    Counts are pre-aggregated by pattern, repository and class, so a pattern of a third of all files is no hot key.
+    """
+    c = patterns(files.filter("path is not null")).groupBy("pattern", "repository_id", "known").agg(F.count("*").alias("n"))
+    by = c.groupBy("pattern", "known").agg(F.sum("n").alias("n"), F.collect_set(F.pmod(F.xxhash64("repository_id"), F.lit(1024))).alias("r"))
+    p = by.groupBy("pattern").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("known").isNotNull(), F.col("n"))), F.lit(0)).alias("hit"), F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("known").isNotNull(), F.col("r")))))).alias("repositories"), F.max_by("known", F.when(F.col("known").isNotNull(), F.col("n"))).alias("cls"))
+    return p.filter((F.col("n") >= MIN_FILES) & (F.col("repositories") >= MIN_REPOSITORIES) & (F.col("hit") >= MIN_SHARE * F.col("n"))).select("pattern", "cls", (F.col("hit") / F.col("n")).alias("share"))
 
 
-def classify(texts: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+def classify(texts: DataFrame, rules: DataFrame | None = None, by_rules: bool = True, by_patterns: bool = True) -> DataFrame:
     """Rows (file_id, repository_id, path, cls, reason), one a file: cls null for hand-written source and non-code.
 
     `texts` has id, repository_id, path and text (null where there is none); `rules` the attribute files alone, if
-    they can be read more cheaply than from `texts`. Attribute files decide first, then the file's content, then
-    the mined patterns. Null paths have no class; an empty file is hand-written. Texts are read once: what they
-    show is kept as a slim table.
+    they can be read more cheaply than from `texts`. Attribute files decide first, then the mined patterns, then
+    the file's content. Null paths have no class; an empty file is hand-written. Texts are read once: what they
+    show is kept as a slim table. by_rules and by_patterns switch a step off, to see what it decides.
     """
 
     def one(file_id, repository_id, path, text):
@@ -248,16 +296,16 @@ def classify(texts: DataFrame, rules: DataFrame | None = None) -> DataFrame:
 
     scratch = Scratch(texts.sparkSession, "files")
     shown = scratch.keep(map_rows(texts.select("id", "repository_id", "path", "text"), "id string, repository_id string, path string, is_code boolean, shown string", one))
-    told = declared(shown.select("id", "repository_id", "path"), texts if rules is None else rules)
-    f = shown.join(told, "id", "left").withColumn("known", F.when(F.col("declared").isNotNull(), F.nullif("declared", F.lit("none"))).otherwise(F.col("shown")))
-    # pattern statistics are over code files only, pre-aggregated by repository; what survives is a short list
-    p = patterns(f.filter("is_code and path is not null")).groupBy("pattern", "repository_id").agg(F.count("*").alias("n"), F.count("known").alias("hit"))
-    mined = p.groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit"), F.count("*").alias("repositories")).filter((F.col("n") >= MIN_FILES) & (F.col("repositories") >= MIN_REPOSITORIES) & (F.col("hit") >= MIN_SHARE * F.col("n")))
-    left = patterns(f.filter("is_code and known is null and declared is null and path is not null").select("id", "path"))
-    by_path = left.join(mined.select("pattern"), "pattern").groupBy("id").agg(F.min("pattern").alias("pattern"))
+    told = declared(shown.select("id", "repository_id", "path"), (texts if rules is None else rules).filter(F.lit(by_rules)))
+    f = scratch.keep(shown.join(told, "id", "left"))
+    known = F.when(F.col("declared").isNotNull(), F.nullif("declared", F.lit("none"))).otherwise(F.col("shown"))
+    globs = mined(f.filter("is_code").select("repository_id", "path", known.alias("known"))).filter(F.lit(by_patterns))
+    left = patterns(f.filter("is_code and declared is null and path is not null").select("id", "path"))
+    by_path = left.join(globs, "pattern").groupBy("id").agg(F.max(F.struct("share", "pattern", "cls")).alias("best"))
     out = f.join(by_path, "id", "left")
-    reason = F.when(F.col("declared").isNotNull(), F.lit("declared")).when(F.col("shown").isNotNull(), F.lit("content")).when(F.col("pattern").isNotNull(), F.col("pattern"))
-    return out.select(F.col("id").alias("file_id"), "repository_id", "path", F.coalesce("known", F.when(F.col("pattern").isNotNull(), F.lit("by_pattern"))).alias("cls"), reason.alias("reason"))
+    reason = F.when(F.col("declared").isNotNull(), F.lit("declared")).when(F.col("best").isNotNull(), F.col("best.pattern")).when(F.col("shown").isNotNull(), F.lit("content"))
+    cls = F.when(F.col("declared").isNotNull(), F.nullif("declared", F.lit("none"))).otherwise(F.coalesce("best.cls", "shown"))
+    return out.select(F.col("id").alias("file_id"), "repository_id", "path", cls.alias("cls"), reason.alias("reason"))
 
 
 def p5_files(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Problems 1, 4, 5, 6 and 10 on small texts, against round trips, brute force and hand-made cases."""
 
+import json
 import random
 from collections import Counter
 
@@ -61,6 +62,26 @@ def test_code_pieces_share_twenty_lines():
     assert len(spans) > 3 and all(text.count("\n", over, a) == 20 for over, a, _ in spans[1:])
 
 
+def test_long_lines_share_what_fits():
+    text = "\n".join(f"x{i} = '" + "y" * 500 + "'" for i in range(100))
+    spans = cs.pack(text, True)
+    assert len(spans) > 3 and all(text.count("\n", over, a) == 20 for over, a, _ in spans[1:])
+    text = "\n".join("z" * 900 for _ in range(60))
+    spans = cs.pack(text, True)
+    assert all(b - over <= cs.CODE_CHARS and 12 <= text.count("\n", over, a) < 20 for over, a, b in spans[2:])
+
+
+def test_small_sections_are_not_glued_to_parts_of_the_next():
+    a = "# A\n\n" + "one two. " * 80 + "\n\n"
+    b = "# B\n\n" + "\n\n".join("three four. " * 50 for _ in range(6)) + "\n\n"
+    c = "# C\n\n" + "five six. " * 60
+    cuts = {s for _, s, _ in cs.pack(a + b + c, False)}
+    assert len(a) in cuts and len(a + b) in cuts
+    # a heading does not stand alone before what is cut
+    spans = cs.pack("# H\n\n" + "word " * 900, False)
+    assert spans[0][2] > 1000
+
+
 def test_split_oversized_edge_cases(spark):
     rows = [("a", "issue", "word " * 500, None, 1), ("a", "issue", "word " * 500, None, 1), ("b", "issue", "short", 3, 1), ("c", None, None, None, None), ("d", "source_code", "x\n" * 300, 11, 2), ("e", "commit", "", 1, 1), (None, "issue", "z" * 4000, None, 1)]
     got = cs.split_oversized(spark.createDataFrame(rows, CHUNK)).collect()
@@ -103,8 +124,33 @@ def test_recognisers(language):
         assert G.fault(t, language) is not None, t
 
 
-def test_deep_nesting_is_undecided_not_invalid():
-    assert G.fault("(" * 4000 + "1" + ")" * 4000, "javascript") is None
+def test_deep_nesting():
+    assert G.fault("[" * 200_000, "json") and G.fault("[" * 200_000 + "1" + "]" * 200_000, "json") is None
+    assert G.fault('{"a":' * 50_000 + "1" + "}" * 50_000, "json") is None and G.fault('{"a":' * 50_000 + "1" + "}" * 49_999, "json")
+    assert G.parse("(" * 20_000 + "a" + ")" * 20_000, "javascript") == (None, True) and G.fault("(" * 20_000 + "a", "javascript")
+
+
+def test_json_of_any_depth_agrees_with_the_reader():
+    rng = random.Random(11)
+    for _ in range(3000):
+        text = "".join(rng.choices(["{", "}", "[", "]", ",", ":", '"a"', "1", "-0.5e3", "true", "nul", " ", "\n", '"\\u00e9"', '"\t"'], k=rng.randint(0, 9)))
+        try:
+            json.loads(text, parse_constant=G._reject)
+            valid = True
+        except ValueError:
+            valid = False
+        try:
+            G._json(text)
+            assert valid, text
+        except ValueError:
+            assert not valid, text
+
+
+def test_rank_by_tokens():
+    for language, text in {"typescript": "interface A { readonly x: string }\nconst a = () => 1;", "javascript": "const a = async () => { await b(); };", "python": "def f(self):\n    return None\n", "go": "package a\nfunc f() error {\n\tx := nil\n}", "sql": "SELECT a FROM t WHERE b IS NOT NULL;", "json": '{"a": [1, 2, {"b": null}]}'}.items():
+        assert G.rank(text)[0] == language
+    assert G.fault("if (a) /re/.test(b)", "javascript") is None and G.fault("x = f(a) / 2 / b", "javascript") is None
+    assert G.fault("alter table t add column", "sql") and G.fault("alter table t add column c text", "sql") is None
 
 
 def test_cutting_a_valid_file_makes_it_invalid():
@@ -186,11 +232,32 @@ def test_patterns_are_mined_across_repositories(spark):
     gen = "// Code generated by x. DO NOT EDIT.\nf();"
     rows = [(f"p{i}", f"r{i % 5}", f"src/autogen/m{i}.js", gen) for i in range(20)] + [("q", "r9", "lib/autogen/z.js", "g();"), ("n", "r9", "lib/own/z.js", "g();")]
     got = {r.file_id: r for r in not_handwritten.classify(spark.createDataFrame(rows, "id string, repository_id string, path string, text string")).collect()}
-    # one file without evidence among 21 is under the share; with more evidence the pattern holds
-    assert got["n"].cls is None
-    rows += [(f"t{i}", f"r{i % 5}", f"src/autogen/n{i}.js", gen) for i in range(40)]
-    got = {r.file_id: r for r in not_handwritten.classify(spark.createDataFrame(rows, "id string, repository_id string, path string, text string")).collect()}
-    assert got["q"].cls == "by_pattern" and got["q"].reason == "dir:autogen" and got["n"].cls is None
+    assert got["q"].cls == "generated" and got["q"].reason == "**/autogen/**" and got["n"].cls is None
+
+
+def test_attribute_files_and_mined_patterns_decide(spark):
+    """Declared repositories teach the others; without attribute files or without mining the same files stay hand-written."""
+    rows = [(f"g{r}", f"r{r}", ".gitattributes", "[attr]imported linguist-vendored -diff\nlibs/** imported\n*.tab.go linguist-generated=true\nlibs/own/** !linguist-vendored\n") for r in range(4)]
+    rows += [(f"v{r}{i}", f"r{r}", f"libs/x/m{i}.js", f"f({i});") for r in range(4) for i in range(4)]
+    rows += [(f"t{r}{i}", f"r{r}", f"s{r}{i}/p.tab.go", "package a") for r in range(4) for i in range(3)]
+    rows += [("own", "r0", "libs/own/a.js", "f();"), ("far", "z", "a/libs/y.js", "g();"), ("tab", "z", "b/q.tab.go", "package b"), ("hand", "z", "src/q.go", "package b")]
+    df = spark.createDataFrame(rows, "id string, repository_id string, path string, text string")
+
+    def of(**switch):
+        return {r.file_id: r for r in not_handwritten.classify(df, **switch).collect()}
+
+    got = of()
+    assert (got["v00"].cls, got["v00"].reason, got["t00"].cls, got["own"].reason) == ("vendored", "declared", "generated", "declared")
+    assert got["far"].reason == "**/libs/**" and got["far"].cls == "vendored" and (got["tab"].cls, got["tab"].reason) == ("generated", "*.tab.*") and got["hand"].cls is None
+    assert all(r.cls is None for r in of(by_rules=False).values())
+    without = of(by_patterns=False)
+    assert without["far"].cls is None and without["tab"].cls is None and without["v00"].reason == "declared"
+
+
+def test_macros_and_unset_marks():
+    text = "[attr]made linguist-generated\n*.x made\nb.x -linguist-generated\n*.bin binary\n# c\n\"a b.x\" linguist-vendored=false\n*.y -made"
+    assert not_handwritten.parse_attributes(text) == [(1, "*.x", "generated", True), (2, "b.x", "generated", False), (3, "*.bin", "generated", True), (5, "a b.x", "vendored", False)]
+    assert not_handwritten.parse_attributes("*.z made", not_handwritten.macros_of(text)) == [(0, "*.z", "generated", True)]
 
 
 # ---- problem 6
