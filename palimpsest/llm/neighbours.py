@@ -1,11 +1,11 @@
 """Problem 7: most similar vectors, by a neighbour graph from NN-descent and greedy search on it.
 
-Vectors are kept as 16-bit integers, for search as codes of four bits a value, and for building the graph as
+Vectors are kept at twelve bits a value, for search as codes of four bits a value, and for building the graph as
 coarse codes of two. Random-projection trees, fitted on a bounded sample, cut them into leaves; the best
 neighbours within the leaves start the graph. Each round of NN-descent joins neighbours of neighbours: every
 node's list of forward and reverse neighbours is compared with itself, and pairs that beat an end's current worst
 neighbour go into the lists. Codes travel once per block of nodes that needs them, not once per pair. The best of
-what greedy search finds is scored again on the 16-bit vectors. The plan is the same for few and for many vectors.
+what greedy search finds is scored again on the twelve-bit vectors. The plan is the same for few and for many vectors.
 """
 
 from __future__ import annotations
@@ -25,14 +25,17 @@ K, REVERSE, LEAF, GROUP = 10, 10, 600, 4096
 BITS = 12
 #: Groups above their size, for repeated vectors, are cut by salt: the size is raised so that there are no more of them in a tree.
 HEAVY = 100_000
-#: Trees; their leaves cost one shuffle of codes each and spare rounds of the descent.
-TREES = 4
+#: Trees, and the neighbours a node takes from each; their leaves cost one shuffle of codes each and spare rounds of the descent.
+TREES, START = 4, 6
 #: Vectors that a tree is fitted on at most: the bound of the sample.
 SAMPLE = 4096
 #: Rounds of NN-descent at most; a round that renews less than this share of the lists is the last.
-ROUNDS, RENEWED = 6, 0.02
-#: Greedy search: hops, nodes expanded a hop, nodes remembered, nodes scored on the 16-bit vectors.
-HOPS, EXPAND, BEAM, RESCORE = 2, 8, 24, 12
+ROUNDS, RENEWED = 6, 0.05
+#: Greedy search: hops, nodes expanded a hop, nodes remembered.
+HOPS, EXPAND, BEAM = 1, 10, 24
+#: Of these, scored again on the twelve-bit vectors are those that come so close to the last wanted one by their codes:
+#: two and a half times the standard error of a difference of two similarities of four-bit codes.
+CLOSE = 0.025
 #: Nodes of a block: as the square root of all, so that neither the blocks nor what each of them holds grow fast.
 BLOCK_LEAST, BLOCK_MOST, BLOCK_ROOT = 512, 16_384, 22
 #: Rows decoded at a time.
@@ -44,17 +47,33 @@ def block_size(n: int) -> int:
 
 
 def _unit(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows as 16-bit integers, and the factor that makes each of length one."""
+    """Rows at twelve bits a value, two values in three bytes, and the factor that makes each of length one."""
     top = np.abs(values).max(axis=1)
-    q = np.rint(values / top[:, None] * 32767).astype(np.int16)
-    return q, (1 / np.linalg.norm(q.astype(np.float64), axis=1)).astype(np.float32)
+    q = np.rint(values / top[:, None] * 2047).astype(np.int16)
+    scale = (1 / np.linalg.norm(q.astype(np.float64), axis=1)).astype(np.float32)
+    if q.shape[1] % 2:
+        q = np.concatenate([q, np.zeros((len(q), 1), np.int16)], axis=1)
+    u = (q + 2048).astype(np.uint16)
+    a, b = u[:, 0::2], u[:, 1::2]
+    out = np.empty((len(q), 3 * a.shape[1]), np.uint8)
+    out[:, 0::3], out[:, 1::3], out[:, 2::3] = a >> 4, ((a & 15) << 4) | (b >> 8), b & 255
+    return out, scale
+
+
+def _whole(b: np.ndarray) -> np.ndarray:
+    """The values of such rows."""
+    x, y, z = b[:, 0::3].astype(np.int16), b[:, 1::3].astype(np.int16), b[:, 2::3]
+    m = np.empty((len(b), 2 * x.shape[1]), np.float32)
+    m[:, 0::2] = (x << 4) | (y >> 4)
+    m[:, 1::2] = ((y & 15) << 8) | z
+    return m - 2048
 
 
-def _bytes(column, dtype=np.uint8) -> np.ndarray:
+def _bytes(column) -> np.ndarray:
     """The binary values of a column as rows of a matrix."""
     if len(column) == 0:
-        return np.empty((0, 4), dtype)
-    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
+        return np.empty((0, 6), np.uint8)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
 def _encode(m: np.ndarray) -> np.ndarray:
@@ -106,8 +125,8 @@ def _of_code(t: pa.Table):
 
 
 def _of_vector(t: pa.Table):
-    b, scale = _bytes(t.column("v"), np.int16), t.column("scale").to_numpy()
-    return lambda rows: b[rows].astype(np.float32) * scale[rows, None]
+    b, scale = _bytes(t.column("v")), np.asarray(t.column("scale"))
+    return lambda rows: _whole(b[rows]) * scale[rows, None]
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -273,6 +292,13 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     return edges.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= k).drop("__rn")
 
 
+def _close(edges: DataFrame, k: int, margin: float) -> DataFrame:
+    """Of each node's edges the k most similar, and all that are less than a margin below the last of them."""
+    e = _best(edges, BEAM).withColumn("__rn", F.row_number().over(Window.partitionBy("u").orderBy(F.col("sim").desc(), "w")))
+    last = F.min(F.when(F.col("__rn") <= k, F.col("sim"))).over(Window.partitionBy("u"))
+    return e.withColumn("__last", last).filter((F.col("__rn") <= k) | (F.col("sim") >= F.col("__last") - margin)).drop("__rn", "__last")
+
+
 def _distinct(edges: DataFrame, by: str, other: str, *aggs) -> DataFrame:
     """One row a pair. The one exchange is by the first end, which later windows and joins by it need anyway."""
     return edges.repartition(by).groupBy(by, other).agg(*aggs)
@@ -370,7 +396,7 @@ def build_index(spark: SparkSession, embeddings: DataFrame, model: str = MODEL,
     def parted(df: DataFrame) -> DataFrame:
         return celled(df).join(heavy, ["tree", "leaf", "cell"], "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("nid"), F.col("parts"))).cast("int")).drop("parts")
 
-    start = parted(_leaves(code, trees, "coarse")).groupBy("tree", "leaf", "cell", "part").applyInArrow(_within(K), "u bigint, w bigint, sim float")
+    start = parted(_leaves(code, trees, "coarse")).groupBy("tree", "leaf", "cell", "part").applyInArrow(_within(START), "u bigint, w bigint, sim float")
     edges = scratch.keep(_best(_distinct(start, "u", "w", F.max("sim").alias("sim")), K).withColumn("fresh", F.lit(1)))
     # leaves are numbered as the tree is walked, so neighbouring numbers are near each other: a block is a run of them
     run = max(1, block_size(n) * len(set(_leaf_numbers(trees[0]))) // max(n, 1))
@@ -468,7 +494,7 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
         new = s.keep(_best(merged, BEAM))
         s.drop(state)
         state = new
-    best = _join(_best(state.select("u", "w", "sim"), max(RESCORE, 2 * k)), index.blocks.withColumnRenamed("nid", "u"), "u").select("block", "u", "w")
+    best = _join(_close(state.select("u", "w", "sim"), k, CLOSE), index.blocks.withColumnRenamed("nid", "u"), "u").select("block", "u", "w")
     best = s.keep(best)
     return _finished(index, best, k)
 
@@ -477,23 +503,23 @@ def graph(index: Index, k: int) -> DataFrame:
     """Rows (query, neighbour, similarity, rank): the k most similar chunks of every chunk.
 
     The descent's lists are those of coarse codes. Each node is put into its own list and all lists are compared once
-    more, on the four-bit codes; the best RESCORE of each node are scored on the 16-bit vectors.
+    more, on the four-bit codes; what comes close to the best k of each node is scored on the twelve-bit vectors.
     """
     s = index.scratch
     own = index.blocks.select(F.col("nid").alias("v"), F.col("nid").alias("x"), F.lit(1).alias("fresh"))
     lists = _lists(index.edges.withColumn("fresh", F.lit(1)), REVERSE).union(own)
     lists = _join(lists, index.blocks.withColumnRenamed("nid", "v"), "v")
     known = index.code.select(F.col("nid").alias("x"), "code", F.lit(-2.0).cast("float").alias("worst"))
-    most = max(RESCORE, 2 * k)
+    most = max(BEAM, 2 * k)
     found = _compared(lists, known, "code", _of_code, most)
-    best = _best(_distinct(found, "u", "w", F.max("sim").alias("sim")), most)
+    best = _close(_distinct(found, "u", "w", F.max("sim").alias("sim")), k, CLOSE)
     best = s.keep(_join(best, index.blocks.withColumnRenamed("nid", "u"), "u").select("block", "u", "w"))
     s.sweep()
     return _finished(index, best, k)
 
 
 def _finished(index: Index, best: DataFrame, k: int) -> DataFrame:
-    """Rows (query, neighbour, similarity, rank): the k best of the kept pairs (block, u, w) on the 16-bit vectors."""
+    """Rows (query, neighbour, similarity, rank): the k best of the kept pairs (block, u, w) on the twelve-bit vectors."""
     last = _join(_needed(best), index.names.select(F.col("nid").alias("x"), "h"), "x").select("block", "x", "h")
     near = _join(index.vec.select("h", "v", "scale").dropDuplicates(["h"]), last, "h")
     state = _scored(best, near, ["v", "scale"], _of_vector)
@@ -513,7 +539,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_graph(spark: SparkSession, d: str) -> DataFrame:
-    """The graph itself: for every usable vector its five most similar chunks, scored on the 16-bit vectors."""
+    """The graph itself: for every usable vector its five most similar chunks, scored on the twelve-bit vectors."""
     index = build_index(spark, read(spark, d, "chunk_embeddings", *_COLUMNS))
     return graph(index, 5).select(F.col("query").alias("chunk_id"), "neighbour", F.col("similarity").cast("double").alias("similarity"))
 
