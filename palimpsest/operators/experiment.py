@@ -25,14 +25,15 @@ def median_difference(value: str) -> Column:
     return F.median(F.col(f"{value}_b") - F.col(f"{value}_a"))
 
 
-def outcomes(pairs: DataFrame, value: str = "passed") -> DataFrame:
-    """One row: the four counts of a 2 by 2 table and the exact two-sided McNemar probability."""
+def outcomes(pairs: DataFrame, value: str = "passed", *more: Column) -> DataFrame:
+    """One row: the four counts of a 2 by 2 table and the exact two-sided McNemar probability, and any more aggregates."""
     a, b = F.col(f"{value}_a"), F.col(f"{value}_b")
     t = pairs.agg(
         F.count_if(a & b).alias("both"),
         F.count_if(a & ~b).alias("only_a"),
         F.count_if(~a & b).alias("only_b"),
         F.count_if(~a & ~b).alias("neither"),
+        *more,
     )
     return t.withColumn("p_value", mcnemar(F.col("only_a"), F.col("only_b")))
 

@@ -33,7 +33,7 @@ def edges_of(anchor: DataFrame, relationships: DataFrame) -> DataFrame:
     A union of two equi-joins; inverse edges are at module level. Anchors have query_id, anchor, document_id,
     repository_id, cutoff.
     """
-    r = relationships.dropDuplicates(["id"]).withColumnRenamed("repository_id", "__repository")
+    r = first_of(relationships.distinct(), ["id"], [F.col(c).desc_nulls_last() for c in relationships.columns if c != "id"]).withColumnRenamed("repository_id", "__repository")
     a = anchor.select("query_id", "anchor", "document_id", "repository_id", "cutoff")
     live = (F.col("repository_id") == F.col("__repository")) & (F.col("available_at") <= F.col("cutoff")) & (F.col("superseded_at").isNull() | (F.col("superseded_at") > F.col("cutoff")))
     cols = ["query_id", "anchor", "cutoff", "repository_id", "edge_id", "type", "neighbour_document", "source_path", "target_path", "resolution", "target_symbol"]
@@ -59,19 +59,20 @@ def expand(anchor: DataFrame, relationships: DataFrame, chunks: DataFrame, queri
     order = [kind, F.when(F.col("resolution") == "exact_symbol", 0).otherwise(1), F.col("overlap").desc(), F.when(F.col("target_symbol").isNotNull(), 0).otherwise(1), F.col("source_path"), F.col("target_path"), F.col("edge_id")]
     e = rank_by(first_of(e, ["query_id", "anchor", "neighbour_document"], order), ["query_id", "anchor"], order, "turn", per_anchor)
     e = rank_by(first_of(e, ["query_id", "neighbour_document"], [F.col("turn"), F.col("anchor")]), ["query_id"], [F.col("turn"), F.col("anchor")], "relationship_rank", limit)
-    c = chunks.select(F.col("document_id").alias("neighbour_document"), "chunk_id", "path", "symbol_name", "symbol_kind", "parent_symbol", "chunk_index", "available_at", "superseded_at", F.col("repository_id").alias("__repository"))
+    c = chunks.select(F.col("document_id").alias("neighbour_document"), "chunk_id", "path", "source_type", "symbol_name", "symbol_kind", "parent_symbol", "chunk_index", "available_at", "superseded_at", F.col("repository_id").alias("__repository"))
     n = e.join(c, "neighbour_document").filter((F.col("__repository") == F.col("repository_id")) & (F.col("available_at") <= F.col("cutoff")) & (F.col("superseded_at").isNull() | (F.col("superseded_at") > F.col("cutoff"))))
     n = n.withColumn("hit", F.size(F.array_intersect(tx.symbol_terms(F.concat_ws(" ", "symbol_name", "parent_symbol")), F.col("__terms"))))
     best = [F.when(F.coalesce(F.col("symbol_name") == F.col("target_symbol"), F.lit(False)), 0).otherwise(1), F.col("hit").desc(), roles.implementation_weight(F.col("symbol_kind")).desc(), F.when(F.coalesce(F.col("symbol_kind") == "module", F.lit(False)), 1).otherwise(0), F.col("chunk_index"), F.col("chunk_id")]
     n = first_of(n, ["query_id", "neighbour_document"], best)
-    return n.select("query_id", "chunk_id", F.col("neighbour_document").alias("document_id"), "path", "type", "relationship_rank")
+    return n.select("query_id", "chunk_id", F.col("neighbour_document").alias("document_id"), "path", "source_type", "symbol_name", "symbol_kind", "type", "relationship_rank")
 
 
-def reserve(pool: DataFrame, related: DataFrame, per_path: int = 2, limit: int = RESERVE) -> DataFrame:
+def reserve(pool: DataFrame, related: DataFrame, per_path: int = 2, limit: int = RESERVE, full: int = 0) -> DataFrame:
     """Swap up to `limit` candidates that only a relationship brought into the tail of the pool.
 
     `pool` and `related` have query_id, chunk_id, path, exact, rrf_rank, relationship_rank (null in the pool for
-    direct rows). An exact or reserved row is never displaced, and no path gets beyond its cap. The fold is over
+    direct rows). An exact or reserved row is never displaced, and no path gets beyond its cap. A pool of fewer than
+    `full` rows stays as it is. The fold is over
     at most a pool of rows a query, so it runs as one grouped stage.
     """
     both = pool.select("query_id", "chunk_id", "path", "exact", "rrf_rank", "relationship_rank", F.lit(True).alias("inside"))
@@ -82,6 +83,7 @@ def reserve(pool: DataFrame, related: DataFrame, per_path: int = 2, limit: int =
         selected = sorted((r for r in rows if r["inside"]), key=lambda r: (r["rrf_rank"], r["chunk_id"]))
         far = float("inf")
         wanted = sorted((r for r in rows if r["relationship_rank"] is not None), key=lambda r: (r["relationship_rank"], far if r["rrf_rank"] is None else r["rrf_rank"], r["chunk_id"]))[:limit]
+        wanted = wanted if len(selected) >= full else []
         kept = {r["chunk_id"] for r in wanted}
         for r in wanted:
             if any(s["chunk_id"] == r["chunk_id"] for s in selected):

@@ -145,7 +145,7 @@ def fill(rows: list[dict], budget: int, log: list[tuple]) -> list[dict]:
         log.append((r["chunk_id"], "truncated" if len(text) < len(r["content"]) else "included"))
     for r in spread(support):
         if used + len(r["content"]) > budget:
-            log.append((r["chunk_id"], "rejected"))
+            log.append((r["chunk_id"], "rejected_budget"))
             continue
         used += len(r["content"])
         out.append(r | {"text": r["content"]})
@@ -196,33 +196,58 @@ def build(candidates: DataFrame, intents: DataFrame, budget: int = BUDGET, limit
     relationship rank, priority that of local context); `intents` has (query_id, intents array). Anchors are
     chosen among the primary rows. Contents and paths may be null; null contents are empty texts.
     """
-    c = candidates.select(*COLUMNS).join(intents.select("query_id", "intents"), "query_id")
     kind = dict(candidates.dtypes)["query_id"]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
-        wanted = set(rows[0]["intents"]) if rows and rows[0]["intents"] is not None else set()
-        for r in rows:
-            r["content"] = r["content"] or ""
-        chosen = select_anchors([r for r in rows if r["origin"] == "primary"], wanted, limit)
-        items = []
-        for i, r in enumerate(chosen, 1):
-            items.append(r | {"reasons": ["retrieved_primary"], "context_role": context_role(r["role"], "primary", None), "priority": i})
-        for origin in ("local", "relation"):
-            for r in sorted((r for r in rows if r["origin"] == origin), key=lambda r: (r["rank"], r["chunk_id"])):
-                p = r["priority"] if origin == "local" else relation_priority(int(r["rank"]), r["role"], r["relation"], wanted)
-                items.append(r | {"reasons": [r["reason"] or origin], "context_role": context_role(r["role"], origin, r["relation"]), "priority": int(p)})
-        for n, r in enumerate(items):
-            r["sequence"], r["spread_key"], r["original"] = n, r["path"] or r["source_reference"] or "", len(r["content"])
-        items.sort(key=lambda r: (r["priority"], r["spread_key"], r["sequence"], r["chunk_id"]))
-        log: list[tuple] = []
-        out = fill(merge(items, log), budget, log)
+        query, out, _ = _packed(pdf, budget, limit)
         return pd.DataFrame(
-            [(rows[0]["query_id"], i, r["chunk_id"], r["context_role"], ",".join(r["reasons"]), r["start_line"], r["end_line"], len(r["text"]), len(r["content"]), len(r["text"]) < len(r["content"]), r["text"]) for i, r in enumerate(out, 1)],
+            [(query, i, r["chunk_id"], r["context_role"], ",".join(r["reasons"]), r["start_line"], r["end_line"], len(r["text"]), len(r["content"]), len(r["text"]) < len(r["content"]), r["text"]) for i, r in enumerate(out, 1)],
             columns=[x.split()[0] for x in _OUT.format(kind).split(", ")],
         ).astype({"start_line": "Int32", "end_line": "Int32"})
 
-    return c.groupBy("query_id").applyInPandas(one, _OUT.format(kind))
+    return _grouped(candidates, intents).applyInPandas(one, _OUT.format(kind))
+
+
+def decisions(candidates: DataFrame, intents: DataFrame, budget: int = BUDGET, limit: int = ANCHORS) -> DataFrame:
+    """Why each candidate of a pack is in it or not: rows (query_id, step, chunk_id, action), in the order decided.
+
+    Actions: selected and rejected_anchor for the primary rows, deduplicated and merged for repeats, then included,
+    truncated and rejected_budget.
+    """
+    kind = dict(candidates.dtypes)["query_id"]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        query, _, log = _packed(pdf, budget, limit)
+        return pd.DataFrame([(query, i, c, a) for i, (c, a) in enumerate(log, 1)], columns=["query_id", "step", "chunk_id", "action"])
+
+    return _grouped(candidates, intents).applyInPandas(one, f"query_id {kind}, step int, chunk_id string, action string")
+
+
+def _grouped(candidates: DataFrame, intents: DataFrame):
+    return candidates.select(*COLUMNS).join(intents.select("query_id", "intents"), "query_id").groupBy("query_id")
+
+
+def _packed(pdf: pd.DataFrame, budget: int, limit: int) -> tuple:
+    """(query, items in order, decisions) of one query's candidates."""
+    rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
+    wanted = set(rows[0]["intents"]) if rows and rows[0]["intents"] is not None else set()
+    for r in rows:
+        r["content"] = r["content"] or ""
+    primary = sorted((r for r in rows if r["origin"] == "primary"), key=lambda r: (r["rank"], r["chunk_id"]))
+    chosen = select_anchors(primary, wanted, limit)
+    taken = {r["chunk_id"] for r in chosen}
+    log: list[tuple] = [(r["chunk_id"], "selected" if r["chunk_id"] in taken else "rejected_anchor") for r in primary]
+    items = []
+    for i, r in enumerate(chosen, 1):
+        items.append(r | {"reasons": ["retrieved_primary"], "context_role": context_role(r["role"], "primary", None), "priority": i})
+    for origin in ("local", "relation"):
+        for r in sorted((r for r in rows if r["origin"] == origin), key=lambda r: (r["rank"], r["chunk_id"])):
+            p = r["priority"] if origin == "local" else relation_priority(int(r["rank"]), r["role"], r["relation"], wanted)
+            items.append(r | {"reasons": [r["reason"] or origin], "context_role": context_role(r["role"], origin, r["relation"]), "priority": int(p)})
+    for n, r in enumerate(items):
+        r["sequence"], r["spread_key"], r["original"] = n, r["path"] or r["source_reference"] or "", len(r["content"])
+    items.sort(key=lambda r: (r["priority"], r["spread_key"], r["sequence"], r["chunk_id"]))
+    return rows[0]["query_id"], fill(merge(items, log), budget, log), log
 
 
 def repeated_evidence(items: DataFrame) -> DataFrame:

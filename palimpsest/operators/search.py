@@ -1,7 +1,8 @@
 """The three scored scans, for a batch of queries at once.
 
 Queries are rows (query_id, repository_id, query, cutoff); a chunk answers only queries of its repository and
-only if it is in force at their cutoff. Filters come before ranking, texts are joined last.
+only if it is in force at their cutoff. Filters come before ranking, texts are joined last. `chunks` may repeat a
+chunk_id: the row indexed last counts.
 """
 
 from __future__ import annotations
@@ -9,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import stem as st
 from ..functions import text as tx
 from ..functions import vectors as vx
-from .ranking import BRANCH_OVERFETCH, rank_by
+from .ranking import BRANCH_OVERFETCH, first_of, rank_by
 
 # The weights of the four classes of positions.
 A, B, C, D = 1.0, 0.4, 0.2, 0.1
@@ -28,37 +30,71 @@ def visible(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def latest_chunks(chunks: DataFrame) -> DataFrame:
-    """One row a chunk id, the one indexed last, as chunk_id."""
-    return chunks.dropDuplicates(["id"]).withColumnRenamed("id", "chunk_id")
+    """One row a chunk id, the one indexed last, as chunk_id. Of rows indexed at the same time any is taken: they repeat each other.
+
+    Only ids and times are aggregated; the rows themselves meet their id's last time in one join.
+    """
+    last = chunks.groupBy("id").agg(F.max("indexed_at").alias("__last")).withColumnRenamed("id", "__id")
+    c = chunks.join(last, (F.col("id") == F.col("__id")) & F.col("indexed_at").eqNullSafe(F.col("__last"))).drop("__id", "__last")
+    return first_of(c, ["id"], [F.col("indexed_at").desc_nulls_last()]).withColumnRenamed("id", "chunk_id")
+
+
+def _ranked(scores: DataFrame, chunks: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    """The first `limit` of (query_id, chunk_id, exact, score) for each query, with the slim columns of their chunks, joined last."""
+    r = rank_by(scores, ["query_id"], order, "rank", limit)
+    about = first_of(chunks.select("indexed_at", *SLIM).join(r.select("chunk_id").distinct(), "chunk_id", "left_semi"), ["chunk_id"], [F.col("indexed_at").desc_nulls_last()])
+    return r.join(about.drop("indexed_at"), "chunk_id").select("query_id", *SLIM, "exact", "score", "rank")
+
+
+def _last_only(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Of hits (query_id, chunk_id, indexed_at, ...) those on the row of their chunk that was indexed last."""
+    last = chunks.groupBy("chunk_id").agg(F.max("indexed_at").alias("__last")).withColumnRenamed("chunk_id", "__id")
+    return hits.join(last, (F.col("chunk_id") == F.col("__id")) & F.col("indexed_at").eqNullSafe(F.col("__last"))).drop("__id", "__last")
 
 
 def dense(queries: DataFrame, chunks: DataFrame, embeddings: DataFrame, limit: int = BRANCH_OVERFETCH) -> DataFrame:
-    """The most similar chunks of each query by cosine; queries also have `vector`, embeddings (chunk_id, repository_id, embedding)."""
-    e = embeddings.select("chunk_id", F.col("repository_id").alias("__er"), "embedding")
-    c = chunks.select("repository_id", "available_at", "superseded_at", *SLIM)
-    v = visible(queries.select("query_id", "repository_id", "cutoff", "vector"), c).join(e, "chunk_id").filter(F.col("repository_id") == F.col("__er"))
-    v = v.withColumn("score", F.round(vx.cosine(F.col("embedding"), F.col("vector")), 9)).filter("score is not null").withColumn("exact", F.lit(False))
-    return rank_by(v.select("query_id", *SLIM, "exact", "score"), ["query_id"], [F.col("score").desc(), F.col("chunk_id")], "rank", limit)
+    """The most similar chunks of each query by cosine; queries also have `vector`, embeddings (chunk_id, repository_id, embedding).
+
+    Vectors that are not finite, or zero, or of another size than the query's, on either side, answer nothing.
+    """
+    e = embeddings.select("chunk_id", F.col("repository_id").alias("__er"), "embedding").filter(vx.is_usable(F.col("embedding"), F.size("embedding")))
+    q = queries.select("query_id", "repository_id", "cutoff", "vector").filter(vx.is_usable(F.col("vector"), F.size("vector")))
+    c = chunks.select("repository_id", "available_at", "superseded_at", "chunk_id", "indexed_at")
+    v = visible(q, _last_only(c, chunks)).join(e, "chunk_id").filter((F.col("repository_id") == F.col("__er")) & (F.size("embedding") == F.size("vector")))
+    v = v.withColumn("score", F.round(vx.cosine(F.col("embedding"), F.col("vector")), 9)).filter("score is not null and not isnan(score)")
+    v = v.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")).withColumn("exact", F.lit(False))
+    return _ranked(v, chunks, [F.col("score").desc(), F.col("chunk_id")], limit)
 
 
-def _hits(terms: Column, wanted: Column) -> Column:
-    return F.size(F.filter(terms, lambda t: F.array_contains(wanted, t)))
+def lexemes(queries: DataFrame) -> DataFrame:
+    """Rows (query_id, repository_id, cutoff, lexeme): a query's words, and their English stems but for stop words."""
+    words = tx.tokens(F.col("query"))
+    return queries.select("query_id", "repository_id", "cutoff", F.explode(F.array_distinct(F.concat(words, st.english(words)))).alias("lexeme"))
 
 
 def lexical(queries: DataFrame, chunks: DataFrame, limit: int = BRANCH_OVERFETCH) -> DataFrame:
-    """Chunks by the weighted number of positions that hold a word of the query.
+    """Chunks by cover density for a query of alternatives: the weights of the positions that hold one of its lexemes.
 
-    Path and symbol weigh 1, content 0.4, the parent symbol 0.2, type, reference, language and kind 0.1. The
-    content is cut into words once, before queries are joined, and only its words travel on.
+    Path and symbol weigh 1, content 0.4, the parent symbol 0.2, type, reference, language and kind 0.1. Contents are
+    read by the English dictionary (stop words left out, other words stemmed), names word by word; a query asks both
+    ways. Texts are cut into positions in the scan and met with the lexemes asked for in their repository before
+    anything else is shuffled, so only hits travel.
     """
-    a = F.concat(tx.tokens(F.col("path")), tx.tokens(F.col("symbol_name")))
-    d = F.concat(*[tx.tokens(F.col(c)) for c in ("source_type", "source_reference", "language", "symbol_kind")])
-    c = chunks.select("repository_id", "available_at", "superseded_at", *SLIM, a.alias("__a"), tx.tokens(F.col("content")).alias("__b"), tx.tokens(F.col("parent_symbol")).alias("__c"), d.alias("__d"))
-    q = queries.select("query_id", "repository_id", "cutoff", F.array_distinct(tx.tokens(F.col("query"))).alias("__q"))
-    v = visible(q, c)
-    score = _hits(F.col("__a"), F.col("__q")) * A + _hits(F.col("__b"), F.col("__q")) * B + _hits(F.col("__c"), F.col("__q")) * C + _hits(F.col("__d"), F.col("__q")) * D
-    v = v.withColumn("score", F.round(score, 6)).filter("score > 0").withColumn("exact", F.lit(False))
-    return rank_by(v.select("query_id", *SLIM, "exact", "score"), ["query_id"], [F.col("score").desc(), F.col("chunk_id")], "rank", limit)
+    q = lexemes(queries)
+    row = ["chunk_id", "repository_id", "available_at", "superseded_at", "indexed_at"]
+    names = F.concat(tx.tokens(F.col("path")), tx.tokens(F.col("symbol_name")))
+    kinds = F.concat(*[tx.tokens(F.col(n)) for n in ("source_type", "source_reference", "language", "symbol_kind")])
+    c = chunks.select(*row, F.monotonically_increasing_id().alias("__row"), names.alias("__a"), st.english(tx.tokens(F.col("content"))).alias("__b"), tx.tokens(F.col("parent_symbol")).alias("__c"), kinds.alias("__d"))
+
+    def at(column: str, weight: float) -> Column:
+        return F.transform(column, lambda t: F.struct(t.alias("lexeme"), F.lit(weight).alias("weight")))
+
+    p = c.select(*row, "__row", F.explode(F.concat(at("__a", A), at("__b", B), at("__c", C), at("__d", D))).alias("at")).select(*row, "__row", "at.*")
+    q = q.withColumnRenamed("repository_id", "__repository").withColumnRenamed("lexeme", "__lexeme")
+    on = (F.col("repository_id") == F.col("__repository")) & (F.col("lexeme") == F.col("__lexeme")) & (F.col("available_at") <= F.col("cutoff")) & (F.col("superseded_at").isNull() | (F.col("superseded_at") > F.col("cutoff")))
+    hits = p.join(q, on).groupBy("query_id", "chunk_id", "indexed_at", "__row").agg(F.round(F.sum("weight"), 6).alias("score"))
+    hits = _last_only(hits, chunks).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")).withColumn("exact", F.lit(False))
+    return _ranked(hits, chunks, [F.col("score").desc(), F.col("chunk_id")], limit)
 
 
 def structured(queries: DataFrame, chunks: DataFrame, limit: int = BRANCH_OVERFETCH) -> DataFrame:
@@ -68,7 +104,8 @@ def structured(queries: DataFrame, chunks: DataFrame, limit: int = BRANCH_OVERFE
     without terms has an empty result.
     """
     q = queries.select("query_id", "repository_id", "cutoff", tx.trim(F.col("query")).alias("__raw"), tx.structural_terms(F.col("query")).alias("__q")).filter(F.size("__q") > 0)
-    c = chunks.select("repository_id", "available_at", "superseded_at", *SLIM, F.concat(tx.path_terms(F.col("symbol_name")), tx.path_terms(F.col("path"))).alias("__a"), tx.path_terms(F.col("parent_symbol")).alias("__b"), tx.path_terms(F.col("symbol_kind")).alias("__d"))
+    row = ["chunk_id", "repository_id", "available_at", "superseded_at", "indexed_at", "symbol_name"]
+    c = chunks.select(*row, F.concat(tx.path_terms(F.col("symbol_name")), tx.path_terms(F.col("path"))).alias("__a"), tx.path_terms(F.col("parent_symbol")).alias("__b"), tx.path_terms(F.col("symbol_kind")).alias("__d"))
     v = visible(q, c)
 
     def hits(terms: Column) -> Column:
@@ -76,4 +113,5 @@ def structured(queries: DataFrame, chunks: DataFrame, limit: int = BRANCH_OVERFE
 
     score = hits(F.col("__a")) * A + hits(F.col("__b")) * B + hits(F.col("__d")) * D
     v = v.withColumn("exact", F.coalesce(F.col("symbol_name") == F.col("__raw"), F.lit(False))).withColumn("score", F.round(score, 6)).filter("exact or score > 0")
-    return rank_by(v.select("query_id", *SLIM, "exact", "score"), ["query_id"], [F.col("exact").desc(), F.col("score").desc(), F.col("chunk_id")], "rank", limit)
+    v = _last_only(v.select("query_id", "chunk_id", "indexed_at", "exact", "score"), chunks).groupBy("query_id", "chunk_id").agg(F.max("exact").alias("exact"), F.max("score").alias("score"))
+    return _ranked(v, chunks, [F.col("exact").desc(), F.col("score").desc(), F.col("chunk_id")], limit)

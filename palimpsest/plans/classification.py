@@ -18,7 +18,7 @@ def _titles(spark, d):
     """Titles and first lines of documents, as the queries that people might ask."""
     t = read(spark, d, "documents", "title", "text")
     first = F.substring_index("text", "\n", 1)
-    return t.select(F.explode(F.array("title", F.when(F.length(first) <= 200, first))).alias("query")).filter("query is not null").distinct()
+    return t.select(F.explode(F.array("title", first)).alias("query")).filter("query is not null").distinct()
 
 
 def ref_c1_intents(spark, d):
@@ -82,7 +82,7 @@ def ref_n1_commit_documents(spark, d):
 
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("ref_")}
 
-_Q = "(select distinct query from (select title as query from documents union all select case when length(split_part(text, chr(10), 1)) <= 200 then split_part(text, chr(10), 1) end from documents) where query is not null)"
+_Q = "(select distinct query from (select title as query from documents union all select split_part(text, chr(10), 1) from documents) where query is not null)"
 
 
 def _quoted(s: str) -> str:
@@ -162,6 +162,9 @@ SQL = {
       u as (select symbol_name, list_filter(regexp_split_to_array(lower(regexp_replace(symbol_name, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+'), lambda x: length(x) > 1) as f from t),
       v as (select symbol_name, unnest(f) as x, generate_subscripts(f, 1) as i from u), w as (select symbol_name, x, min(i) as i from v group by 1, 2)
       select u.symbol_name, coalesce(string_agg(w.x, ' ' order by w.i), '') as terms from u left join w using (symbol_name) group by 1""",
+    "ref_m7_hash_embeddings": r"""with t as (select distinct title from documents where title is not null), w as (select title, unnest(regexp_extract_all(lower(title), '[a-z0-9_]+')) as w from t),
+      b as (select title, ('0x' || substr(sha256(w), 1, 8))::bigint % 64 as k, sum(case when ('0x' || substr(sha256(w), 9, 2))::int % 2 = 0 then 1 else -1 end) as v from w group by 1, 2),
+      n as (select title, sum(v * v) as s from b group by 1) select t.title, 64 as dimensions, case when coalesce(n.s, 0) > 0 then 1.0 else 0.0 end::double as length from t left join n using (title)""",
     "ref_n1_commit_documents": r"""with c as (select distinct on (repository_id, sha) * from commits),
       t as (select *, regexp_replace(regexp_replace(message, '^\s+', ''), '\s+$', '') as m, regexp_replace(regexp_replace(author, '^\s+', ''), '\s+$', '') as a from c)
       select id as source_entity_id, 'git:' || sha as source_reference, sha256(concat_ws(chr(10) || chr(10), 'Message: ' || nullif(m, ''), 'Author: ' || nullif(a, ''))) as text_hash, epoch_us(committed_at) as available_us from t""",

@@ -15,8 +15,8 @@ CUTOFFS = [1, 3, 5, 10]
 
 def _cases(spark, d):
     """Questions as cases: what structured search finds first, by reference, is what lexical search should find."""
-    q, c = rt.questions(spark, d), rt.chunks(spark, d)
-    refs = c.select("chunk_id", "source_reference")
+    q, c = rt.questions(spark, d), rt.rows(spark, d)
+    refs = c.select("chunk_id", "source_reference").distinct()
     t = search.structured(q, c, 20).join(refs, "chunk_id").groupBy("query_id", "source_reference").agg(F.min("rank").alias("r"))
     t = ranking.rank_by(t, ["query_id"], [F.col("r"), F.col("source_reference")], "target_id", 3)
     null = F.lit(None).cast("string")
@@ -55,9 +55,7 @@ def ref_a18_latest_attempts(spark, d):
 def ref_q15_experiment(spark, d):
     """The paired comparison: the 2 by 2 table, its exact probability, and the median difference."""
     p = ex.paired(ex.latest_attempt(_runs(spark, d)), "click", "error", ["passed", "value"])
-    m = p.agg(ex.median_difference("value").alias("median"))
-    o = ex.outcomes(p).withColumn("one", F.lit(1)).join(m.withColumn("one", F.lit(1)), "one").drop("one")
-    return o.select(F.col("both").alias("both_passed"), "only_a", "only_b", "neither", F.round("p_value", 6).alias("p_value"), F.round("median", 6).alias("median_difference"))
+    return ex.outcomes(p, "passed", ex.median_difference("value").alias("median")).select(F.col("both").alias("both_passed"), "only_a", "only_b", "neither", F.round("p_value", 6).alias("p_value"), F.round("median", 6).alias("median_difference"))
 
 
 def ref_w18_pair_order(spark, d):
@@ -73,7 +71,7 @@ t1 as (select *, row_number() over (partition by query_id order by r, source_ref
 t as (select query_id as case_id, target_id, 4 - target_id as grade, source_reference from t1 where target_id <= 3),
 res as (select l.query_id as case_id, l.rank, rf.source_reference from lex l join rf using (chunk_id) where l.rank <= 50),
 cr as (select t.case_id, t.target_id, t.grade, min(res.rank) as rank from t join res on res.case_id = t.case_id and res.source_reference = t.source_reference group by 1, 2, 3),
-ks as (select q.query_id as case_id, k, split_part(q.query_id, ':', 2) as category from q, (values (1), (3), (5), (10)) v(k)),
+ks as (select q.query_id as case_id, v.k, split_part(q.query_id, ':', 2) as category from q, (values (1), (3), (5), (10)) v(k)),
 m as (select ks.case_id, ks.k, ks.category,
   (select count(*) from t where t.case_id = ks.case_id) as targets,
   (select coalesce(sum((2 ** grade - 1) / log2(target_id + 1)), 0) from t where t.case_id = ks.case_id and target_id <= ks.k) as ideal,

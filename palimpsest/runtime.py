@@ -10,15 +10,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only where a local session names no shared folder, as in tests.
 _FALLBACK: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir of the session, else a temporary one (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir of the session, else, on a local master only, a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
     key = spark.sparkContext.applicationId
     if key not in _FALLBACK:
         _FALLBACK[key] = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
