@@ -199,39 +199,12 @@ def with_identity(chunks: DataFrame) -> DataFrame:
     return c.withColumn("chunk_id", tx.identity(F.lit("chunk_v1"), F.col("document_id"), F.col("chunk_index").cast("string"), F.col("content_hash")))
 
 
-# ---- documents from records
-def labelled(*sections: tuple[str | None, Column]) -> Column:
-    """Sections joined by blank lines, each under its label; empty ones are left out."""
-    parts = []
-    for label, c in sections:
-        t = F.nullif(tx.trim(c), F.lit(""))
-        parts.append(F.concat(F.lit(f"{label}: "), t) if label else t)
-    return F.concat_ws("\n\n", *parts)
-
-
+# ---- fields of records
 def commit_message(subject: Column, body: Column) -> Column:
     """Subject, and the body after a blank line where there is one."""
     return F.concat_ws("\n\n", subject, F.nullif(tx.trim(body), F.lit("")))
 
 
-def commit_documents(commits: DataFrame) -> DataFrame:
-    """A document a commit: it occurred when authored and was available when committed."""
-    c = commits.dropDuplicates(["repository_id", "sha"])
-    return c.select(
-        tx.identity(F.lit("document_v1"), F.col("repository_id"), F.lit("commit"), F.col("id"), F.col("sha")).alias("id"),
-        "repository_id",
-        F.lit("commit").alias("source_type"),
-        F.col("id").alias("source_entity_id"),
-        F.col("sha").alias("source_version"),
-        F.concat(F.lit("git:"), "sha").alias("source_reference"),
-        labelled(("Message", F.col("message")), ("Author", F.col("author"))).alias("text"),
-        F.col("authored_at").alias("occurred_at"),
-        F.col("committed_at").alias("available_at"),
-        F.lit(None).cast("string").alias("path"),
-        F.col("sha").alias("commit_sha"),
-    )
-
-
 def pull_request_state(state: Column, merged_at: Column) -> Column:
     """merged where merged_at is set, else the raw state; others than open and closed are an error."""
     s = F.when(merged_at.isNotNull(), F.lit("merged")).otherwise(F.lower(state))

@@ -103,3 +103,59 @@ def artifact_drift(files: DataFrame, manifest: DataFrame) -> DataFrame:
     a = files.select("path", F.sha2("content", 256).alias("actual"))
     j = manifest.select("path", F.col("sha256").alias("expected")).join(a, "path", "full")
     return j.filter(~F.col("expected").eqNullSafe(F.col("actual")))
+
+
+def outcomes_by(pairs: DataFrame, category: str, value: str = "passed") -> DataFrame:
+    """Pairs and passes of either condition by category."""
+    return pairs.groupBy(category).agg(F.count("*").alias("pairs"), F.count_if(F.col(f"{value}_a")).alias("passed_a"), F.count_if(F.col(f"{value}_b")).alias("passed_b"))
+
+
+# How a run ended, by what its last words say.
+ENDINGS = [("timed_out", r"(?i)timed? ?out|deadline exceeded"), ("rate_limited", r"(?i)rate.?limit|too many requests|\b429\b"), ("unavailable", r"(?i)connection (?:refused|reset)|unavailable|\b50[234]\b")]
+
+
+def completion(exit_code: Column, signal: Column, output: Column, completed_turns: Column) -> Column:
+    """completed, timed_out, rate_limited, unavailable, killed, or failed; a clean exit without a completed turn is incomplete."""
+    c = F.when((exit_code == 0) & (completed_turns > 0), "completed")
+    for name, pattern in ENDINGS:
+        c = c.when(F.coalesce(output, F.lit("")).rlike(pattern), name)
+    return c.when(signal.isNotNull(), "killed").when(exit_code == 0, "incomplete").otherwise("failed")
+
+
+def may_retry(ending: Column, retry: Column, most: int = 1) -> Column:
+    """Runs that ended for reasons of the surroundings are repeated, at most so often."""
+    return ending.isin("rate_limited", "unavailable", "killed") & (retry < most)
+
+
+def patch_stats(diff: DataFrame) -> DataFrame:
+    """Insertions, deletions and files of each run's changed lines (run_id, path, insertions, deletions); binary files have nulls."""
+    return diff.groupBy("run_id").agg(F.coalesce(F.sum("insertions"), F.lit(0)).alias("insertions"), F.coalesce(F.sum("deletions"), F.lit(0)).alias("deletions"), F.countDistinct("path").alias("files"))
+
+
+def treatment_calls(calls: DataFrame, later: DataFrame) -> DataFrame:
+    """Per call of the treatment's tool: files it surfaced, relevant ones among them, and which of them the run opened or edited afterwards.
+
+    `calls` has run_id, call_id, elapsed_ms and arrays surfaced and relevant; `later` run_id, path, elapsed_ms and
+    action ('read' or 'edit').
+    """
+    f = calls.select("run_id", "call_id", "elapsed_ms", F.explode(F.array_distinct("surfaced")).alias("path"), "relevant").withColumn("is_relevant", F.array_contains("relevant", F.col("path")))
+    l = later.select("run_id", "path", F.col("elapsed_ms").alias("__at"), "action")
+    j = f.join(l, ["run_id", "path"], "left").withColumn("after", F.col("__at") > F.col("elapsed_ms"))
+    j = j.groupBy("run_id", "call_id", "path", "is_relevant").agg(F.coalesce(F.max(F.col("after") & (F.col("action") == "read")), F.lit(False)).alias("opened"), F.coalesce(F.max(F.col("after") & (F.col("action") == "edit")), F.lit(False)).alias("edited"))
+    return j.groupBy("run_id", "call_id").agg(F.count("*").alias("surfaced"), F.count_if("is_relevant").alias("relevant"), F.count_if("opened").alias("opened_later"), F.count_if("edited").alias("edited_later"))
+
+
+def preflight(expected: DataFrame, repositories: DataFrame, documents: DataFrame, chunks: DataFrame, embeddings: DataFrame, files: DataFrame) -> DataFrame:
+    """What a memory has against what was frozen: rows (repository_id, what, expected, actual) that differ.
+
+    `expected` has repository_id, revision, documents, chunks, embeddings.
+    """
+    def n(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("repository_id").agg(F.count("*").alias(name))
+
+    a = repositories.select(F.col("id").alias("repository_id")).join(files.groupBy("repository_id").agg(F.max("last_known_commit_sha").alias("revision")), "repository_id", "left")
+    for df, name in ((documents, "documents"), (chunks, "chunks"), (embeddings, "embeddings")):
+        a = a.join(n(df, name), "repository_id", "left")
+    a = a.fillna(0, ["documents", "chunks", "embeddings"])
+    cells = lambda d, name: d.select("repository_id", F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).cast("string").alias(name)) for c in ("revision", "documents", "chunks", "embeddings")])).alias("x")).select("repository_id", "x.what", f"x.{name}")
+    return cells(expected, "expected").join(cells(a, "actual"), ["repository_id", "what"], "left").filter(~F.col("expected").eqNullSafe(F.col("actual")))

@@ -112,9 +112,9 @@ def ref_s14_content_hashes(spark, d):
 
 
 def ref_u3_dangling(spark, d):
-    """Relationships an end of which is no document, by which end."""
+    """Relationships an end of which is no document in force at the cutoff, by which end."""
     r = read(spark, d, "source_relationships", "id", "source_document_id", "target_document_id").distinct()
-    docs = read(spark, d, "documents", "id").distinct()
+    docs = temporal.as_of(read(spark, d, "documents", "id", "available_at", "superseded_at"), cutoff()).select("id").distinct()
     a = r.join(docs.withColumnRenamed("id", "source_document_id"), "source_document_id", "left_anti").select("id", F.lit("source").alias("end_name"))
     b = r.join(docs.withColumnRenamed("id", "target_document_id"), "target_document_id", "left_anti").select("id", F.lit("target").alias("end_name"))
     return a.union(b)
@@ -188,8 +188,8 @@ SQL = {
     "ref_j11_exact_symbols": """with s as (select document_id, symbol_name, count(distinct symbol_id) as n, min(symbol_id) as symbol_id, min(start_line) as start_line, max(end_line) as end_line from document_chunks where symbol_id is not null and parent_symbol is null group by 1, 2)
       select r.id as reference_id, s.symbol_id, s.start_line, s.end_line from (select distinct id, target_document_id, exposed_name from source_relationships) r join s on s.document_id = r.target_document_id and s.symbol_name = r.exposed_name where s.n = 1""",
     "ref_s14_content_hashes": "select distinct id from document_chunks where sha256(content) <> content_hash",
-    "ref_u3_dangling": """with r as (select distinct id, source_document_id, target_document_id from source_relationships)
-      select id, 'source' as end_name from r where source_document_id not in (select id from documents) union all select id, 'target' from r where target_document_id not in (select id from documents)""",
+    "ref_u3_dangling": f"""with r as (select distinct id, source_document_id, target_document_id from source_relationships), f as (select id from documents where available_at <= {_T} and (superseded_at is null or superseded_at > {_T}))
+      select id, 'source' as end_name from r where source_document_id not in (select id from f) union all select id, 'target' from r where target_document_id not in (select id from f)""",
     "ref_k2_newest_files": "select id, repository_id, path, size, last_known_commit_sha from (select *, row_number() over (partition by repository_id, path order by last_synced_at desc, last_known_commit_sha desc, size desc, id desc) as rn from repository_files) where rn = 1",
     "ref_k8_sweep": """with f as (select distinct id, repository_id, path, last_synced_at from repository_files), m as (select repository_id, max(last_synced_at) as m from f group by 1)
       select f.id, f.repository_id, f.path from f join m using (repository_id) where f.last_synced_at = m.m""",

@@ -75,11 +75,6 @@ def ref_g7_imports(spark, d):
     return chunking.extract_imports(read(spark, d, "documents", "id", "text", "path").distinct())
 
 
-def ref_n1_commit_documents(spark, d):
-    c = chunking.commit_documents(read(spark, d, "commits", "id", "repository_id", "sha", "message", "author", "authored_at", "committed_at"))
-    return c.select("source_entity_id", "source_reference", F.sha2("text", 256).alias("text_hash"), F.unix_micros("available_at").alias("available_us"))
-
-
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("ref_")}
 
 _Q = "(select distinct query from (select title as query from documents union all select split_part(text, chr(10), 1) from documents) where query is not null)"
@@ -165,7 +160,4 @@ SQL = {
     "ref_m7_hash_embeddings": r"""with t as (select distinct title from documents where title is not null), w as (select title, unnest(regexp_extract_all(lower(title), '[a-z0-9_]+')) as w from t),
       b as (select title, ('0x' || substr(sha256(w), 1, 8))::bigint % 64 as k, sum(case when ('0x' || substr(sha256(w), 9, 2))::int % 2 = 0 then 1 else -1 end) as v from w group by 1, 2),
       n as (select title, sum(v * v) as s from b group by 1) select t.title, 64 as dimensions, case when coalesce(n.s, 0) > 0 then 1.0 else 0.0 end::double as length from t left join n using (title)""",
-    "ref_n1_commit_documents": r"""with c as (select distinct on (repository_id, sha) * from commits),
-      t as (select *, regexp_replace(regexp_replace(message, '^\s+', ''), '\s+$', '') as m, regexp_replace(regexp_replace(author, '^\s+', ''), '\s+$', '') as a from c)
-      select id as source_entity_id, 'git:' || sha as source_reference, sha256(concat_ws(chr(10) || chr(10), 'Message: ' || nullif(m, ''), 'Author: ' || nullif(a, ''))) as text_hash, epoch_us(committed_at) as available_us from t""",
 }

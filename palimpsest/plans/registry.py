@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog, classification, event_time, measures, retrieval
+from . import building, catalog, classification, event_time, measures, retrieval
 
-MODULES = [event_time, catalog, classification, retrieval, measures]
+MODULES = [event_time, catalog, classification, building, retrieval, measures]
 
 
 def queries() -> dict:
