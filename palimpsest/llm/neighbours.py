@@ -33,6 +33,8 @@ SAMPLE = 4096
 ROUNDS, RENEWED = 6, 0.05
 #: Greedy search: hops, nodes expanded a hop, nodes remembered.
 HOPS, EXPAND, BEAM = 1, 10, 24
+#: Hops where every vector asks: most lie far from all others, and their neighbours are harder to find than a probe's.
+GRAPH_HOPS = 2
 #: Of these, scored again on the twelve-bit vectors are those that come so close to the last wanted one by their codes:
 #: two and a half times the standard error of a difference of two similarities of four-bit codes.
 CLOSE = 0.025
@@ -463,11 +465,11 @@ def _scored(pairs: DataFrame, vecs: DataFrame, columns: list[str], reader) -> Da
     return a.groupBy("a").cogroup(b.groupBy("b")).applyInArrow(lambda x, y: run(x, y), "u bigint, w bigint, sim float")
 
 
-def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int, hops: int = HOPS) -> DataFrame:
     """Rows (query, neighbour, similarity, rank): the k most similar chunks of each query chunk, itself left out.
 
     Greedy search: from the node's own neighbours, the best nodes not yet expanded give their neighbours,
-    HOPS times. `queries` has chunk_id; those without a usable vector get nothing, repeated ones count once.
+    hops times. `queries` has chunk_id; those without a usable vector get nothing, repeated ones count once.
     """
     s = index.scratch
     q = _join(queries.select("chunk_id").distinct(), index.names.select("chunk_id", "nid"), "chunk_id").select(F.col("nid").alias("u"))
@@ -484,7 +486,7 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     # the graph's similarities are those of coarse codes: the start is scored anew
     first = _join(index.edges.select("u", "w"), q, "u", "left_semi")
     state = s.keep(score(first).withColumn("open", F.lit(True)))
-    for _ in range(HOPS):
+    for _ in range(hops):
         w = Window.partitionBy("u").orderBy(F.col("open").desc(), F.col("sim").desc(), "w")
         ranked = state.withColumn("__rn", F.row_number().over(w)).withColumn("go", F.col("open") & (F.col("__rn") <= EXPAND))
         reached = _join(ranked.filter("go").select("u", F.col("w").alias("x")), step, "x").select("u", F.col("y").alias("w"), F.lit(0).alias("known")).filter("u <> w")
@@ -499,25 +501,6 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     return _finished(index, best, k)
 
 
-def graph(index: Index, k: int) -> DataFrame:
-    """Rows (query, neighbour, similarity, rank): the k most similar chunks of every chunk.
-
-    The descent's lists are those of coarse codes. Each node is put into its own list and all lists are compared once
-    more, on the four-bit codes; what comes close to the best k of each node is scored on the twelve-bit vectors.
-    """
-    s = index.scratch
-    own = index.blocks.select(F.col("nid").alias("v"), F.col("nid").alias("x"), F.lit(1).alias("fresh"))
-    lists = _lists(index.edges.withColumn("fresh", F.lit(1)), REVERSE).union(own)
-    lists = _join(lists, index.blocks.withColumnRenamed("nid", "v"), "v")
-    known = index.code.select(F.col("nid").alias("x"), "code", F.lit(-2.0).cast("float").alias("worst"))
-    most = max(BEAM, 2 * k)
-    found = _compared(lists, known, "code", _of_code, most)
-    best = _close(_distinct(found, "u", "w", F.max("sim").alias("sim")), k, CLOSE)
-    best = s.keep(_join(best, index.blocks.withColumnRenamed("nid", "u"), "u").select("block", "u", "w"))
-    s.sweep()
-    return _finished(index, best, k)
-
-
 def _finished(index: Index, best: DataFrame, k: int) -> DataFrame:
     """Rows (query, neighbour, similarity, rank): the k best of the kept pairs (block, u, w) on the twelve-bit vectors."""
     last = _join(_needed(best), index.names.select(F.col("nid").alias("x"), "h"), "x").select("block", "x", "h")
@@ -539,9 +522,9 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_graph(spark: SparkSession, d: str) -> DataFrame:
-    """The graph itself: for every usable vector its five most similar chunks, scored on the twelve-bit vectors."""
+    """For every usable vector its five most similar chunks: the search of p7_found, with every chunk as a query."""
     index = build_index(spark, read(spark, d, "chunk_embeddings", *_COLUMNS))
-    return graph(index, 5).select(F.col("query").alias("chunk_id"), "neighbour", F.col("similarity").cast("double").alias("similarity"))
+    return search(index, index.names, 5, GRAPH_HOPS).select(F.col("query").alias("chunk_id"), "neighbour", F.col("similarity").cast("double").alias("similarity"))
 
 
 SQL = {
