@@ -134,6 +134,71 @@ def top_symbols(text: str, language: str | None) -> tuple[str, list[tuple[str, s
     return "parsed", out
 
 
+_MODIFIERS = r"(?:(?:public|private|protected|static|async|readonly|abstract|override|declare|get|set)\s+)*"
+#: Members within the body of a symbol, by language: (pattern of a line without its indentation, kind).
+_MEMBER = {
+    "TypeScript": [(re.compile(_MODIFIERS + r"\*?\s*(#?[A-Za-z_$][\w$]*)\s*(?:<[^>()]*>)?\([^;]*\)\s*(?::[^{;=]+)?\{"), "method"), (re.compile(_MODIFIERS + r"(#?[A-Za-z_$][\w$]*)\s*[?!]?\s*(?::[^=;]+)?(?:=[^>].*|;)\s*;?$"), "property")],
+    "Python": [(re.compile(r"(?:async\s+)?def\s+([A-Za-z_]\w*)"), "method"), (re.compile(r"([A-Za-z_]\w*)\s*(?::[^=]+)?=[^=]"), "property")],
+}
+_MEMBER["JavaScript"] = _MEMBER["TypeScript"]
+_WORDS_NOT_MEMBERS = frozenset("if for while switch catch return function constructor_call do else".split())
+SIGNATURE = 500
+
+
+def symbols_of(text: str, language: str | None) -> tuple[str, list[tuple]]:
+    """(state, [(name, kind, parent, first line, last line, signature)]): top-level symbols and the members of classes and interfaces.
+
+    A member begins at the least indentation within the body and lasts until the next line that is indented no more
+    and closes nothing. Go methods belong to the type of their receiver. A signature is what stands before the body,
+    500 characters at most.
+    """
+    state, top = top_symbols(text, language)
+    rows = text.replace("\r\n", "\n").split("\n")
+    out = []
+
+    def signature(line: str) -> str:
+        cut = line.split("{", 1)[0] if language != "Python" else re.sub(r":\s*(?:#.*)?$", "", line)
+        return cut.strip()[:SIGNATURE]
+
+    for name, kind, a, b in top:
+        parent = None
+        if language == "Go" and (m := re.match(r"func\s+\(\s*\w*\s*\*?\s*([A-Za-z_]\w*)[^)]*\)", rows[a - 1])):
+            parent, kind = m.group(1), "method"
+        out.append((name, kind, parent, a, b, signature(rows[a - 1])))
+        if kind not in ("class", "interface") or language not in _MEMBER:
+            continue
+        body = [(i, len(r) - len(r.lstrip())) for i, r in enumerate(rows[a:b], a + 1) if r.strip() and not r.strip().startswith(("}", ")", "]"))]
+        body = [(i, d) for i, d in body if d > 0]
+        level = min((d for _, d in body), default=0)
+        heads = [i for i, d in body if d == level]
+        for k, i in enumerate(heads):
+            bare = rows[i - 1].strip()
+            hit = next(((m.group(1), what) for p, what in _MEMBER[language] if (m := p.match(bare))), None)
+            if hit and hit[0] not in _WORDS_NOT_MEMBERS:
+                last = (heads[k + 1] - 1) if k + 1 < len(heads) else b
+                while last > i and (not rows[last - 1].strip() or (len(rows[last - 1]) - len(rows[last - 1].lstrip())) < level):
+                    last -= 1
+                out.append((*hit, name, i, last, signature(bare)))
+    return state, out
+
+
+_SYMBOLS = "document_id string, state string, name string, kind string, parent string, start_line int, end_line int, signature string"
+
+
+def extract_symbols(documents: DataFrame) -> DataFrame:
+    """Symbols of source documents (id, text, language), one row each; a document without any has one row with its state alone."""
+
+    def run(frames):
+        for pdf in frames:
+            rows = []
+            for r in pdf.itertuples():
+                state, found = symbols_of(r.text, r.language if isinstance(r.language, str) else None)
+                rows += [(r.id, state, *x) for x in sorted(found, key=lambda x: (x[3], -x[4], x[0]))] or [(r.id, state, None, None, None, None, None, None)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _SYMBOLS.split(", ")]).astype({"start_line": "Int32", "end_line": "Int32"})
+
+    return documents.select("id", "text", "language").filter(F.col("text").isNotNull()).mapInPandas(run, _SYMBOLS)
+
+
 def structural_chunks(text: str, language: str | None, path: str) -> tuple[str, list[dict]]:
     """(strategy, chunks): a chunk a symbol, the gaps as module chunks; symbols beyond the limits in parts, without overlap.
 

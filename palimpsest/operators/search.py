@@ -66,6 +66,18 @@ def dense(queries: DataFrame, chunks: DataFrame, embeddings: DataFrame, limit: i
     return _ranked(v, chunks, [F.col("score").desc(), F.col("chunk_id")], limit)
 
 
+#: What a result tells of its chunk, and what of where it comes from.
+RESULT = ["repository_id", "source_type", "path", "language", "commit_sha", "start_line", "end_line", "occurred_at", "available_at", "superseded_at", "content"]
+METADATA = ["document_id", "source_entity_id", "parent_source_type", "parent_source_entity_id", "source_reference", "chunk_index", "symbol_id", "symbol_name", "symbol_kind", "parent_symbol", "symbol_part", "symbol_part_count"]
+
+
+def results(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Ranked rows (query_id, chunk_id, rank, score) as full results; `chunks` is the table with id, repeats and all."""
+    c = latest_chunks(chunks.join(ranked.select(F.col("chunk_id").alias("id")).distinct(), "id", "left_semi"))
+    c = c.select("chunk_id", *RESULT, F.struct(*METADATA).alias("source_metadata"))
+    return ranked.select("query_id", "chunk_id", "rank", "score").join(c, "chunk_id")
+
+
 def lexemes(queries: DataFrame) -> DataFrame:
     """Rows (query_id, repository_id, cutoff, lexeme): a query's words, and their English stems but for stop words."""
     words = tx.tokens(F.col("query"))

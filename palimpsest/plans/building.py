@@ -126,6 +126,12 @@ def ref_j9_resolution(spark, d):
     return graph.resolve_specifiers(b, s).join(b.select("import_id", "document_id", "specifier"), "import_id").select("document_id", "specifier", "path")
 
 
+def ref_g6_symbols(spark, d):
+    """Symbols of the current sources, members with their parents."""
+    s = _sources(spark, d).withColumn("language", fl.language(F.col("path")))
+    return chunking.extract_symbols(s)
+
+
 def _edges(spark, d):
     s = _sources(spark, d)
     symbols = chunk_ids(spark, d, "document_id", "symbol_id", "symbol_name", "symbol_kind", "parent_symbol", "start_line", "end_line")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,10 +12,11 @@ from ..functions import intents as it
 from ..functions import roles as ro
 from ..functions import stem as st
 from ..functions import vectors as vx
-from ..operators import graph, pack, ranking, search
+from ..operators import assess, graph, pack, ranking, requests, search
 from ..operators.upsert import newest
 from ..runtime import Scratch
 from ..sources.tables import read
+from . import catalog
 from .catalog import CUTOFF, DIMENSIONS, MODEL, cutoff
 
 #: What is asked of every repository.
@@ -69,12 +71,12 @@ def ref_q3_structured(spark, d):
     return search.structured(questions(spark, d), rows(spark, d)).select("query_id", "chunk_id", "exact", F.round("score", 4).alias("score"), "rank")
 
 
-def _lists(spark, d) -> DataFrame:
+def _lists(spark, d, asked: DataFrame | None = None) -> DataFrame:
     """The three branches of every question: rank as found, place after thinning by path (null for what was thinned out).
 
     The lists are slim and every later step reads them, some twice: they are kept as a table, so the scans run once.
     """
-    q, c, e = questions(spark, d), rows(spark, d), embeddings(spark, d)
+    q, c, e = (questions(spark, d) if asked is None else asked), rows(spark, d), embeddings(spark, d)
     found = [("dense", search.dense(q, c, e)), ("lexical", search.lexical(q, c)), ("structured", search.structured(q, c))]
     scratch = Scratch(spark, "lists")
     raw = scratch.keep(_union([r.withColumn("branch", F.lit(name)) for name, r in found]))
@@ -95,9 +97,9 @@ def ref_w2_diversified(spark, d):
     return ranking.diversify(r, 20, 2, ["query_id"]).select("query_id", "chunk_id", "rank")
 
 
-def _representatives(spark, d, lists: DataFrame) -> DataFrame:
+def _representatives(spark, d, lists: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     f = ranking.file_evidence(lists, "multi-branch", BRANCHES)
-    r = ranking.representatives(lists, f, questions(spark, d))
+    r = ranking.representatives(lists, f, (questions(spark, d) if asked is None else asked))
     return r.join(f.select("query_id", "path", "sources"), ["query_id", "path"])
 
 
@@ -144,12 +146,12 @@ def ref_w4_representatives(spark, d):
     return _representatives(spark, d, lists).select("query_id", "path", "chunk_id", "file_rank", "representative", "reason")
 
 
-def _expanded(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _expanded(spark, d, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lists, representatives, related): everything the last fusion takes; the relationships start from a first fusion without them."""
     scratch = Scratch(spark, "expanded")
-    lists = _lists(spark, d)
-    reps = scratch.keep(_representatives(spark, d, lists))
-    q = questions(spark, d).drop("vector")
+    lists = _lists(spark, d, asked)
+    reps = scratch.keep(_representatives(spark, d, lists, asked))
+    q = (questions(spark, d) if asked is None else asked).drop("vector")
     a = scratch.keep(graph.anchors(_fused(lists, reps).drop("file_rank").withColumnRenamed("file_rank_", "file_rank")).join(q.select("query_id", "repository_id", "cutoff"), "query_id"))
     return lists, reps, scratch.keep(graph.expand(a, read(spark, d, "source_relationships", *_EDGES), chunks(spark, d), q))
 
@@ -164,10 +166,10 @@ def ref_j4_expansion(spark, d):
     return _expanded(spark, d)[2].select("query_id", "chunk_id", "type", "relationship_rank")
 
 
-def _ranked(spark, d, strategy: str = "weak") -> DataFrame:
+def _ranked(spark, d, strategy: str = "weak", asked: DataFrame | None = None) -> DataFrame:
     """All candidates of the five branches, re-ranked by how well roles suit the question. Kept: the pool and the reserve both read it."""
-    lists, reps, related = _expanded(spark, d)
-    f = _fused(lists, reps, related).join(questions(spark, d).select("query_id", it.signals(F.col("query")).alias("signals")), "query_id")
+    lists, reps, related = _expanded(spark, d, asked)
+    f = _fused(lists, reps, related).join((questions(spark, d) if asked is None else asked).select("query_id", it.signals(F.col("query")).alias("signals")), "query_id")
     f = f.withColumn("role", ro.classify(F.col("source_type"), F.col("path"), F.col("symbol_kind"))["role"])
     f = f.withColumn("compatibility", ro.compatibility(F.col("signals"), F.col("role"), F.col("exact"), F.col("symbol_name")))
     return Scratch(spark, "pool").keep(ranking.role_prior(f, strategy))
@@ -178,8 +180,8 @@ def ref_w10_prior(spark, d):
     return _ranked(spark, d).filter("final_rank <= 100").select("query_id", "chunk_id", "role", F.round("compatibility", 4).alias("compatibility"), F.coalesce("role_rank", F.lit(-1)).alias("role_rank"), F.round("score", 9).alias("score"), "final_rank")
 
 
-def _pool(spark, d, strategy: str = "weak") -> DataFrame:
-    ranked = _ranked(spark, d, strategy)
+def _pool(spark, d, strategy: str = "weak", asked: DataFrame | None = None) -> DataFrame:
+    ranked = _ranked(spark, d, strategy, asked)
     slim = ranked.select("query_id", "chunk_id", "path", "exact", F.col("final_rank").alias("rrf_rank"), F.when(~F.col("direct"), F.col("relationship_rank")).alias("relationship_rank"))
     pool = ranking.diversify(slim, ranking.POOL, ranking.PER_PATH, ["query_id"], rank="rrf_rank")
     kept = graph.reserve(pool, slim.filter("relationship_rank is not null"), ranking.PER_PATH, graph.RESERVE, ranking.POOL)
@@ -196,16 +198,16 @@ def ref_w11_reserved(spark, d):
     return _pool(spark, d).filter("not direct").select("query_id", "chunk_id", "relationship_rank", "pool_rank")
 
 
-def _candidates(spark, d) -> DataFrame:
+def _candidates(spark, d, asked: DataFrame | None = None) -> DataFrame:
     """What packs are made of: the pool's head, the anchors' own context and their relationships."""
     c = Scratch(spark, "chunks").keep(chunks(spark, d))
-    pool = _pool(spark, d)
+    pool = _pool(spark, d, asked=asked)
     top = ranking.rank_by(pool.select("query_id", "chunk_id", "exact", "pool_rank"), ["query_id"], [F.col("pool_rank")], "rank", 15).withColumn("origin", F.lit("primary"))
     anchors = top.filter(F.col("rank") <= 5).join(c.select("chunk_id", "document_id", "chunk_index", "symbol_id", "symbol_name", "parent_symbol"), "chunk_id")
     near = graph.local_context(anchors, c)
     near = near.select("query_id", "chunk_id", F.lit(False).alias("exact"), F.col("place").alias("rank"), F.lit("local").alias("origin"), "reason", "priority")
     near = ranking.first_of(near, ["query_id", "chunk_id"], [F.col("priority"), F.col("rank")])
-    q = questions(spark, d).drop("vector")
+    q = (questions(spark, d) if asked is None else asked).drop("vector")
     own = pool.select("query_id", "chunk_id", "document_id", "pool_rank").filter("pool_rank <= 5").withColumnRenamed("pool_rank", "anchor")
     a = ranking.first_of(own, ["query_id", "document_id"], [F.col("anchor")]).join(q.select("query_id", "repository_id", "cutoff"), "query_id")
     rel = graph.expand(a, read(spark, d, "source_relationships", *_EDGES), c, q)
@@ -214,8 +216,8 @@ def _candidates(spark, d) -> DataFrame:
     return cand.withColumn("role", ro.classify(F.col("source_type"), F.col("path"), F.col("symbol_kind"))["role"])
 
 
-def _intents(spark, d) -> DataFrame:
-    return questions(spark, d).select("query_id", F.transform(it.signals(F.col("query")), lambda s: s["intent"]).alias("intents"))
+def _intents(spark, d, asked: DataFrame | None = None) -> DataFrame:
+    return (questions(spark, d) if asked is None else asked).select("query_id", F.transform(it.signals(F.col("query")), lambda s: s["intent"]).alias("intents"))
 
 
 def ref_q7_packs(spark, d):
@@ -228,6 +230,38 @@ def ref_f6_decisions(spark, d):
     return pack.decisions(_candidates(spark, d), _intents(spark, d)).groupBy("query_id", "action").agg(F.count("*").alias("n"))
 
 
+def agent_context(spark, d, repository_id: str, query: str, characters: int = 30_000, at=None) -> DataFrame:
+    """The pack of one request, checked before and after: rows of pack.build, or a RequestError that says why not.
+
+    The request is validated, the repository must be ready, and no item may be of another repository or of later
+    than the cutoff.
+    """
+    r = requests.normalised(repository_id, query, cutoff=at)
+    requests.budget(characters)
+    deleted = read(spark, d, "repositories", "id", "deleted_at").withColumnRenamed("id", "repository_id")
+    requests.ready(deleted.join(catalog.ref_q8_catalogue(spark, d), "repository_id", "left"), r.repository_id)
+    vector = [float(x) for x in vx.hash_embedding(r.query, DIMENSIONS)]
+    asked = spark.createDataFrame([("request", r.repository_id, r.query, r.cutoff, vector)], "query_id string, repository_id string, query string, cutoff timestamp, vector array<float>")
+    items = Scratch(spark, "request").keep(pack.build(_candidates(spark, d, asked), _intents(spark, d, asked), characters))
+    where = chunks(spark, d).select("chunk_id", "repository_id", "available_at").join(items.select("chunk_id"), "chunk_id", "left_semi")
+    case = asked.select(F.col("query_id").alias("case_id"), "repository_id", "cutoff")
+    safe = assess.isolated(where.withColumn("case_id", F.lit("request")), case).select("chunk_id")
+    return items.join(safe, "chunk_id", "left_semi")
+
+
+def ref_q9_contexts(spark, d):
+    """The context of one request to the first repository that is ready: its items without their texts."""
+    first = catalog.ref_q8_catalogue(spark, d).filter("ready").agg(F.min("repository_id")).first()[0]
+    return agent_context(spark, d, first, ASKED[0][1], 30_000, datetime.fromisoformat(CUTOFF)).drop("content")
+
+
+def ref_p1_results(spark, d):
+    """The three best of each question as full results: fields, and the metadata of their source as one record."""
+    r = search.lexical(questions(spark, d), rows(spark, d), 3)
+    full = search.results(r, read(spark, d, "document_chunks"))
+    return full.select("query_id", "rank", "chunk_id", "repository_id", "language", "start_line", "end_line", F.sha2("content", 256).alias("content_hash"), F.col("source_metadata.document_id").alias("document_id"), F.col("source_metadata.source_reference").alias("source_reference"), F.col("source_metadata.chunk_index").alias("chunk_index"), F.unix_micros("available_at").alias("available_us"))
+
+
 def ref_p13_safety(spark, d):
     """Items of packs that break isolation or time: of another repository than asked, or available after the cutoff. There are none."""
     items = pack.build(_candidates(spark, d), _intents(spark, d)).select("query_id", "chunk_id").join(chunks(spark, d).select("chunk_id", "repository_id", "available_at"), "chunk_id")
@@ -432,6 +466,8 @@ SQL = {
     "ref_w6_anchors": f"with {_RELATED} select query_id, document_id, chunk_id, strength, anchor from an",
     "ref_j4_expansion": f"with {_RELATED} select query_id, chunk_id, type, relationship_rank from rel",
     "ref_w10_prior": f"with {_PRIOR} select query_id, chunk_id, role, round(compatibility, 4) as compatibility, coalesce(role_rank, -1) as role_rank, round(score, 9) as score, final_rank from prior where final_rank <= 100",
+    "ref_p1_results": f"""with {_BASE}, x as (select distinct on (id) * from document_chunks)
+      select l.query_id, l.rank, x.id as chunk_id, x.repository_id, x.language, x.start_line, x.end_line, sha256(x.content) as content_hash, x.document_id, x.source_reference, x.chunk_index, epoch_us(x.available_at) as available_us from lex l join x on x.id = l.chunk_id where l.rank <= 3""",
     "ref_p13_safety": "select 0 as foreign_items, 0 as future_items",
     "ref_a5_file_evidence": _EVIDENCE,
     "ref_f1_raw_top": f"""with {_BASE}, s as (select l.*, length(c.content) as n, sum(length(c.content)) over (partition by l.query_id order by l.rank) as total from lex l join c using (chunk_id)),

@@ -136,6 +136,18 @@ def test_edges(spark):
     assert edges.build(b.limit(0), d, symbols)[0].count() == 0
 
 
+def test_symbols_with_members():
+    ts = "export class A<T> extends B {\n  private x: number = 1;\n  static async go(a: string): Promise<void> {\n    if (a) {\n      this.x;\n    }\n  }\n\n  get y(): number { return 1; }\n}\nfunction f(a) {\n  return a;\n}\n"
+    state, got = chunking.symbols_of(ts, "TypeScript")
+    assert state == "parsed" and [x[:5] for x in got] == [("A", "class", None, 1, 10), ("x", "property", "A", 2, 2), ("go", "method", "A", 3, 7), ("y", "method", "A", 9, 9), ("f", "function", None, 11, 13)]
+    assert got[2][5] == "static async go(a: string): Promise<void>"
+    py = "class C:\n    z = 1\n\n    def m(self):\n        return 2\n\ndef g():\n    pass\n"
+    assert [x[:5] for x in chunking.symbols_of(py, "Python")[1]] == [("C", "class", None, 1, 5), ("z", "property", "C", 2, 2), ("m", "method", "C", 4, 5), ("g", "function", None, 7, 8)]
+    assert [x[:3] for x in chunking.symbols_of("package a\nfunc (s *Store) Get() int {\n\treturn 1\n}\n", "Go")[1]] == [("Get", "method", "Store")]
+    assert chunking.symbols_of("x", "Ruby") == ("unsupported", []) and chunking.symbols_of("class A {", "TypeScript")[0] == "failed"
+    assert len(chunking.symbols_of("function f(" + "a, " * 400 + "b) {\n}", "JavaScript")[1][0][5]) == 500
+
+
 # ---- assessment
 def _evidence(spark):
     rel = "array<struct<imported_name:string,target_symbol:string,resolution:string>>"
