@@ -35,7 +35,8 @@ def _ending(words: list[str]) -> str:
 
 _S, _N, _E = _segment, _named, _ending
 
-#: (role, confidence, patterns of which one must match the lower-case path, or lists of which all must).
+# Fixed values, in the order in which they are tried: (role, confidence, patterns of which one must match the lower-case
+# path, or lists of which all must).
 RULES: list[tuple[str, float, list]] = [
     ("fixture", 0.95, [_S("__fixtures__|fixture|fixtures|testdata"), _N("fixture")]),
     ("e2e_test", 1.0, [_S("e2e|end-to-end|playwright|cypress"), _N("e2e")]),

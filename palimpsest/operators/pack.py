@@ -40,6 +40,7 @@ def truncate(text: str, room: int) -> str:
 def _anchor_priority(role: str, intents: set[str]) -> int:
     """How early a role is wanted among anchors, by the first intent that has a say."""
     production = {"production_implementation": 1}
+    # The roles that each intent wants, in order, and the place of all others.
     orders = [
         ("tests", {**dict.fromkeys(("unit_test", "integration_test", "e2e_test"), 0), **production}, 2),
         ("configuration", {"configuration": 0, **production}, 2),
@@ -223,8 +224,27 @@ def decisions(candidates: DataFrame, intents: DataFrame, budget: int = BUDGET, l
     return _grouped(candidates, intents).applyInPandas(one, f"query_id {kind}, step int, chunk_id string, action string")
 
 
+def chosen(candidates: DataFrame, intents: DataFrame, limit: int = ANCHORS) -> DataFrame:
+    """The anchors of each query among its primary rows: rows (query_id, chunk_id, anchor)."""
+    kind = dict(candidates.dtypes)["query_id"]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
+        for r in rows:
+            r["content"] = r["content"] or ""
+        wanted = set(rows[0]["intents"]) if rows[0]["intents"] is not None else set()
+        out = select_anchors(sorted(rows, key=lambda r: (r["rank"], r["chunk_id"])), wanted, limit)
+        return pd.DataFrame([(r["query_id"], r["chunk_id"], i) for i, r in enumerate(out, 1)], columns=["query_id", "chunk_id", "anchor"])
+
+    return _grouped(candidates.filter("origin = 'primary'"), intents).applyInPandas(one, f"query_id {kind}, chunk_id string, anchor int")
+
+
 def _grouped(candidates: DataFrame, intents: DataFrame):
-    return candidates.select(*COLUMNS).join(intents.select("query_id", "intents"), "query_id").groupBy("query_id")
+    c = candidates
+    for name in ("relation", "reason"):
+        c = c if name in c.columns else c.withColumn(name, F.lit(None).cast("string"))
+    c = c if "priority" in c.columns else c.withColumn("priority", F.lit(None).cast("int"))
+    return c.select(*COLUMNS).join(intents.select("query_id", "intents"), "query_id").groupBy("query_id")
 
 
 def _packed(pdf: pd.DataFrame, budget: int, limit: int) -> tuple:
@@ -240,7 +260,8 @@ def _packed(pdf: pd.DataFrame, budget: int, limit: int) -> tuple:
     items = []
     for i, r in enumerate(chosen, 1):
         items.append(r | {"reasons": ["retrieved_primary"], "context_role": context_role(r["role"], "primary", None), "priority": i})
-    for origin in ("local", "relation"):
+    # a question about history is answered by what was said then: the present source around it is no evidence
+    for origin in () if "history_rationale" in wanted else ("local", "relation"):
         for r in sorted((r for r in rows if r["origin"] == origin), key=lambda r: (r["rank"], r["chunk_id"])):
             p = r["priority"] if origin == "local" else relation_priority(int(r["rank"]), r["role"], r["relation"], wanted)
             items.append(r | {"reasons": [r["reason"] or origin], "context_role": context_role(r["role"], origin, r["relation"]), "priority": int(p)})

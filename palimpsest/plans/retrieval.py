@@ -202,17 +202,17 @@ def _candidates(spark, d, asked: DataFrame | None = None) -> DataFrame:
     """What packs are made of: the pool's head, the anchors' own context and their relationships."""
     c = Scratch(spark, "chunks").keep(chunks(spark, d))
     pool = _pool(spark, d, asked=asked)
-    top = ranking.rank_by(pool.select("query_id", "chunk_id", "exact", "pool_rank"), ["query_id"], [F.col("pool_rank")], "rank", 15).withColumn("origin", F.lit("primary"))
-    anchors = top.filter(F.col("rank") <= 5).join(c.select("chunk_id", "document_id", "chunk_index", "symbol_id", "symbol_name", "parent_symbol"), "chunk_id")
+    q = (questions(spark, d) if asked is None else asked).drop("vector")
+    top = ranking.rank_by(pool.select("query_id", "chunk_id", "exact", "pool_rank", "role"), ["query_id"], [F.col("pool_rank")], "rank", 15).withColumn("origin", F.lit("primary"))
+    picked = Scratch(spark, "picked").keep(pack.chosen(top.join(c, "chunk_id"), _intents(spark, d, asked)))
+    anchors = picked.join(c.select("chunk_id", "document_id", "chunk_index", "symbol_id", "symbol_name", "parent_symbol"), "chunk_id")
     near = graph.local_context(anchors, c)
     near = near.select("query_id", "chunk_id", F.lit(False).alias("exact"), F.col("place").alias("rank"), F.lit("local").alias("origin"), "reason", "priority")
     near = ranking.first_of(near, ["query_id", "chunk_id"], [F.col("priority"), F.col("rank")])
-    q = (questions(spark, d) if asked is None else asked).drop("vector")
-    own = pool.select("query_id", "chunk_id", "document_id", "pool_rank").filter("pool_rank <= 5").withColumnRenamed("pool_rank", "anchor")
-    a = ranking.first_of(own, ["query_id", "document_id"], [F.col("anchor")]).join(q.select("query_id", "repository_id", "cutoff"), "query_id")
-    rel = graph.expand(a, read(spark, d, "source_relationships", *_EDGES), c, q)
+    a = ranking.first_of(anchors.select("query_id", "document_id", "anchor"), ["query_id", "document_id"], [F.col("anchor")]).join(q.select("query_id", "repository_id", "cutoff"), "query_id")
+    rel = graph.expand(a, read(spark, d, "source_relationships", *_EDGES), c, q, pack.PER_ANCHOR, pack.PER_ANCHOR * pack.ANCHORS)
     rel = rel.select("query_id", "chunk_id", F.lit(False).alias("exact"), F.col("relationship_rank").alias("rank"), F.lit("relation").alias("origin"), F.col("type").alias("relation"))
-    cand = _union([top.drop("pool_rank"), near, rel]).join(c, "chunk_id")
+    cand = _union([top.drop("pool_rank", "role"), near, rel]).join(c, "chunk_id")
     return cand.withColumn("role", ro.classify(F.col("source_type"), F.col("path"), F.col("symbol_kind"))["role"])
 
 

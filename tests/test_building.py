@@ -9,9 +9,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest import __main__ as cli
 from palimpsest import sinks
 from palimpsest.functions import stem
-from palimpsest.operators import assess, chunking, edges, experiment, memory, records, requests, search
+from palimpsest.operators import assess, chunking, edges, experiment, memory, pack, records, requests, search
 from palimpsest.sources import landed, providers
 
 T = "timestamp"
@@ -237,6 +238,35 @@ def test_reranking(spark):
     assert _rows(requests.diagnostics(pool), "query_id", "candidates", "bytes") == [(1, 3, 21), (2, 1, 1)]
 
 
+# ---- packs
+def _candidates(spark, intents):
+    base = dict(role="production_implementation", source_reference="s", symbol_id=None, symbol_kind=None, symbol_part=None, start_line=None, end_line=None, relation=None, reason=None, priority=None)
+    rows = [dict(base, query_id="q", chunk_id=c, origin=o, rank=r, exact=False, path=p, symbol_name=None, content=t) | more for c, o, r, p, t, more in [("a", "primary", 1, "a.ts", "aaa", {}), ("b", "primary", 2, "a.ts", "bbb", {}), ("c", "primary", 3, "c.ts", "aaa", {}), ("d", "primary", 4, "d.ts", "ddd", {}), ("l", "local", 1, "a.ts", "lll", {"reason": "parent_symbol", "priority": 11}), ("r", "relation", 1, "e.ts", "rrr", {"relation": "imports"}), ("x", "relation", 2, "f.ts", "x" * 50, {"relation": "imports"})]]
+    schema = "query_id string, chunk_id string, origin string, rank int, exact boolean, path string, symbol_name string, content string, " + ", ".join(f"{k} {'int' if k in ('symbol_part', 'start_line', 'end_line', 'priority') else 'string'}" for k in base)
+    names = [x.split()[0] for x in schema.split(", ")]
+    return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema), spark.createDataFrame([("q", intents)], "query_id string, intents array<string>")
+
+
+def test_pack_decisions_and_history(spark):
+    c, i = _candidates(spark, ["implementation"])
+    assert [r.chunk_id for r in pack.build(c, i, 40).orderBy("item").collect()] == ["a", "d", "l", "r"]
+    # b repeats the path of a, c its content; what does not fit is passed over
+    log = {(r.chunk_id, r.action) for r in pack.decisions(c, i, 40).collect()}
+    assert {("a", "selected"), ("b", "rejected_anchor"), ("c", "rejected_anchor"), ("x", "rejected_budget"), ("r", "included")} <= log
+    assert [(r.chunk_id, r.anchor) for r in pack.chosen(c, i).orderBy("anchor").collect()] == [("a", 1), ("d", 2)]
+    c, i = _candidates(spark, ["history_rationale"])
+    assert {r.chunk_id for r in pack.build(c, i, 40).collect()} == {"a", "d"}
+
+
+def test_command_line_takes_only_what_fits():
+    p = cli.parser()
+    a = p.parse_args(["context", "d", "--repository", R, "--query", "q", "--budget", "300"])
+    assert a.budget == 300 and a.format == "json" and p.parse_args(["search", "d", "--repository", R, "--query", "q"]).limit == 10
+    for bad in (["search", "d", "--query", "q"], ["search", "d", "--repository", R, "--query", "q", "--budget", "300"], ["catalogue", "d", "--limit", "3"], ["nothing", "d"]):
+        with pytest.raises(SystemExit):
+            p.parse_args(bad)
+
+
 # ---- lexical search
 def test_stems_and_cover_density(spark):
     assert [stem.stem(w) for w in "running configuration queues generously dying relational".split()] == ["run", "configur", "queue", "generous", "die", "relat"]
