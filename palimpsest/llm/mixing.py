@@ -6,7 +6,8 @@ its own, so what is exponentiated is each source's token share over its target s
 exponent 0 gives the targets, 1 the sources as they are; bisection finds the least one whose weights keep every source within its cap at the budget, or the one of a
 target entropy. Without a budget the largest is sought, by bisection too, at which the exponent is still 0. Weights
 become documents by block permutations: each pass over a source is a fresh permutation in nested blocks, whole passes
-use every document once, and the last pass is cut where the source's budget ends.
+use every document once, and the last pass is cut where the source's budget ends. What is left of a budget there, less
+than a document, is topped up with the largest later documents that fit.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from .tokens import VOCABULARY, count_tokens
 
 #: Blocks of a permutation, and how deep they nest: only in the innermost block in which a budget ends documents are summed one by one.
 BLOCKS, NESTED = 1024, 2
+#: Documents a source that may fill what a whole next document would overfill, largest first.
+TOP_UP = 8
+#: A source is filled if no more than this share of its budget is left.
+FILLED = 1e-5
 #: Halvings of a bisection.
 STEPS = 100
 
@@ -100,11 +105,7 @@ def realise(scratch: Scratch, sizes: DataFrame, budgets: dict[str, int], totals:
     if not plan:
         return sizes.limit(0).select("doc_id", "source", "tokens", F.lit(0).alias("pass"), F.lit(0.0).alias("place"))
     p = F.broadcast(spark.createDataFrame(plan, "source string, passes int, rest bigint, laps double"))  # one row a target
-    s = sizes.filter("tokens > 0").join(p, "source")
-    used = s.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes")))).filter("pass < passes or rest > 0")
-    used = used.withColumn("h", F.xxhash64("doc_id", "pass", F.lit(seed)))
-    # where in its pass a use stands, as the hash says, and so where in the mix
-    used = used.withColumn("place", (F.col("pass") + F.shiftrightunsigned("h", 11) / float(1 << 53)) / F.col("laps"))
+    used = _passes(sizes, p, seed).filter("pass < passes or rest > 0")
     cols = ["doc_id", "source", "tokens", "pass", "place"]
     out = [used.filter("pass < passes").select(*cols)]
     edge = used.filter("pass = passes")
@@ -120,7 +121,43 @@ def realise(scratch: Scratch, sizes: DataFrame, budgets: dict[str, int], totals:
         edge = edge.withColumn("rest", F.col("rest") - F.col("before")).drop("sum", "before", "block")
     run = Window.partitionBy("source").orderBy(F.shiftrightunsigned("h", 1), "h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out.append(edge.withColumn("upto", F.sum("tokens").over(run)).filter(F.col("upto") <= F.col("rest")).select(*cols))
-    return reduce(DataFrame.union, out)
+    uses = scratch.keep(reduce(DataFrame.union, out))
+    more = _topped_up(_passes(sizes, p, seed).filter("pass = passes and rest > 0"), uses, {s: (n, rest, budgets[s]) for s, n, rest, _ in plan})
+    return uses.unionByName(spark.createDataFrame(more, uses.schema)) if more else uses
+
+
+def _passes(sizes: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """Every document with each pass over its source that the plan (source, passes, rest, laps) begins, its hash in it and its place in the mix."""
+    s = sizes.filter("tokens > 0").join(plan, "source")
+    s = s.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes")))).withColumn("h", F.xxhash64("doc_id", "pass", F.lit(seed)))
+    return s.withColumn("place", (F.col("pass") + F.shiftrightunsigned("h", 11) / float(1 << 53)) / F.col("laps"))
+
+
+def _topped_up(last: DataFrame, uses: DataFrame, plan: dict[str, tuple[int, int, int]]) -> list[tuple]:
+    """Uses (doc_id, source, tokens, pass, place) that bring each source nearer to its budget, from the unused rest of its last pass.
+
+    A row a source comes to the driver in each turn; gaps close fast, as a turn takes the largest document that fits.
+    """
+    spark = last.sparkSession
+    done = {r["source"]: r for r in uses.filter(F.col("pass") == F.coalesce(*[F.when(F.col("source") == s, n) for s, (n, *_) in plan.items()], F.lit(-1))).groupBy("source").agg(F.sum("tokens").alias("tokens"), F.max("place").alias("cut")).collect()}
+    gaps = {s: rest - (done[s]["tokens"] if s in done else 0) for s, (_, rest, _) in plan.items() if rest > 0}
+    taken: list[tuple] = []
+    for _ in range(TOP_UP):
+        open_ = [(s, int(g), float(done[s]["cut"]) if s in done else -1.0) for s, g in gaps.items() if g > FILLED * plan[s][2]]
+        if not open_:
+            break
+        g = F.broadcast(spark.createDataFrame(open_, "source string, gap bigint, cut double"))  # one row a target
+        fit = last.join(g, "source").filter((F.col("place") > F.col("cut")) & (F.col("tokens") <= F.col("gap")))
+        for s in {t[1] for t in taken}:
+            fit = fit.filter((F.col("source") != s) | F.col("doc_id").isNull() | ~F.col("doc_id").isin([t[0] for t in taken if t[1] == s]))
+        best = fit.filter("doc_id is not null").groupBy("source").agg(F.max(F.struct("tokens", (-F.col("place")).alias("early"), "doc_id", "pass", "place")).alias("x")).collect()
+        if not best:
+            break
+        for r in best:
+            x = r["x"]
+            taken.append((x["doc_id"], r["source"], x["tokens"], x["pass"], x["place"]))
+            gaps[r["source"]] -= x["tokens"]
+    return taken
 
 
 def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, budget: int | None = None, entropy: float | None = None) -> tuple[DataFrame, DataFrame]:
