@@ -12,11 +12,19 @@ from .ranking import first_of
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Rows of `existing` without those whose key is in `new`, and the first of each key of `new` in the order."""
+    """Rows of `existing` without those whose key is in `new`, and the first of each key of `new` in the order.
+
+    Columns that `new` does not have become null for its rows: a row that was marked as deleted is there again.
+    """
     new = first_of(new, keys, order)
     return existing.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def returning(snapshot: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """What the snapshot has of the rows just upserted; rows without a value in the last column are left out."""
+    return snapshot.join(new.select(*keys).distinct(), keys, "left_semi").filter(F.col(columns[-1]).isNotNull()).select(*columns)
+
+
 def upsert_repository(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Repositories match on (provider, provider_id) or else on (provider, owner, name); a match keeps its id.
 
@@ -26,6 +34,8 @@ def upsert_repository(existing: DataFrame, new: DataFrame) -> DataFrame:
     by_name = existing.groupBy("provider", "owner", "name").agg(F.min("id").alias("__by_name"))
     n = new.join(by_id, ["provider", "provider_id"], "left").join(by_name, ["provider", "owner", "name"], "left")
     n = n.withColumn("id", F.coalesce("__by_id", "__by_name", "id")).select(*new.columns)
+    # incoming rows that match one repository are one row
+    n = first_of(n, ["id"], [F.col(c).desc_nulls_last() for c in ("source_updated_at", *new.columns) if c in new.columns and c != "id"])
     return existing.join(n.select("id"), "id", "left_anti").unionByName(n, allowMissingColumns=True)
 
 

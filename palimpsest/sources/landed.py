@@ -6,6 +6,7 @@ Fetching over a network is left to a landing step; these read what it left, with
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,21 +40,23 @@ def list_comments(raw: DataFrame, issues: DataFrame, limit: int) -> DataFrame:
     return j.orderBy("place", "created_at", "id").limit(limit).drop("place")
 
 
-def repository_address(url: Column) -> Column:
-    """struct(owner, name) of an https address of two segments on the expected host; null for any other.
+def repository_address(url: Column, host: str | None = None) -> Column:
+    """struct(owner, name) of an https address of two segments on the host, or on any where none is named; null for any other.
 
     Credentials, queries and fragments make an address unusable; a trailing .git is left off.
     """
-    m = r"^https://(?![^/]*@)[a-z0-9.-]+/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?:\.git)?/?$"
+    m = r"^https://(?![^/]*@)" + (re.escape(host) if host else "[a-z0-9.-]+") + r"/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?:\.git)?/?$"
     return F.when(url.rlike(m), F.struct(F.regexp_extract(url, m, 1).alias("owner"), F.regexp_extract(url, m, 2).alias("name")))
 
 
 # ---- Git
 def read_tree(spark: SparkSession, root: str, revision: str) -> DataFrame:
     """The files of a landed tree with size, language and ending; contents are not read."""
-    base = "file:" + os.path.abspath(root).rstrip("/") + "/"
     d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
-    d = d.withColumn("path", F.replace("path", F.lit(base), F.lit(""))).filter(~F.col("path").startswith(".git/"))
+    # whatever the store, a path is its address, the root, and the file's place below it
+    bare = re.sub(r"^[A-Za-z0-9]+:(//[^/]*)?", "", root.rstrip("/"))
+    below = bare if bare.startswith("/") else os.path.abspath(bare)
+    d = d.withColumn("path", F.regexp_replace("path", rf"^[A-Za-z0-9]+:(?://[^/]*)?\Q{below}\E/", "")).filter(~F.col("path").startswith(".git/"))
     return d.select("path", F.col("length").alias("size"), language(F.col("path")).alias("language"), F.nullif(F.substring(extension(F.col("path")), 2, 99), F.lit("")).alias("extension"), F.lit(revision).alias("revision"))
 
 
@@ -76,6 +79,12 @@ def is_safe_path(path: Column) -> Column:
 
 
 # ---- JSON
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in whatever store the path names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 _TARGET = "struct<path:string,sourceType:string,sourceReference:string,symbolName:string,grade:int>"
 
 
@@ -88,8 +97,8 @@ def benchmark_schema() -> str:
 
 def read_benchmark(spark: SparkSession, path: str, roots: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(cases, targets) of a benchmark file: an absolute path, else the first root that has it; an error names all attempts."""
-    tried = [path] if os.path.isabs(path) else [os.path.join(r, path) for r in (roots or [os.getcwd()])]
-    found = next((p for p in tried if os.path.exists(p)), None)
+    tried = [path] if os.path.isabs(path) or "://" in path else [os.path.join(r, path) for r in (roots or [os.getcwd()])]
+    found = next((p for p in tried if exists(spark, p)), None)
     if found is None:
         raise FileNotFoundError("no benchmark at " + ", ".join(tried))
     b = spark.read.schema(benchmark_schema()).option("multiLine", "true").json(found)
@@ -137,5 +146,5 @@ def health(spark: SparkSession, **probes) -> DataFrame:
 
 
 def with_place(df: DataFrame, order: list[Column]) -> DataFrame:
-    """Rows of a short list numbered in an order."""
+    """Rows of a short list numbered in an order: a page of issues, say. The numbering is one task, so the list must be bounded."""
     return df.withColumn("place", F.row_number().over(Window.orderBy(*order)))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
 from ..operators.memory import Embedder
+from .landed import exists
 
 # Answers that another attempt would not change; attempts; longest wait for a new allowance, in seconds.
 FINAL = frozenset({400, 401, 403, 404, 409, 422})
@@ -126,16 +127,11 @@ def commits(caller: Caller, owner: str, name: str, limit: int) -> list[dict]:
 
 def landed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Landed JSON lines under a schema; a path without files is an empty table."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).json(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 # ---- settings
 def environment(text: str, process: Mapping[str, str] | None = None) -> dict[str, str]:
     """The settings of a .env text; what the process has set wins. Quotes are taken off, comments and blank lines skipped."""

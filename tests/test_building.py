@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from palimpsest import __main__ as cli
 from palimpsest import sinks
 from palimpsest.functions import stem
-from palimpsest.operators import assess, chunking, edges, experiment, memory, pack, records, requests, search
+from palimpsest.operators import assess, chunking, edges, experiment, memory, pack, records, requests, search, upsert
 from palimpsest.sources import landed, providers
 
 T = "timestamp"
@@ -100,6 +100,17 @@ def test_chunks_relationships_and_reconciling(spark):
     assert _rows(left, "id") == [("b",), ("i",)] and _rows(kept, "id") == [("c3",), ("c4",)] and _rows(emb, "chunk_id") == [("c3",)]
 
 
+def test_upserts_return_and_merge(spark):
+    pr = spark.createDataFrame([("i1", "r", "p1", 5, "2024"), ("i2", "r", "p2", None, None)], "id string, repository_id string, provider_id string, number int, deleted_at string")
+    new = spark.createDataFrame([("i1", "r", "p1", 6), ("i2", "r", "p2", None)], "id string, repository_id string, provider_id string, number int")
+    snap = upsert.upsert(pr, new, ["repository_id", "provider_id"], [F.col("id")])
+    assert _rows(snap, "id", "number", "deleted_at") == [("i1", 6, None), ("i2", None, None)]
+    assert _rows(upsert.returning(snap, new, ["repository_id", "provider_id"], ["id", "number"]), "id", "number") == [("i1", 6)]
+    have = spark.createDataFrame([("x", "h", "1", "o", "n", "2024-01-01")], "id string, provider string, provider_id string, owner string, name string, source_updated_at string")
+    both = spark.createDataFrame([("y", "h", "1", "o", "m", "2024-01-02"), ("z", "h", None, "o", "n", "2024-01-03")], have.schema)
+    assert _rows(upsert.upsert_repository(have, both), "id", "name") == [("x", "n")]
+
+
 def test_stages_and_embedding(spark):
     s = memory.Stages()
     with s.stage("read"):
@@ -341,6 +352,8 @@ def test_settings_and_manifest(spark, tmp_path):
     assert providers.landed(spark, str(tmp_path / "none"), "a int").count() == 0
     providers.land([{"a": 1}], str(tmp_path / "rows.jsonl"))
     assert providers.landed(spark, str(tmp_path / "rows.jsonl"), "a int").first().a == 1
+    one = spark.createDataFrame([("https://host.example/o/n",), ("https://host-example/o/n",)], "u string").select(landed.repository_address(F.col("u"), "host.example")).collect()
+    assert [r[0] is not None for r in one] == [True, False]
     u = spark.createDataFrame([("https://host.example/o/n.git",), ("https://u@host.example/o/n",), ("http://host.example/o/n",)], "u string")
     assert [r[0] is not None for r in u.select(landed.repository_address(F.col("u"))).collect()] == [True, False, False]
 
