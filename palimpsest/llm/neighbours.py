@@ -1,8 +1,8 @@
 """Problem 7: most similar vectors, by a neighbour graph from NN-descent and greedy search on it.
 
 Vectors are kept at twelve bits a value, for search as codes of four bits a value, and for building the graph as
-coarse codes of two. Random-projection trees, fitted on a bounded sample, cut them into leaves; the best
-neighbours within the leaves start the graph. Each round of NN-descent joins neighbours of neighbours: every
+coarse codes of two. Every vector goes to the nearest few of a bounded sample of vectors, the pivots; the best
+neighbours among those that came to a pivot start the graph. Each round of NN-descent joins neighbours of neighbours: every
 node's list of forward and reverse neighbours is compared with itself, and pairs that beat an end's current worst
 neighbour go into the lists. Codes travel once per block of nodes that needs them, not once per pair. The best of
 what greedy search finds is scored again on the twelve-bit vectors. The plan is the same for few and for many vectors.
@@ -19,15 +19,18 @@ from ..runtime import Scratch
 from ..sources.tables import read
 
 MODEL, DIMENSIONS = "quartz-embed-512", 512
-#: Neighbours kept a node; reverse neighbours that join its list; members of a leaf; most of a group that is compared as a whole.
+#: Neighbours kept a node; reverse neighbours that join its list; members of a leaf, all that come to one pivot; most of a
+#: group that is compared as a whole.
 K, REVERSE, LEAF, GROUP = 10, 10, 600, 4096
-#: Signs on random hyperplanes by which leaves larger than a group are cut further, as trees end where their sample does.
+#: Signs on random hyperplanes by which leaves larger than a group are cut further, as pivots end where their sample does.
 BITS = 12
-#: Groups above their size, for repeated vectors, are cut by salt: the size is raised so that there are no more of them in a tree.
+#: Groups above their size, for repeated vectors, are cut by salt: the size is raised so that there are no more of them.
 HEAVY = 100_000
-#: Trees, and the neighbours a node takes from each; their leaves cost one shuffle of codes each and spare rounds of the descent.
-TREES, START = 4, 6
-#: Vectors that a tree is fitted on at most: the bound of the sample.
+#: Leaves a node goes to, and the neighbours it takes from each; they cost one shuffle of codes each and spare rounds of the
+#: descent. Descent alone does not mend a poor start: between a node and others like it, which have nothing in common with
+#: the rest, no path of neighbours leads.
+NEAREST, START = 4, 6
+#: Pivots at most: the bound of the sample.
 SAMPLE = 4096
 #: Rounds of NN-descent at most; a round that renews less than this share of the lists is the last.
 ROUNDS, RENEWED = 6, 0.05
@@ -178,58 +181,37 @@ def latest(v: DataFrame) -> DataFrame:
     return v.select(F.monotonically_increasing_id().alias("nid"), "h", "chunk_id")
 
 
-# ---- trees
-def fit_tree(sample: np.ndarray, leaves: int, seed: int) -> list:
-    """A tree as a list of (hyperplane, offset, left, right); leaves are negative numbers. Splits at the median of the sample."""
-    rng = np.random.default_rng(seed)
-    nodes: list = []
-    count = 0
-
-    def build(rows: np.ndarray, want: int) -> int:
-        nonlocal count
-        if want <= 1 or len(rows) < 8:
-            count += 1
-            return -count
-        a, b = rng.choice(len(rows), 2, replace=False)
-        plane = rows[a] - rows[b]
-        side = rows @ plane
-        cut = float(np.median(side))
-        left = side < cut
-        if not left.any() or left.all():
-            count += 1
-            return -count
-        at = len(nodes)
-        nodes.append(None)
-        nodes[at] = (plane.astype(np.float32), cut, build(rows[left], want // 2), build(rows[~left], want - want // 2))
-        return at
-
-    root = build(sample, leaves)
-    return [nodes, root]
-
-
-def leaf_of(tree: list, m: np.ndarray) -> np.ndarray:
-    """The leaf of each row, from 0."""
-    nodes, root = tree
-    out = np.zeros(len(m), np.int32)
-    work = [(root, np.arange(len(m)))]
-    while work:
-        at, rows = work.pop()
-        if at < 0:
-            out[rows] = -at - 1
-        elif len(rows):
-            plane, cut, a, b = nodes[at]
-            left = m[rows] @ plane < cut
-            work += [(a, rows[left]), (b, rows[~left])]
+# ---- pivots
+def choose_pivots(coarse: np.ndarray, n: int) -> np.ndarray:
+    """Of a sample's coarse codes those of the pivots of n vectors, each next to those like it."""
+    coarse = np.unique(coarse, axis=0)
+    want = min(SAMPLE, len(coarse), max(2 * NEAREST, -(-n * NEAREST // LEAF)))
+    coarse = coarse[np.random.default_rng(1).permutation(len(coarse))[:want]]
+    if not len(coarse):
+        return coarse
+    m = _decode_coarse(coarse)
+    s = m @ m.T
+    at, tour = 0, [0]
+    s[:, 0] = -2
+    for _ in range(want - 1):
+        at = int(s[at].argmax())
+        tour.append(at)
+        s[:, at] = -2
+    return coarse[tour]
+
+
+def nearest_pivots(pivots: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The numbers of each row's NEAREST most similar pivots, the most similar first."""
+    out = np.empty((len(m), min(NEAREST, len(pivots))), np.int32)
+    for lo in range(0, len(m), 1024):
+        s = m[lo : lo + 1024] @ pivots.T
+        for k in range(out.shape[1]):
+            top = s.argmax(axis=1)
+            out[lo : lo + len(s), k] = top
+            s[np.arange(len(s)), top] = -2
     return out
 
 
-def _leaf_numbers(tree: list) -> list[int]:
-    nodes, root = tree
-    if root < 0:
-        return [-root - 1]
-    return [-k - 1 for _, _, a, b in nodes for k in (a, b) if k < 0]
-
-
 def codes(v: DataFrame) -> DataFrame:
     """Rows (h, code, coarse) of (h, v, scale)."""
 
@@ -242,20 +224,25 @@ def codes(v: DataFrame) -> DataFrame:
     return v.select("h", "v", "scale").mapInArrow(run, "h bigint, code binary, coarse binary")
 
 
-def _leaves(code: DataFrame, trees: list, *carry: str) -> DataFrame:
-    """Rows (nid, tree, leaf, bits, carried columns), one a node and tree; bits are its sides of BITS random hyperplanes."""
+def _leaves(code: DataFrame, pivots: np.ndarray, *carry: str) -> DataFrame:
+    """Rows (nid, near, leaf, bits, carried columns), one a node and pivot, of which near counts from 0; bits are its sides of BITS random hyperplanes.
+
+    A leaf has one of NEAREST sets of hyperplanes, so what one leaf cuts apart may stay together in another.
+    """
 
     def run(batches):
+        p = _decode_coarse(pivots)
+        planes = np.random.default_rng(1000).standard_normal((4 * pivots.shape[1], NEAREST * BITS)).astype(np.float32)
         for b in batches:
             if not b.num_rows:
                 continue
             m = _of_coarse(b)(np.arange(b.num_rows))
-            for k, t in enumerate(trees):
-                planes = np.random.default_rng(1000 + k).standard_normal((m.shape[1], BITS)).astype(np.float32)
-                bits = ((m @ planes > 0) @ (1 << np.arange(BITS))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column("nid"), pa.array(np.full(len(m), k, np.int32)), pa.array(leaf_of(t, m)), pa.array(bits), *[b.column(c) for c in carry]], names=["nid", "tree", "leaf", "bits", *carry])
+            sides = ((m @ planes > 0).reshape(len(m), NEAREST, BITS) @ (1 << np.arange(BITS))).astype(np.int32)
+            for k, leaf in enumerate(nearest_pivots(p, m).T):
+                bits = sides[np.arange(len(m)), leaf % NEAREST]
+                yield pa.RecordBatch.from_arrays([b.column("nid"), pa.array(np.full(len(m), k, np.int32)), pa.array(leaf), pa.array(bits), *[b.column(c) for c in carry]], names=["nid", "near", "leaf", "bits", *carry])
 
-    return code.select("nid", "coarse").mapInArrow(run, "nid bigint, tree int, leaf int, bits int" + "".join(f", {c} binary" for c in carry))
+    return code.select("nid", "coarse").mapInArrow(run, "nid bigint, near int, leaf int, bits int" + "".join(f", {c} binary" for c in carry))
 
 
 _EDGE = pa.schema([("u", pa.int64()), ("w", pa.int64()), ("sim", pa.float32())])
@@ -374,35 +361,34 @@ class Index:
 
 
 def build_index(spark: SparkSession, embeddings: DataFrame, model: str = MODEL, dimensions: int = DIMENSIONS) -> Index:
-    """The graph over all usable vectors. Only the trees see a sample, of at most SAMPLE vectors; every vector is indexed."""
+    """The graph over all usable vectors. Only the pivots are a sample, of at most SAMPLE vectors; every vector is indexed."""
     scratch = Scratch(spark, "neighbours")
     vec = scratch.keep(vectors(embeddings, model, dimensions), "uncompressed")
     names = scratch.keep(latest(vec))
     code = scratch.keep(_join(codes(vec).dropDuplicates(["h"]), names.select("h", "nid"), "h").select("nid", "code", "coarse"), "uncompressed")
     scratch.sweep()
     n = code.count()
-    sample = _decode_coarse(_bytes(code.filter(F.pmod(F.xxhash64("nid", F.lit(7)), F.lit(max(n, 1))) < SAMPLE).select("coarse").limit(2 * SAMPLE).toArrow().column("coarse")))
-    leaves = max(2, min(SAMPLE // 8, -(-n // LEAF)))
-    trees = [fit_tree(sample, leaves, seed) for seed in range(1, TREES + 1)]
-    where = scratch.keep(_leaves(code, trees))
-    # one row a leaf of a bounded tree: into how many cells its members are cut
-    cells = F.broadcast(where.groupBy("tree", "leaf").agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / GROUP))).cast("int").alias("deep")))
+    sample = _bytes(code.filter(F.pmod(F.xxhash64("nid", F.lit(7)), F.lit(max(n, 1))) < SAMPLE).select("coarse").limit(2 * SAMPLE).toArrow().column("coarse"))
+    pivots = choose_pivots(sample, n)
+    where = scratch.keep(_leaves(code, pivots))
+    # one row a leaf, of which there are SAMPLE at most: into how many cells its members are cut
+    cells = F.broadcast(where.groupBy("leaf").agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / GROUP))).cast("int").alias("deep")))
     most = max(GROUP, n // HEAVY)
 
     def celled(df: DataFrame) -> DataFrame:
-        return df.join(cells, ["tree", "leaf"]).withColumn("cell", F.expr(f"bits & (shiftleft(1, least(deep, {BITS})) - 1)")).drop("bits", "deep")
+        return df.join(cells, "leaf").withColumn("cell", F.expr(f"bits & (shiftleft(1, least(deep, {BITS})) - 1)")).drop("bits", "deep")
 
-    # repeated vectors stay together in any cell: such cells are cut by salt, and there are HEAVY a tree at most
-    heavy = F.broadcast(celled(where).groupBy("tree", "leaf", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("tree", "leaf", "cell", F.ceil(F.col("n") / most).cast("int").alias("parts")))
+    # repeated vectors stay together in any cell: such cells are cut by salt, and there are NEAREST times HEAVY at most
+    heavy = F.broadcast(celled(where).groupBy("leaf", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("leaf", "cell", F.ceil(F.col("n") / most).cast("int").alias("parts")))
 
     def parted(df: DataFrame) -> DataFrame:
-        return celled(df).join(heavy, ["tree", "leaf", "cell"], "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("nid"), F.col("parts"))).cast("int")).drop("parts")
+        return celled(df).join(heavy, ["leaf", "cell"], "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("nid"), F.col("parts"))).cast("int")).drop("parts")
 
-    start = parted(_leaves(code, trees, "coarse")).groupBy("tree", "leaf", "cell", "part").applyInArrow(_within(START), "u bigint, w bigint, sim float")
+    start = parted(_leaves(code, pivots, "coarse")).groupBy("leaf", "cell", "part").applyInArrow(_within(START), "u bigint, w bigint, sim float")
     edges = scratch.keep(_best(_distinct(start, "u", "w", F.max("sim").alias("sim")), K).withColumn("fresh", F.lit(1)))
-    # leaves are numbered as the tree is walked, so neighbouring numbers are near each other: a block is a run of them
-    run = max(1, block_size(n) * len(set(_leaf_numbers(trees[0]))) // max(n, 1))
-    blocks = scratch.keep(parted(where.filter("tree = 0")).select("nid", F.hash(F.floor(F.col("leaf") / run), F.col("cell"), F.col("part")).alias("block")))
+    # neighbouring numbers of leaves are near each other: a block is a run of them
+    run = max(1, block_size(n) * len(pivots) // max(n, 1))
+    blocks = scratch.keep(parted(where.filter("near = 0")).select("nid", F.hash(F.floor(F.col("leaf") / run), F.col("cell"), F.col("part")).alias("block")))
     scratch.drop(where)
     rounds = 0
     for rounds in range(1, ROUNDS + 1):

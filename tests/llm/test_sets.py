@@ -93,6 +93,30 @@ def test_neighbours_of_few_and_equal_vectors(spark):
     assert neighbours.search(empty, few.select("chunk_id"), 5).count() == 0
 
 
+def test_neighbours_among_many_leaves(spark, tmp_path, monkeypatch):
+    """Small clusters within a few topics: as many leaves as millions of vectors have must not part a cluster."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(neighbours, "LEAF", 40)
+    rng = np.random.default_rng(7)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    centres = unit(0.5 * unit(rng.standard_normal((8, 128)))[rng.integers(0, 8, 2500)] + 0.75**0.5 * unit(rng.standard_normal((2500, 128))))
+    m = unit(0.7**0.5 * np.repeat(centres, 8, axis=0) + 0.3**0.5 * unit(rng.standard_normal((20000, 128)))).astype(np.float32)
+    order = rng.permutation(20000)
+    e = pa.ListArray.from_arrays(pa.array(np.arange(0, 128 * 20000 + 1, 128, dtype=np.int32)), pa.array(m[order].ravel()))
+    pq.write_table(pa.table({"chunk_id": [f"c{i}" for i in order], "model": ["m"] * 20000, "embedding": e, "embedded_at": pa.array([0] * 20000, pa.timestamp("us", tz="UTC"))}), f"{tmp_path}/e.parquet")
+    q = spark.createDataFrame([(f"c{i}",) for i in range(0, 20000, 10)], "chunk_id string")
+    got = {(int(r["query"][1:]), int(r.neighbour[1:])) for r in neighbours.search(neighbours.build_index(spark, spark.read.parquet(f"{tmp_path}/e.parquet"), "m", 128), q, 5).collect()}
+    s = m[::10] @ m.T
+    s[np.arange(2000), np.arange(0, 20000, 10)] = -2
+    want = {(10 * i, int(j)) for i in range(2000) for j in np.argpartition(-s[i], 4)[:5]}
+    assert len(got) == 10000 and len(want & got) >= 0.95 * len(want)
+
+
 def test_graph_answers_for_every_vector(spark, tmp_path):
     rng = np.random.default_rng(3)
     m = (rng.standard_normal((100, 1, 512)) + rng.standard_normal((100, 10, 512))).reshape(-1, 512).astype(np.float32)
