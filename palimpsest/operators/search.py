@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import stem as st
 from ..functions import text as tx
 from ..functions import vectors as vx
+from ..runtime import micros
 from .ranking import BRANCH_OVERFETCH, first_of, rank_by
 
 # The weights of the four classes of positions.
@@ -41,7 +42,11 @@ def latest_chunks(chunks: DataFrame) -> DataFrame:
 
 def _ranked(scores: DataFrame, chunks: DataFrame, order: list[Column], limit: int) -> DataFrame:
     """The first `limit` of (query_id, chunk_id, exact, score) for each query, with the slim columns of their chunks, joined last."""
-    r = rank_by(scores, ["query_id"], order, "rank", limit)
+    return _described(rank_by(scores, ["query_id"], order, "rank", limit), chunks)
+
+
+def _described(r: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Ranked rows with the slim columns of their chunks."""
     about = first_of(chunks.select("indexed_at", *SLIM).join(r.select("chunk_id").distinct(), "chunk_id", "left_semi"), ["chunk_id"], [F.col("indexed_at").desc_nulls_last()])
     return r.join(about.drop("indexed_at"), "chunk_id").select("query_id", *SLIM, "exact", "score", "rank")
 
@@ -52,18 +57,47 @@ def _last_only(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return hits.join(last, (F.col("chunk_id") == F.col("__id")) & F.col("indexed_at").eqNullSafe(F.col("__last"))).drop("__id", "__last")
 
 
+#: Values of the vectors of a block: 8,192 vectors of 512.
+BLOCK = 1 << 22
+
+
+def nearest(queries: DataFrame, chunks: DataFrame, embeddings: DataFrame, limit: int) -> DataFrame:
+    """The ranks (query_id, chunk_id, exact, score, rank) of `dense`, without what is known of the chunks.
+
+    Vectors travel by blocks, not by pairs: those of a repository's chunks and of its queries are cut into blocks of
+    bounded size, each block of the one meets each of the other, and only the first `limit` of each query leave a meeting.
+    """
+    keys = {c: dict(df.dtypes)[c] for df, c in ((queries, "query_id"), (chunks, "chunk_id"))}
+    of_queries = queries.groupBy("repository_id").agg(F.count("*").alias("__nq"), F.min("cutoff").alias("__from"), F.max("cutoff").alias("__to"))
+    sizes = of_queries.join(embeddings.groupBy("repository_id").agg(F.count("*").alias("__ne")), "repository_id")
+
+    def blocks(n: str) -> Column:
+        return F.ceil(F.col(n) * F.col("__size") / BLOCK)
+
+    def block(key: str, n: str) -> Column:
+        return F.pmod(F.xxhash64(key), blocks(n))
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), blocks(n) - 1))
+
+    c = chunks.select("repository_id", "available_at", "superseded_at", "chunk_id", "indexed_at")
+    c = _last_only(c, chunks).join(sizes, "repository_id").filter("available_at <= __to and (superseded_at is null or superseded_at > __from)").drop("indexed_at", "__from", "__to").distinct()
+    e = embeddings.select("chunk_id", "repository_id", "embedding").withColumn("__size", F.size("embedding")).filter("__size > 0")
+    c = c.join(e, ["repository_id", "chunk_id"]).select("repository_id", "__size", every("__nq").alias("__qb"), block("chunk_id", "__ne").alias("__cb"), "chunk_id", micros(F.col("available_at")).alias("since"), micros(F.col("superseded_at")).alias("until"), F.col("embedding").alias("vector"))
+    q = queries.select("query_id", "repository_id", "cutoff", "vector").withColumn("__size", F.size("vector")).filter("__size > 0 and cutoff is not null").join(sizes, "repository_id")
+    q = q.select("repository_id", "__size", block("query_id", "__nq").alias("__qb"), every("__ne").alias("__cb"), "query_id", micros(F.col("cutoff")).alias("cutoff"), "vector")
+    by = ["repository_id", "__size", "__qb", "__cb"]
+    v = q.groupBy(*by).cogroup(c.groupBy(*by)).applyInArrow(vx.meeting(limit), f"query_id {keys['query_id']}, chunk_id {keys['chunk_id']}, score double")
+    v = v.groupBy("query_id", "chunk_id").agg(F.max(F.round("score", 9)).alias("score")).withColumn("exact", F.lit(False))
+    return rank_by(v, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], "rank", limit).select("query_id", "chunk_id", "exact", "score", "rank")
+
+
 def dense(queries: DataFrame, chunks: DataFrame, embeddings: DataFrame, limit: int = BRANCH_OVERFETCH) -> DataFrame:
     """The most similar chunks of each query by cosine; queries also have `vector`, embeddings (chunk_id, repository_id, embedding).
 
     Vectors that are not finite, or zero, or of another size than the query's, on either side, answer nothing.
     """
-    e = embeddings.select("chunk_id", F.col("repository_id").alias("__er"), "embedding").filter(vx.is_usable(F.col("embedding"), F.size("embedding")))
-    q = queries.select("query_id", "repository_id", "cutoff", "vector").filter(vx.is_usable(F.col("vector"), F.size("vector")))
-    c = chunks.select("repository_id", "available_at", "superseded_at", "chunk_id", "indexed_at")
-    v = visible(q, _last_only(c, chunks)).join(e, "chunk_id").filter((F.col("repository_id") == F.col("__er")) & (F.size("embedding") == F.size("vector")))
-    v = v.withColumn("score", F.round(vx.cosine(F.col("embedding"), F.col("vector")), 9)).filter("score is not null and not isnan(score)")
-    v = v.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")).withColumn("exact", F.lit(False))
-    return _ranked(v, chunks, [F.col("score").desc(), F.col("chunk_id")], limit)
+    return _described(nearest(queries, chunks, embeddings, limit), chunks)
 
 
 #: What a result tells of its chunk, and what of where it comes from.

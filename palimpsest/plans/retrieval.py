@@ -59,8 +59,8 @@ def probes(spark, d) -> DataFrame:
 
 
 def ref_q1_dense(spark, d):
-    r = search.dense(probes(spark, d), rows(spark, d), embeddings(spark, d), 10)
-    return r.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    r = search.nearest(probes(spark, d), rows(spark, d), embeddings(spark, d), 10)
+    return r.select("query_id", "chunk_id", vx.rounded(F.col("score"), 6).alias("score"), "rank")
 
 
 def ref_q2_lexical(spark, d):

@@ -3,8 +3,11 @@
 import io
 import json
 import math
+import random
+import time
 from datetime import datetime
 
+import numpy
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -300,6 +303,59 @@ def test_vectors_that_are_not_finite_answer_nothing(spark):
     assert [(r.query_id, r.chunk_id) for r in search.dense(q, c, e).collect()] == [("q", "a")]
 
 
+def _vectors(spark, chunks, vectors, queries):
+    """Tables of the dense scan from (chunk, repository, available, superseded, indexed), (chunk, repository, vector), (query, repository, cutoff, vector)."""
+    c = spark.createDataFrame([(i, r, None, None, None, None, "issue", "d", a, u, x) for i, r, a, u, x in chunks], "chunk_id string, repository_id string, path string, symbol_name string, parent_symbol string, symbol_kind string, source_type string, document_id string, available_at timestamp, superseded_at timestamp, indexed_at timestamp")
+    return spark.createDataFrame(queries, "query_id string, repository_id string, cutoff timestamp, vector array<float>"), c, spark.createDataFrame(vectors, "chunk_id string, repository_id string, embedding array<float>")
+
+
+def test_blocks_of_vectors_give_what_all_pairs_give(spark, monkeypatch):
+    rng = random.Random(5)
+    days = [_at(f"2024-01-{d:02}") for d in range(1, 29)]
+    # few directions: many ties, repeated and scaled vectors; some vectors of another size; some not usable
+    make = lambda: rng.choice([[float(rng.randint(-1, 2)) for _ in range(4)], [float(rng.randint(-2, 2)) / 3 for _ in range(4)], [1.0, 2.0], [math.nan, 1.0, 1.0, 1.0], [0.0] * 4, None])
+    chunks = [(f"c{rng.randint(0, 150)}", rng.choice("rrrs"), rng.choice(days), rng.choice([None, *days]), rng.choice([None, *days[:3]])) for _ in range(400)]
+    vectors = [(f"c{rng.randint(0, 150)}", rng.choice("rrs"), make()) for _ in range(400)]
+    queries = [(f"q{rng.randint(0, 40)}", rng.choice("rrst"), rng.choice([None, *days]), make()) for _ in range(80)]
+    best = {}
+    last = {i: max((x for j, *_, x in chunks if j == i and x), default=None) for i, *_ in chunks}
+    for q, qr, cut, y in queries:
+        for i, r, a, u, x in chunks:
+            if qr == r and x == last[i] and cut and a <= cut and (u is None or u > cut):
+                for j, er, z in vectors:
+                    if (j, er) == (i, r) and y and z and len(y) == len(z) and any(y) and any(z) and not any(map(math.isnan, y + z)):
+                        y32, z32 = (numpy.float32(v).tolist() for v in (y, z))
+                        score = sum(a * b for a, b in zip(y32, z32)) / (math.sqrt(sum(b * b for b in z32)) * math.sqrt(sum(a * a for a in y32)))
+                        best[q, i] = max(best.get((q, i), -2), round(score, 9))
+    for limit, block in ((3, search.BLOCK), (3, 64), (1000, 100)):
+        monkeypatch.setattr(search, "BLOCK", block)
+        want = {(q, i, n, s) for q in {q for q, _ in best} for n, (s, i) in enumerate(sorted((-s, i) for (p, i), s in best.items() if p == q)[:limit], 1)}
+        got = search.dense(*_vectors(spark, chunks, vectors, queries), limit).collect()
+        assert {(r.query_id, r.chunk_id, r["rank"], -r.score) for r in got} == want and len(got) == len(want) > 40
+
+
+def test_vectors_are_not_sent_once_a_pair(spark):
+    rng, at = random.Random(1), _at("2024-01-01")
+    vector = lambda: [rng.gauss(0, 1) for _ in range(64)]
+    tables = _vectors(spark, [(f"c{i}", "r", at, None, at) for i in range(400)], [(f"c{i}", "r", vector()) for i in range(400)], [(f"q{i}", "r", at, vector()) for i in range(100)])
+    sc = spark.sparkContext._jsc.sc()
+
+    def written() -> int:
+        time.sleep(0.5)
+        spark.range(1).collect()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = written()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert len(search.dense(*tables, 3).collect()) == 300
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # 500 vectors of 256 bytes, in no more than ten exchanges; the 40,000 pairs would be 10 MB
+    assert 0 < written() - before < 10 * 500 * 256
+
+
 # ---- sinks, providers, experiments
 def test_sinks(spark, tmp_path):
     items = spark.createDataFrame([("q", 2, "c2", "TEST", "local", None, None, 1, 1, False, "b"), ("q", 1, "c1", "PRIMARY", "retrieved_primary", 3, 4, 1, 1, False, "a")], "query_id string, item int, chunk_id string, context_role string, reasons string, start_line int, end_line int, characters int, original_characters int, truncated boolean, content string")

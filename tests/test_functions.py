@@ -64,6 +64,12 @@ def test_lengths_and_identity(spark):
     assert _one(spark, "ab\ncd" * 20, lambda c: F.length(tx.truncate_lines(c, F.lit(60)))) <= 60
 
 
+def test_rounding_as_in_sql(spark):
+    # 0.2604275 times a million is 260427.49999999997 in double precision
+    for x, y in ((0.2604275, 0.260427), (-0.2604275, -0.260427), (0.2604285, 0.260429), (1.0, 1.0), (0.0, 0.0)):
+        assert _one(spark, x, lambda c: vx.rounded(c, 6), "double") == y
+
+
 def test_vectors(spark):
     v = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0], [0.0, 0.0])], "a array<float>, b array<float>, z array<float>")
     r = v.select(vx.cosine(F.col("a"), F.col("b")).alias("c"), vx.cosine(F.col("a"), F.col("z")).alias("n"), vx.is_usable(F.col("z"), 2).alias("u")).first()
